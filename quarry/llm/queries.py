@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.fingerprints import fingerprint_documents
+from quarry.llm.mixing import mix_documents
+from quarry.llm.packing import pack_documents
 from quarry.llm.quality_rules import quality_report
 from quarry.llm.secret_scan import secret_report
 from quarry.llm.sharding import shard_documents
@@ -20,8 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_jump_sharding": lambda s, d: shard_documents(_documents(s, d)),
         "op4_simhash": lambda s, d: fingerprint_documents(_documents(s, d)),
+        "op6_mixing": lambda s, d: mix_documents(_documents(s, d)),
         "op7_quality_rules": lambda s, d: quality_report(_documents(s, d)),
         "op9_secret_scan": lambda s, d: secret_report(_documents(s, d)),
+        "op10_retrieval_packing": lambda s, d: pack_documents(_documents(s, d)),
     }
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.fingerprints import fingerprint_documents
 from quarry.llm.mixing import mix_documents
+from quarry.llm.ngram_join import jaccard_components
 from quarry.llm.packing import pack_documents
 from quarry.llm.quality_rules import quality_report
 from quarry.llm.secret_scan import secret_report
@@ -21,6 +22,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_jump_sharding": lambda s, d: shard_documents(_documents(s, d)),
+        "op3_ngram_join": lambda s, d: jaccard_components(_documents(s, d)),
         "op4_simhash": lambda s, d: fingerprint_documents(_documents(s, d)),
         "op6_mixing": lambda s, d: mix_documents(_documents(s, d)),
         "op7_quality_rules": lambda s, d: quality_report(_documents(s, d)),

@@ -5,19 +5,24 @@ Terms are token ids, so document frequencies over the whole corpus fit in one ta
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stage, tune
 
-WINDOW, END_ID, SHARD_TOKENS, QUERY_TERMS, CACHE_WORDS = 2048, 1, 4_000_000, 16, 300_000
+WINDOW, END_ID, SHARD_TOKENS, QUERY_TERMS, CACHE_WORDS = 2048, 1, 4_000_000, 16, 600_000
 K1, B = 1.2, 0.75
+#: How the tokenizer cuts text before it merges.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 def default_tokenizer() -> str:
@@ -26,11 +31,53 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class _Letters:
+    """Ids of words of letters by the same merges, run by a faster library.
+
+    A word's end is written as byte 0, which makes word-end symbols ordinary merges of first rank. Each token is the outcome of one
+    merge, and what lies inside its bounds has gone through the same merges wherever it stands; so looking merges up by their
+    outcome, as that library does, gives the same ids as looking them up by their parts.
+    """
+
+    def __init__(self, model: dict):
+        import tiktoken
+
+        byte, vocabulary = _byte_letters(), model["vocab"]
+        raw = lambda w: bytes(byte[c] for c in w.removesuffix("</w>")) + (b"\0" if w.endswith("</w>") else b"")
+        ranks = {bytes([b]): b for b in byte.values()}
+        self.ids = np.zeros(512 + len(model["merges"]), np.int64)
+        for c, b in byte.items():
+            self.ids[b] = vocabulary[c]
+            if b:
+                ranks[bytes([b, 0])], self.ids[256 + b] = 256 + b, vocabulary[c + "</w>"]
+        for i, m in enumerate(model["merges"]):
+            w = "".join(m if isinstance(m, list) else m.split(" "))
+            ranks[raw(w)], self.ids[512 + i] = 512 + i, vocabulary[w]
+        if len(ranks) != 511 + len(model["merges"]):
+            raise ValueError("two merges have one outcome")
+        self.ends = np.zeros(len(self.ids), bool)
+        self.ends[[r for w, r in ranks.items() if w.endswith(b"\0")]] = True
+        self.coder = tiktoken.Encoding("letters", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and where each word ends."""
+        r = np.array(self.coder.encode_ordinary("\0".join(words) + "\0"), np.int64)
+        return self.ids[r], np.flatnonzero(self.ends[r]) + 1
+
+
 class WordEncoder:
     """Ids of whole texts as a tokenizer of this kind gives them, by a cache of words.
 
     The tokenizer lower-cases and never joins text over white space, so ids of a text are those of its words in a row. Where that
-    might not hold (special tokens' strings, a capital sigma) the whole text goes through the tokenizer.
+    might not hold (special tokens' strings, a capital sigma) the whole text goes through the tokenizer, and so does each word
+    that isn't of letters alone.
     """
 
     def __init__(self, path: str):
@@ -38,53 +85,52 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.size = max(vocabulary.values()) + 1
+        self.size = max(self.tokenizer.get_vocab().values()) + 1
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.ends = np.zeros(self.size, bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        with open(path, encoding="utf-8") as f:
+            self.letters = _Letters(json.load(f)["model"])
         self.cache: dict[str, bytes] = {"": b""}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
     def _learn(self, words: set[str]) -> None:
+        """Put the ids of new words into the cache; each is cut into the tokenizer's pieces, and pieces are learnt once."""
         if len(self.cache) + len(words) > CACHE_WORDS:
             self.cache = {"": b""}
-        letters, marked, rest = {w for w in words if w.isalpha()}, [], []
-        for w in words - letters:
-            core, mark = w[:-1], w[-1]
-            if mark in ".," and core.isalpha():
-                marked.append((w, core, mark))
-                letters.update(() if core in self.cache else (core,))
+        cache = self.cache
+        asked: dict[str, None] = {}
+        cut: list[tuple[str, list[str]]] = []
+        for w in words:
+            if w.isalpha() and is_normalized("NFC", w):
+                asked[w] = None
+            elif w.isprintable() and max(w) < "\u0250":  # letters, marks and digits that every library sorts alike
+                pieces = [w[:-1], w[-1]] if w[-1] in ".," and w[:-1].isalpha() else PIECE.findall(w)
+                cut.append((w, pieces))
+                for x in pieces:
+                    if x not in cache:
+                        asked[x] = None
             else:
-                rest.append(w)
-        rest += [m for m in ".," if m not in self.cache]
-        asked = list(letters)
-        ids = self._ids(" ".join(asked))
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(asked):  # each word of letters ends with one token that says so
-            for w, a, b in zip(asked, [0, *cuts[:-1].tolist()][: len(cuts)], cuts.tolist(), strict=True):
-                self.cache[w] = ids[a:b].tobytes()
-        else:
-            rest += asked
-        for w in rest:
-            self.cache[w] = self._ids(w).tobytes()
-        for w, core, mark in marked:
-            self.cache[w] = self.cache[core] + self.cache[mark]
+                cache[w] = self._ids(w).tobytes()
+        if asked:
+            ids, ends = self.letters.encode(list(asked))
+            data, width, at = ids.astype(self.kind).tobytes(), self.kind.itemsize, 0
+            for w, z in zip(asked, (ends * width).tolist(), strict=True):
+                cache[w], at = data[at:z], z
+        for w, pieces in cut:
+            cache[w] = b"".join([cache[x] for x in pieces])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian, without an end id."""
         plain = ["<|" in t or "Σ" in t for t in texts]
         split = [[] if p else t.lower().replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True)]
-        for attempt in range(2):
+        got = [list(map(self.cache.get, w)) for w in split]
+        if open_ := [i for i, g in enumerate(got) if None in g]:
+            self._learn({w for i in open_ for w, x in zip(split[i], got[i], strict=True) if x is None})
             cache = self.cache
-            if new := {w for w in set().union(*split) if w not in cache}:
-                if attempt:  # this batch alone is more than the cache holds
-                    return [self._ids(t).tobytes() for t in texts]
-                self._learn(new)
-        cache = self.cache
-        return [self._ids(t).tobytes() if p else b"".join(map(cache.__getitem__, w)) for t, w, p in zip(texts, split, plain, strict=True)]
+            for i in open_:
+                got[i] = [cache[w] if x is None else x for x, w in zip(got[i], split[i], strict=True)]
+        return [self._ids(t).tobytes() if p else b"".join(g) for t, g, p in zip(texts, got, plain, strict=True)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -121,16 +167,23 @@ def _tokenised(path: str, end_id: int):
     return run
 
 
-def _postings(docs: list[np.ndarray], df: np.ndarray, n: int, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """BM25 weights by term: where each term's list starts, documents, weights."""
+def _rarity(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5))
+
+
+def _postings(docs: list[np.ndarray], idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """BM25 weights by term: where each term's list starts, documents, weights; and each document's terms to ask with, the rarest and most frequent in it."""
     terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True)
     doc = np.repeat(np.arange(len(docs)), [len(t) for t in terms])
-    term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(counts)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    term, tf = np.concatenate(terms), np.concatenate(counts)
     size = np.array([len(d) for d in docs])[doc]
     weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+    ask = []
+    for t, c in zip(terms, counts, strict=True):
+        worth = idf[t] * np.minimum(c, 3)
+        ask.append(t[np.argpartition(-worth, QUERY_TERMS)[:QUERY_TERMS]] if len(t) > QUERY_TERMS else t)
     order = np.argsort(term, kind="stable")
-    return np.searchsorted(term[order], np.arange(len(df) + 1)), doc[order], weight[order]
+    return np.searchsorted(term[order], np.arange(len(idf) + 1)), doc[order], weight[order], ask
 
 
 def pack_shard(docs: list[np.ndarray], df: np.ndarray, n: int, mean: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -146,18 +199,21 @@ def pack_shard(docs: list[np.ndarray], df: np.ndarray, n: int, mean: float, wind
         out += [(d, k * window, window, sequence + k, 0) for k in range(full)]
         sequence += full
         tail.append(full * window)
-    starts, doc, weight = _postings(docs, df, n, mean)
+    starts, doc, weight, ask = _postings(docs, _rarity(df, n), mean)
+    bounds = starts.tolist()
     left = [len(ids) - t for ids, t in zip(docs, tail, strict=True)]
     unused = np.array([x > 0 for x in left])
     seed, filled, first = -1, 0, 0
     queue: Iterator[int] = iter(())
 
     def neighbours(d: int) -> Iterator[int]:
-        terms, tf = np.unique(docs[d], return_counts=True)
-        rare = terms[np.argsort(np.log1p((n - df[terms] + 0.5) / (df[terms] + 0.5)) * -np.minimum(tf, 3), kind="stable")[:QUERY_TERMS]]
-        at = np.concatenate([np.arange(starts[t], starts[t + 1]) for t in rare])
-        score = np.bincount(doc[at], weight[at], len(docs))
-        found = np.flatnonzero(unused & (score > 0))
+        at = [slice(bounds[t], bounds[t + 1]) for t in ask[d].tolist()]
+        score = np.bincount(np.concatenate([doc[x] for x in at]), np.concatenate([weight[x] for x in at]), len(docs)) * unused
+        found = np.flatnonzero(score)
+        if len(found) > 64:  # the best are asked for first, the others if those are used up
+            best = np.argpartition(-score[found], 64)
+            yield from found[best[:64]][np.argsort(-score[found[best[:64]]], kind="stable")].tolist()
+            found = found[best[64:]]
         yield from found[np.argsort(-score[found], kind="stable")].tolist()
 
     while True:

@@ -32,29 +32,27 @@ def _by_language(patterns: Sequence, lang: Column, build) -> Column:
 
 
 def match(text: Column, regex: str, group: int) -> Column:
-    """The group's text, null without a match or when it is empty."""
-    return F.nullif(F.regexp_extract(text, UNICODE + regex, group), F.lit(""))
+    """The group's text in the first match, null without one. Evaluated once, so a long choice of patterns stays small code."""
+    return F.get(F.regexp_extract_all(text, F.lit(UNICODE + regex), F.lit(group)), F.lit(0))
 
 
 def symbols(of: DataFrame, patterns: Sequence[SymbolPattern] | None = None) -> DataFrame:
-    """(path, lang, line, type, name) from lines: the first pattern of the language that gives a name wins. A projection, nothing is shuffled."""
+    """(path, lang, line, type, name) from lines: the first pattern of the language that matches wins. A projection, nothing is shuffled."""
     table = symbol_patterns() if patterns is None else patterns
-    kind = T.StructType([T.StructField("type", T.StringType()), T.StructField("name", T.StringType())])
-
-    def first(own: list[SymbolPattern]) -> Column:
-        found = [(p, match(F.col("text"), p.regex, p.group)) for p in own]
-        return F.coalesce(*[F.when(m.isNotNull(), F.struct(F.lit(p.type).alias("type"), m.alias("name"))) for p, m in found], F.lit(None).cast(kind))
-
-    found = of.select("path", "lang", "line", _by_language(table, F.col("lang"), first).alias("__s")).where("__s is not null")
-    return found.select("path", "lang", "line", "__s.type", "__s.name")
+    # type and name travel as one string, which is null where the name is
+    first = lambda own: F.coalesce(*[F.concat(F.lit(p.type + "\n"), match(F.col("text"), p.regex, p.group)) for p in own], F.lit(None))
+    # exploding keeps the long expression from being repeated in the filter and in what is made of it
+    found = of.select("path", "lang", "line", F.explode(F.array_compact(F.array(_by_language(table, F.col("lang"), first)))).alias("__s"))
+    cut = F.split("__s", "\n", 2)
+    return found.select("path", "lang", "line", F.get(cut, F.lit(0)).alias("type"), F.get(cut, F.lit(1)).alias("name")).where("name <> ''")
 
 
 def imports(of: DataFrame, patterns: Sequence[ImportPattern] | None = None) -> DataFrame:
     """(path, module), distinct, from lines: all groups of all patterns of the language, quotes stripped."""
     table = import_patterns() if patterns is None else patterns
-    groups = lambda own: F.array(*[match(F.col("text"), p.regex, g) for p in own for g in p.groups])
+    groups = lambda own: F.array(*[F.regexp_extract("text", UNICODE + p.regex, g) for p in own for g in p.groups])
     found = of.select("path", F.explode(_by_language(table, F.col("lang"), groups)).alias("module"))
-    return found.where("module is not null").select("path", F.btrim("module", F.lit("'\"")).alias("module")).distinct()
+    return found.where("module <> ''").select("path", F.btrim("module", F.lit("'\"")).alias("module")).distinct()
 
 
 _SUSPENDS = re.compile(r"\bco_(?:await|return|yield)\b")

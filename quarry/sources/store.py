@@ -12,6 +12,16 @@ from quarry.operators.index import Index
 
 REFS = "ref string, kind string, snapshot_id string, at long"
 _ENTRY = "array<struct<type:string,name:string,line:int,is_coroutine:boolean>>"
+TABLES = {
+    "files": "path string, base string, stem string, dir string, lang string, size long, lines int, truncated boolean, mtime long",
+    "symbols": "path string, lang string, line int, type string, name string, is_coroutine boolean",
+    "imports": "path string, module string",
+    "exports": "path string, name string",
+    "import_edges": "src string, dst string",
+    "entry_points": "path string",
+    "config_files": "path string",
+    "dir_stats": "dir string, file_count long, total_size long, languages map<string,bigint>",
+}
 DOCUMENT = f"""
 meta struct<root:string,indexed_at:long,build_time_ms:long,total_files:long,total_symbols:long,languages:map<string,bigint>,git_commit:string,
 git_short_commit:string,git_branch:string,git_tag:string,git_describe:string,git_dirty:boolean>,
@@ -24,13 +34,16 @@ dir_map map<string,struct<file_count:bigint,total_size:bigint,languages:map<stri
 class SnapshotStore:
     """A folder, local or in any store that Spark reads: one Parquet table for each table of an index, partitioned by snapshot, and refs.
 
-    A snapshot is written by overwriting its partitions only. References are appended with a time; the latest row of each counts,
+    A snapshot is written by overwriting its own folders only. References are appended with a time; the latest row of each counts,
     so a branch name may hold slashes and indexing an old commit moves no branch unless asked to.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _at(self, name: str, snapshot_id: str) -> str:
+        return f"{self.root}/{name}/snapshot_id={snapshot_id}"
+
     def refs(self) -> DataFrame:
         try:
             rows = self.spark.read.schema(REFS).parquet(f"{self.root}/refs")
@@ -43,11 +56,10 @@ class SnapshotStore:
     def save(self, index: Index, snapshot_id: str, branch: str | None = None, current: bool = True) -> None:
         """Write an index; its commit, its branch if given, and the current snapshot then refer to it."""
         for name, df in index.tables().items():
-            row = df.withColumn("snapshot_id", F.lit(snapshot_id))
-            row = row.withColumns({c: F.col(c).cast("string") for c, kind in row.dtypes if kind == "void"})
+            row = df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "void"})
             key = [c for c in ("path", "src", "dir") if c in df.columns][:1]
-            row = row.sortWithinPartitions(*key) if key else row
-            row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{self.root}/{name}")
+            row = row.sortWithinPartitions(*key) if key else row  # so that lookups by key skip row groups
+            row.write.mode("overwrite").parquet(self._at(name, snapshot_id))
         at = time.time_ns()
         rows = [(snapshot_id, "commit", snapshot_id, at)] + ([(branch, "branch", snapshot_id, at)] if branch else []) + ([("current", "current", snapshot_id, at)] if current else [])
         self.spark.createDataFrame(rows, REFS).coalesce(1).write.mode("append").parquet(f"{self.root}/refs")
@@ -66,15 +78,15 @@ class SnapshotStore:
         snapshot = self.resolve(ref, fallback_current)
         if snapshot is None:
             raise KeyError(f"no snapshot for {ref!r}")
-        one = lambda name: self.spark.read.parquet(f"{self.root}/{name}").where(F.col("snapshot_id") == snapshot).drop("snapshot_id")
-        return Index(**{name: one(name) for name in Index.__dataclass_fields__})
+        read = lambda name: (self.spark.read.schema(TABLES[name]) if name in TABLES else self.spark.read).parquet(self._at(name, snapshot))
+        return Index(**{name: read(name) for name in Index.__dataclass_fields__})
 
     def snapshots(self) -> DataFrame:
         """Every reference with the figures of its snapshot."""
         refs = self.refs()
         if refs.isEmpty():
             return refs
-        meta = self.spark.read.parquet(f"{self.root}/meta")
+        meta = self.spark.read.schema("total_files long, total_symbols long, snapshot_id string").parquet(f"{self.root}/meta")
         return refs.join(meta.select("snapshot_id", "total_files", "total_symbols"), "snapshot_id", "left").orderBy("kind", "ref")
 
 

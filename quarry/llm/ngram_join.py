@@ -23,10 +23,13 @@ from pyspark.sql import functions as F
 from quarry.llm.common import stage, tune
 
 WORDS, PERCENT = 5, 75
-#: Groups that shingles are hashed into; points in a leaf of the tree; points in a block, the unit that a task holds.
-GROUPS, LEAF, BLOCK = 64, 16, 256
+#: Groups that shingles are hashed into; sums of so many of them bound first; points in a leaf of the tree; points in a block, the unit
+#: that a task holds; a count that fits no more and so bounds nothing.
+GROUPS, COARSE, LEAF, BLOCK, FULL = 256, 4, 16, 256, 15
 #: A document shows SLACK more of its leading shingles, as a share of their number, so that frequent ones can be left out.
 SLACK = 10
+#: Turns of comparing with leaders before all that is still apart is searched.
+TURNS = 3
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -54,9 +57,10 @@ def shingles(words: list[bytes], size: int = WORDS) -> np.ndarray:
     return np.unique(_mix(total + np.uint64(size if short else 0)))
 
 
-def groups_of(s: np.ndarray) -> np.ndarray:
-    """The count vector of a set."""
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def groups_of(s: np.ndarray) -> bytes:
+    """The count vector of a set, two counts in a byte."""
+    v = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS).clip(max=FULL).astype(np.uint8)
+    return (v[::2] << 4 | v[1::2]).tobytes()
 
 
 def needed(n: int) -> int:
@@ -121,43 +125,70 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = words_of(t)
             if _key(w) == (h1, h2):  # not another text that has the same doc_id
                 s = shingles(w)
-                rows.append((rep, h1, len(s), groups_of(s).astype("<u4").tobytes(), s.astype("<u8").tobytes()))
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["rep", "h1", "n", "vec", "whole"])
+                fine = (s >> np.uint64(48)).astype("<u2").tobytes()
+                rows.append((rep, h1, len(s), groups_of(s), fine, s.astype("<u8").tobytes()))
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["rep", "h1", "n", "vec", "fine", "whole"])
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int32)
+    half = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS // 2)
+    v = np.empty((len(half), GROUPS), np.uint16)
+    v[:, ::2], v[:, 1::2] = half >> 4, half & 15
+    v[v == FULL] = 1 << 12  # bounds nothing; 16 such counts still fit a sum of groups
+    return v
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        a, c = b.column("a").to_pylist(), b.column("b").to_pylist()
-        n, m = b.column("n").to_numpy().astype(np.int64), b.column("m").to_numpy().astype(np.int64)
-        bound = np.minimum(_vectors(b.column("va")), _vectors(b.column("vb"))).sum(1)
-        maybe = np.flatnonzero(linked(bound, n, m))
-        left, right = b.column("sa"), b.column("sb")
-        rows = []
-        for i in maybe.tolist():
-            x, y = np.frombuffer(left[i].as_buffer(), "<u8"), np.frombuffer(right[i].as_buffer(), "<u8")
-            if len(y) < len(x):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            overlap = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            if linked(np.int64(overlap), n[i], m[i]):
-                rows.append((a[i], c[i], overlap))
-        cols = list(zip(*rows, strict=True)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["a", "b", "overlap"])
+def _summed(v: np.ndarray) -> np.ndarray:
+    return v.reshape(len(v), -1, COARSE).sum(2, dtype=np.uint16)
+
+
+def _possible(v: np.ndarray, w: np.ndarray, n: np.ndarray, m: np.ndarray, coarse: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of index pairs (i, j) into the points v and w those that the bound leaves: first on summed groups, then on all."""
+    keep = np.zeros(len(i), bool)
+    for k in range(0, len(i), 1 << 15):
+        a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+        at = np.flatnonzero(linked(np.minimum(coarse[0][a], coarse[1][b]).sum(1, dtype=np.int64), n[a], m[b]))
+        a, b = a[at], b[at]
+        keep[k + at[linked(np.minimum(v[a], w[b]).sum(1, dtype=np.int64), n[a], m[b])]] = True
+    return keep
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Elements of the shorter sorted array that are in the other one."""
+    if len(y) < len(x):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def _checked(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = b.column("n").to_numpy().astype(np.int64), b.column("m").to_numpy().astype(np.int64)
+            left, right = b.column("x"), b.column("y")
+            found = np.array([_overlap(np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)) for x, y in zip(left, right, strict=True)], np.int64)
+            keep = pa.array(linked(found, n, m))
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+
+    return run
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those that link, with their overlap: first by the bound on count vectors, then on whole sets."""
-    left = sets.select(F.col("rep").alias("a"), "n", F.col("vec").alias("va"), F.col("whole").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("vec").alias("vb"), F.col("whole").alias("sb"))
-    sized = pairs.join(sets.select(F.col("rep").alias("a"), "n"), "a").join(sets.select(F.col("rep").alias("b"), F.col("n").alias("m")), "b")
-    fit = sized.where(_sizes_fit(F.col("n"), F.col("n"), F.col("m"), F.col("m"))).select("a", "b")
-    return fit.join(left, "a").join(right, "b").mapInArrow(_verified, "a long, b long, overlap int")
+    """Of distinct pairs (a, b) those that link.
+
+    First by sizes; then by count vectors of 65,536 groups, kept as the sorted groups of each set (two bytes for each shingle), which
+    leave little but links; then on the whole sets.
+    """
+
+    def side(name: str, size: str, what: str | None, to: str) -> DataFrame:
+        return sets.select(F.col("rep").alias(name), F.col("n").alias(size), *([F.col(what).alias(to)] if what else []))
+
+    sized = pairs.join(side("a", "n", None, ""), "a").join(side("b", "m", None, ""), "b")
+    sized = sized.where(_sizes_fit(F.col("n"), F.col("n"), F.col("m"), F.col("m"))).select("a", "b")
+    rough = sized.join(side("a", "n", "fine", "x"), "a").join(side("b", "m", "fine", "y"), "b").mapInArrow(_checked("<u2"), "a long, b long")
+    rough = stage(rough, "rough")
+    return rough.join(side("a", "n", "whole", "x"), "a").join(side("b", "m", "whole", "y"), "b").mapInArrow(_checked("<u8"), "a long, b long")
 
 
 def _sizes_fit(nmin: Column, nmax: Column, mmin: Column, mmax: Column) -> Column:
@@ -165,70 +196,83 @@ def _sizes_fit(nmin: Column, nmax: Column, mmin: Column, mmax: Column) -> Column
 
 
 class RTree:
-    """Points (count vectors) in leaves of LEAF, packed by size and then by their heaviest coordinates; nodes hold upper corners."""
+    """Points (count vectors) in leaves of LEAF, packed by size and then by a part of their counts; nodes hold upper corners."""
 
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
-        heavy = vectors[:, : GROUPS // 2].sum(1)
-        self.order = np.lexsort((heavy, sizes))
+        self.vectors, self.sizes, self.coarse = vectors, sizes, _summed(vectors)
+        self.order = np.lexsort((self.coarse[:, : GROUPS // COARSE // 2].sum(1, dtype=np.int64), sizes))
         starts = np.arange(0, len(sizes), LEAF)
-        self.vectors, self.sizes = vectors[self.order], sizes[self.order]
-        self.upper = np.maximum.reduceat(self.vectors, starts, axis=0)
-        self.least, self.most = np.minimum.reduceat(self.sizes, starts), np.maximum.reduceat(self.sizes, starts)
+        self.upper = np.maximum.reduceat(self.coarse[self.order], starts, axis=0)
+        self.least, self.most = np.minimum.reduceat(sizes[self.order], starts), np.maximum.reduceat(sizes[self.order], starts)
 
-    def search(self, vectors: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) index pairs that the bound doesn't rule out."""
-        found = []
+    def search(self, vectors: np.ndarray, sizes: np.ndarray, apart) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) index pairs that the bound doesn't rule out, as far as ``apart`` wants them."""
+        found, coarse = [], _summed(vectors)
         for k, upper in enumerate(self.upper):
-            bound = np.minimum(vectors, upper).sum(1)
             fits = (100 * self.most[k] >= PERCENT * sizes) & (100 * sizes >= PERCENT * self.least[k])
-            q = np.flatnonzero(fits & linked(bound, sizes, np.full_like(sizes, self.least[k])))
+            q = np.flatnonzero(fits)
+            bound = np.minimum(coarse[q], upper).sum(1, dtype=np.int64)
+            q = q[linked(bound, sizes[q], np.full(len(q), self.least[k]))]
             if len(q):
-                a, b = k * LEAF, min((k + 1) * LEAF, len(self.sizes))
-                pair = np.minimum(vectors[q][:, None], self.vectors[None, a:b]).sum(2)
-                i, j = np.nonzero(linked(pair, sizes[q][:, None], self.sizes[None, a:b]))
-                found.append((q[i], self.order[a + j]))
+                own = self.order[k * LEAF : (k + 1) * LEAF]
+                i, j = np.repeat(q, len(own)), np.tile(own, len(q))
+                want = apart(i, j)
+                i, j = i[want], j[want]
+                keep = _possible(vectors, self.vectors, sizes, self.sizes, (coarse, self.coarse), i, j)
+                found.append((i[keep], j[keep]))
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, x, y): blocks x and y of a bucket. Out come pairs from different components that the bound leaves."""
+    """Rows sorted by (sig, x, y): blocks x and y of a bucket. Out come pairs from different components that the bound leaves.
 
-    def pairs(t: pa.Table) -> np.ndarray:
-        rep, comp, side = (t.column(c).to_numpy() for c in ("rep", "comp", "side"))
-        n, v = t.column("n").to_numpy().astype(np.int64), _vectors(t.column("vec").combine_chunks())
-        one = t.column("x")[0].as_py() == t.column("y")[0].as_py()
-        left = np.arange(len(rep)) if one else np.flatnonzero(side == 0)
-        right = left if one else np.flatnonzero(side == 1)
-        if not len(left) or not len(right):
-            return np.empty((0, 2), np.int64)
-        i, j = RTree(v[right], n[right]).search(v[left], n[left])
-        a, b = rep[left[i]], rep[right[j]]
-        keep = (comp[left[i]] != comp[right[j]]) & ((a < b) if one else (a != b))
-        return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[keep]
-
-    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pairs(pa.Table.from_batches(held))
-        if len(out):
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+    Buckets of up to LEAF points, by far the most, are one leaf each and are gone through together; others are searched by a tree.
+    """
 
-    held: list[pa.RecordBatch] = []
-    now = None
+    def pairs(t: pa.Table, cuts: np.ndarray) -> np.ndarray:
+        rep, comp, side, x, y = (t.column(c).to_numpy() for c in ("rep", "comp", "side", "x", "y"))
+        n, v = t.column("n").to_numpy().astype(np.int64), _vectors(t.column("vec").combine_chunks())
+        coarse, out, small = _summed(v), [], []
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            if z - a <= LEAF and x[a] == y[a]:
+                small.append((a, z - a))
+                continue
+            left = np.arange(a, z) if x[a] == y[a] else a + np.flatnonzero(side[a:z] == 0)
+            right = left if x[a] == y[a] else a + np.flatnonzero(side[a:z] == 1)
+            if len(left) and len(right):
+                one = x[a] == y[a]
+                apart = lambda i, j, l=left, r=right, one=one: (comp[l[i]] != comp[r[j]]) & ((rep[l[i]] < rep[r[j]]) if one else True)
+                i, j = RTree(v[right], n[right]).search(v[left], n[left], apart)
+                out.append(np.stack([rep[left[i]], rep[right[j]]], 1))
+        small = np.array(small, np.int64).reshape(-1, 2)
+        for k in np.unique(small[:, 1]):
+            begin = small[small[:, 1] == k, 0]
+            i, j = np.triu_indices(k, 1)
+            i, j = (begin[:, None] + i).ravel(), (begin[:, None] + j).ravel()
+            want = (comp[i] != comp[j]) & (100 * n[i] >= PERCENT * n[j]) & (100 * n[j] >= PERCENT * n[i])
+            i, j = i[want], j[want]
+            keep = _possible(v, v, n, n, (coarse, coarse), i, j)
+            out.append(np.stack([rep[i[keep]], rep[j[keep]]], 1))
+        found = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+        found.sort(axis=1)
+        return np.unique(found[found[:, 0] < found[:, 1]], axis=0)
+
+    rest: pa.Table | None = None
     for b in batches:
-        if not b.num_rows:
+        t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        if not t.num_rows:
             continue
-        keys = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("sig", "x", "y")], 1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-        for a, z in zip(cuts, cuts[1:], strict=False):
-            key = tuple(keys[a].tolist())
-            if held and key != now:
-                yield from flush(held)
-                held = []
-            now = key
-            held.append(b.slice(a, z - a))
-    if held:
-        yield from flush(held)
+        keys = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("sig", "x", "y")], 1)
+        cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1])
+        rest = t.slice(cuts[-1])  # the last bucket may go on
+        if len(cuts) > 1:
+            out = pairs(t.slice(0, cuts[-1]), cuts)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+    if rest is not None:
+        out = pairs(rest, np.array([0, rest.num_rows]))
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -254,36 +298,71 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _buckets(texts: DataFrame) -> DataFrame:
-    """(h1, n, sig, leader): the shown shingles that each text needs to be found by, rarest first, as far as others show them too."""
+def _sure(n: Column) -> Column:
+    return 1 + F.floor(F.ceil(F.lit(PERCENT) * n / 100) / SLACK)
+
+
+def _shared(texts: DataFrame) -> DataFrame:
+    """(h1, n, sig, count): the shown shingles that more than one text shows."""
     shows = texts.mapInArrow(_leading, "h1 long, n int, sigs array<long>").select("h1", "n", F.explode("sigs").alias("sig"))
     by = Window.partitionBy("sig")
-    shared = shows.withColumn("leader", F.min("h1").over(by)).withColumn("__last", F.max("h1").over(by)).withColumn("count", F.count(F.lit(1)).over(by))
-    shared = shared.where(F.col("leader") != F.col("__last")).drop("__last").repartition("h1").dropDuplicates(["h1", "sig"])
-    need = F.ceil(F.lit(PERCENT) * F.col("n") / 100)
-    n_sure = 1 + F.floor(need / SLACK)
-    n_shown = F.col("n") - need + 1 + F.floor(F.col("n") / SLACK)
-    own = Window.partitionBy("h1")
-    ranked = shared.withColumn("__all", F.count(F.lit(1)).over(own)).where(F.col("__all") >= n_sure)
-    ranked = ranked.withColumn("__rank", F.row_number().over(own.orderBy("count", "sig")))
-    # those that nobody else shows come first in the order and count, though they aren't here
-    return ranked.where(F.col("__rank") <= n_shown - n_sure + 1 - (n_shown - F.col("__all"))).select("h1", "n", "sig", "leader")
-
-
-def _first_pairs(buckets: DataFrame, reps: DataFrame) -> DataFrame:
-    """Each text with the leader that most of its buckets have."""
-    votes = buckets.where("h1 <> leader").groupBy("h1", "leader").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("h1").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
-    to = best.join(reps.select("h1", F.col("rep").alias("a")), "h1").join(reps.select(F.col("h1").alias("leader"), F.col("rep").alias("b")), "leader")
-    return to.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _later_pairs(buckets: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs within a bucket from different components, as far as the bound on nodes and points leaves them."""
-    points = buckets.select("h1", "sig").join(sets.select("h1", "rep", "n", "vec"), "h1").drop("h1")
-    points = points.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    mixed = points.groupBy("sig").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b")).where("__a <> __b").select("sig")
-    points = points.join(mixed, "sig")
+    met = shows.withColumn("__first", F.min("h1").over(by)).withColumn("__last", F.max("h1").over(by)).withColumn("count", F.count(F.lit(1)).over(by))
+    met = met.where(F.col("__first") != F.col("__last")).select("h1", "n", "sig", "count").repartition("h1").dropDuplicates(["h1", "sig"])
+    return met.withColumn("__all", F.count(F.lit(1)).over(Window.partitionBy("h1"))).where(F.col("__all") >= _sure(F.col("n"))).drop("__all")
+
+
+def _selected(shared: DataFrame) -> DataFrame:
+    """(h1, n, sig, part): of the shingles that each text shows and others show too, those that it needs to be found by, rarest first.
+
+    Texts that link share ``sure(n)`` of them at least, so all but ``sure(n) - 1`` of each side's, in one order, have one in common. part:
+    which part of all that the text shows others show too.
+    """
+    own, n = Window.partitionBy("h1"), F.col("n")
+    ranked = shared.withColumn("__all", F.count(F.lit(1)).over(own)).withColumn("__rank", F.row_number().over(own.orderBy("count", "sig")))
+    n_shown = n - F.ceil(F.lit(PERCENT) * n / 100) + 1 + F.floor(n / SLACK)
+    kept = ranked.where((F.col("__all") >= _sure(n)) & (F.col("__rank") <= F.col("__all") - _sure(n) + 1))
+    return kept.select("h1", "n", "sig", (F.col("__all") / n_shown).alias("part"))
+
+
+def _mixed(shared: DataFrame) -> DataFrame:
+    """Rows (h1, comp, n, sig) of shingles that texts of different components show, counted anew, of texts that have enough of them to link."""
+    ends = shared.groupBy("sig").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b"), F.count(F.lit(1)).alias("count")).where("__a <> __b").select("sig", "count")
+    met = shared.drop("count").join(ends, "sig")
+    return met.withColumn("__all", F.count(F.lit(1)).over(Window.partitionBy("h1"))).where(F.col("__all") >= _sure(F.col("n"))).drop("__all")
+
+
+def _leader_pairs(buckets: DataFrame, reps: DataFrame, turn: int) -> DataFrame:
+    """(a, b, best): each text with the leaders of its buckets; best: with the one that most of them have.
+
+    At first a bucket's leader is the text with the least of its own: what copies were made from shares all, while each copy has
+    edits. At later turns it is a pseudorandom one, another in each bucket.
+    """
+    rank = F.struct("part", "h1") if turn == 0 else F.struct(F.xxhash64("h1", "sig", F.lit(turn)), "h1")
+    leader = buckets.groupBy("sig").agg(F.max_by("h1", rank).alias("leader"))
+    votes = buckets.select("h1", "sig").join(leader, "sig").where("h1 <> leader").groupBy("h1", "leader").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("h1").agg(F.max_by("leader", F.struct("votes", "leader")).alias("__best"))
+    to = votes.join(best, "h1").select("h1", "leader", (F.col("leader") == F.col("__best")).alias("best"))
+    to = to.join(reps.select("h1", F.col("rep").alias("a")), "h1").join(reps.select(F.col("h1").alias("leader"), F.col("rep").alias("b")), "leader").where("a <> b")
+    return to.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("best").alias("best"))
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    side = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"__{c}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.where(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b")
+
+
+def _later_pairs(shared: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs from different components that share a bucket, as far as the bound on nodes and points leaves them.
+
+    What links across components shares ``sure(n)`` shingles that are shown across components, so only these count now.
+    """
+    placed = sets.select("h1", "rep").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "rep", F.coalesce("component", "rep").alias("comp"))
+    rows = stage(_mixed(shared.join(placed, "h1")), "mixed")
+    rows = stage(_mixed(rows), "mixed")
+    chosen = _selected(rows.select("h1", "n", "sig", "count")).select("h1", "sig")
+    points = chosen.join(placed, "h1").join(sets.select("rep", "n", "vec"), "rep").select("sig", "rep", "comp", "n", "vec")
     block = F.expr(f"(row_number() over (partition by sig order by comp, n, rep) - 1) div {BLOCK}").cast("int")
     points = stage(points.withColumn("block", block), "points")
     nodes = points.groupBy("sig", "block").agg(
@@ -311,18 +390,32 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sized = stage(rows.mapInArrow(_sized, "doc_id long, h1 long, h2 long, n int"), "sized")
     named = rows.where("doc_id is not null")
-    buckets = stage(_buckets(named.select("text")), "buckets")
+    shared = stage(_shared(named.select("text")), "shared")
+    buckets = stage(_selected(shared), "buckets")
     free_shuffles(spark)
     classes = stage(sized.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     chosen = classes.join(buckets.select("h1").distinct(), "h1", "left_semi")
     held = named.join(chosen.select(F.col("rep").alias("doc_id"), "h1", "h2"), "doc_id")
-    sets = stage(held.select("doc_id", "h1", "h2", "text").mapInArrow(_sets, "rep long, h1 long, n int, vec binary, whole binary"), "sets")
+    sets = stage(held.select("doc_id", "h1", "h2", "text").mapInArrow(_sets, "rep long, h1 long, n int, vec binary, fine binary, whole binary"), "sets")
     free_shuffles(spark)
-    first = stage(verify(_first_pairs(buckets, sets.select("h1", "rep")), sets), "links")
-    comps = components(first)
-    second = stage(verify(_later_pairs(buckets, sets, comps), sets), "links")
+    reps = sets.select("h1", "rep")
+    leaders = stage(_leader_pairs(buckets, reps, 0), "leaders")
+    links = stage(verify(leaders.where("best").select("a", "b"), sets), "links")
+    comps = components(links)
+    tested = leaders.select("a", "b")
+    for turn in range(TURNS):  # what is together needs no further comparing, so each turn leaves less to the next
+        pairs = leaders.where("not best").select("a", "b") if turn == 0 else stage(_apart(_leader_pairs(buckets, reps, turn).select("a", "b"), comps), "leaders")
+        new = stage(verify(_apart(pairs, comps), sets), "links")
+        if turn:
+            tested = tested.unionByName(pairs)
+        links = links.unionByName(new)
+        if not new.isEmpty():
+            comps = components(links)
+    free_shuffles(spark)
+    later = stage(_later_pairs(shared, sets, comps).join(tested.distinct(), ["a", "b"], "left_anti"), "later")
     # several classes of one doc_id are one node already; classes meet by their rep
-    comps = components(first.select("a", "b").unionByName(second.select("a", "b")))
+    comps = components(links.unionByName(verify(later, sets)))
+    free_shuffles(spark)
     known = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
     known = known.select("h1", "h2", F.coalesce("component", "rep").alias("__component"))
     out = sized.join(known, ["h1", "h2"], "left")

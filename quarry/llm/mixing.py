@@ -80,7 +80,11 @@ def source_targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def _plan(documents: DataFrame, block_words: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with their place in the source's stream; sources with targets and slot counts; slots (rank, block, shard, slot)."""
+    """Rows with their place in the source's stream; sources with targets and slot counts; slots (rank, block, shard, slot).
+
+    Slots are made from one row for each source, so the planner takes them for a small table, which they aren't: joins with them
+    must ask for a merge join, or else they would be broadcast.
+    """
     tune(documents.sparkSession)
     rows = stage(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h")), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -115,7 +119,7 @@ def _pieces(rows: DataFrame, block_words: int) -> DataFrame:
 def block_slots(documents: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """The mix slot by slot: shard, slot, and the pieces (doc_id, words from, to) of the block that it takes, joined by block index."""
     rows, _, slots = _plan(documents, block_words, seed)
-    return slots.join(_pieces(rows, block_words).select("rank", "block", "doc_id", "from", "to"), ["rank", "block"]).select("shard", "slot", "doc_id", "from", "to")
+    return slots.hint("merge").join(_pieces(rows, block_words).select("rank", "block", "doc_id", "from", "to"), ["rank", "block"]).select("shard", "slot", "doc_id", "from", "to")
 
 
 def mix_documents(documents: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
@@ -126,7 +130,7 @@ def mix_documents(documents: DataFrame, block_words: int = BLOCK_WORDS, seed: in
     """
     rows, _, slots = _plan(documents, block_words, seed)
     times = slots.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
-    got = _pieces(rows, block_words).join(times, ["rank", "block"])
+    got = _pieces(rows, block_words).join(times.hint("merge"), ["rank", "block"])
     got = got.groupBy("rank", "begin").agg(F.sum((F.col("to") - F.col("from")) * F.col("times")).alias("taken"))  # begin is unique where size > 0
     full = rows.where("size > 0").join(got, ["rank", "begin"], "left")
     none = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
@@ -159,7 +163,7 @@ def mixed_corpus(documents: DataFrame, block_words: int = BLOCK_WORDS, seed: int
     """
     rows, _, slots = _plan(documents, block_words, seed)
     times = slots.groupBy("rank", "block").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    got = _pieces(rows, block_words).join(times, ["rank", "block"])
+    got = _pieces(rows, block_words).join(times.hint("merge"), ["rank", "block"])
     part = F.struct(F.col("from"), F.col("to"), F.col("times"))
     parts = got.groupBy("doc_id", "source", "h").agg(F.collect_list(part).alias("__parts"))
     cols = documents.columns

@@ -28,8 +28,8 @@ WORDS, PERCENT = 5, 75
 GROUPS, COARSE, LEAF, BLOCK, FULL = 256, 4, 16, 256, 15
 #: A document shows SLACK more of its leading shingles, as a share of their number, so that frequent ones can be left out.
 SLACK = 10
-#: Turns of comparing with leaders before all that is still apart is searched.
-TURNS = 3
+#: Texts that may link for each part of the tables of pairs.
+PART_TEXTS = 4000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -174,21 +174,29 @@ def _checked(kind: str):
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """Of distinct pairs (a, b) those that link.
 
     First by sizes; then by count vectors of 65,536 groups, kept as the sorted groups of each set (two bytes for each shingle), which
     leave little but links; then on the whole sets.
     """
 
-    def side(name: str, size: str, what: str | None, to: str) -> DataFrame:
-        return sets.select(F.col("rep").alias(name), F.col("n").alias(size), *([F.col(what).alias(to)] if what else []))
+    def side(name: str, size: str, what: str, to: str, of: DataFrame) -> DataFrame:
+        return of.select(F.col("rep").alias(name), F.col("n").alias(size), F.col(what).alias(to))
 
-    sized = pairs.join(side("a", "n", None, ""), "a").join(side("b", "m", None, ""), "b")
-    sized = sized.where(_sizes_fit(F.col("n"), F.col("n"), F.col("m"), F.col("m"))).select("a", "b")
-    rough = sized.join(side("a", "n", "fine", "x"), "a").join(side("b", "m", "fine", "y"), "b").mapInArrow(_checked("<u2"), "a long, b long")
-    rough = stage(rough, "rough")
-    return rough.join(side("a", "n", "whole", "x"), "a").join(side("b", "m", "whole", "y"), "b").mapInArrow(_checked("<u8"), "a long, b long")
+    own = _those(sets, pairs)
+    met = pairs.select("a", "b").join(side("a", "n", "fine", "x", own), "a").join(side("b", "m", "fine", "y", own), "b")
+    rough = met.where(_sizes_fit(F.col("n"), F.col("n"), F.col("m"), F.col("m"))).mapInArrow(_checked("<u2"), "a long, b long")
+    rough = stage(rough.coalesce(parts), "rough")
+    own = _those(sets, rough)
+    return rough.join(side("a", "n", "whole", "x", own), "a").join(side("b", "m", "whole", "y", own), "b").mapInArrow(_checked("<u8"), "a long, b long").coalesce(parts)
+
+
+def _those(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of texts in pairs (a staged table), where these are few; all of them where picking them out would move as much."""
+    if 4 * pairs.count() > sets.count():
+        return sets
+    return sets.join(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), "rep", "left_semi")
 
 
 def _sizes_fit(nmin: Column, nmax: Column, mmin: Column, mmax: Column) -> Column:
@@ -275,18 +283,25 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, parts: int, name: str = "components") -> DataFrame:
     """(node, component) of each node on an edge (a, b): the smallest node reachable. Each round is staged in the shared folder.
 
-    A round takes the least label among neighbours and then that label's own label, until nothing changes.
+    A round takes the least label among neighbours and then that label's own label, twice, until nothing changes. Tables are written in
+    ``parts`` parts, as the number of texts asks for.
     """
-    both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"), name)
-    while True:
+    both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().coalesce(parts), f"{name}-edges")
+
+    def lower(labels: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
-        new = stage(low.join(jump, "to").select("node", "old", F.least("to", "further").alias("label")), name)
+        low = labels.join(near, "node").select("node", F.least("label", "near").alias("to"))
+        return low.join(labels.select(F.col("node").alias("to"), F.col("label").alias("further")), "to").select("node", F.least("to", "further").alias("label"))
+
+    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label")
+    labels = stage(lower(labels).coalesce(parts), name)
+    while True:
+        once = lower(labels)
+        new = lower(once).join(labels.select("node", F.col("label").alias("old")), "node").select("node", "old", "label")
+        new = stage(new.coalesce(parts), name)
         if new.where("old <> label").isEmpty():
             return new.select("node", F.col("label").alias("component"))
         labels = new.select("node", "label")
@@ -360,7 +375,6 @@ def _later_pairs(shared: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFr
     """
     placed = sets.select("h1", "rep").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "rep", F.coalesce("component", "rep").alias("comp"))
     rows = stage(_mixed(shared.join(placed, "h1")), "mixed")
-    rows = stage(_mixed(rows), "mixed")
     chosen = _selected(rows.select("h1", "n", "sig", "count")).select("h1", "sig")
     points = chosen.join(placed, "h1").join(sets.select("rep", "n", "vec"), "rep").select("sig", "rep", "comp", "n", "vec")
     block = F.expr(f"(row_number() over (partition by sig order by comp, n, rep) - 1) div {BLOCK}").cast("int")
@@ -399,22 +413,20 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     sets = stage(held.select("doc_id", "h1", "h2", "text").mapInArrow(_sets, "rep long, h1 long, n int, vec binary, fine binary, whole binary"), "sets")
     free_shuffles(spark)
     reps = sets.select("h1", "rep")
-    leaders = stage(_leader_pairs(buckets, reps, 0), "leaders")
-    links = stage(verify(leaders.where("best").select("a", "b"), sets), "links")
-    comps = components(links)
-    tested = leaders.select("a", "b")
-    for turn in range(TURNS):  # what is together needs no further comparing, so each turn leaves less to the next
-        pairs = leaders.where("not best").select("a", "b") if turn == 0 else stage(_apart(_leader_pairs(buckets, reps, turn).select("a", "b"), comps), "leaders")
-        new = stage(verify(_apart(pairs, comps), sets), "links")
-        if turn:
-            tested = tested.unionByName(pairs)
-        links = links.unionByName(new)
-        if not new.isEmpty():
-            comps = components(links)
+    parts = sets.count() // PART_TEXTS + 12
+    leaders = stage(_leader_pairs(buckets, reps, 0).coalesce(parts), "leaders")
+    links = stage(verify(leaders.where("best").select("a", "b"), sets, parts), "links")
+    comps = components(links, parts)
+    # what is together needs no further comparing, so each turn leaves less to the next
+    more = _leader_pairs(buckets, reps, 1).select("a", "b").unionByName(leaders.where("not best").select("a", "b"))
+    more = stage(_apart(more, comps).distinct().coalesce(parts), "leaders")
+    links = stage(links.unionByName(verify(more, sets, parts)).coalesce(parts), "links")
+    comps = components(links, parts)
     free_shuffles(spark)
-    later = stage(_later_pairs(shared, sets, comps).join(tested.distinct(), ["a", "b"], "left_anti"), "later")
+    tested = leaders.select("a", "b").unionByName(more).distinct()
+    later = stage(_later_pairs(shared, sets, comps).join(tested, ["a", "b"], "left_anti").coalesce(parts), "later")
     # several classes of one doc_id are one node already; classes meet by their rep
-    comps = components(links.unionByName(verify(later, sets)))
+    comps = components(links.unionByName(verify(later, sets, parts)), parts)
     free_shuffles(spark)
     known = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
     known = known.select("h1", "h2", F.coalesce("component", "rep").alias("__component"))

@@ -28,6 +28,9 @@ HIGH = ((5, 1.45), (6, 1.25), (7, 1.05), (8, 0.88), (9, 0.80), (10, 0.68), (11,
 CHUNK, CHUNK_BAND, CHUNK_SHARE, LEVEL = 4096, (0.40, 0.62), 0.34, 3
 
 
+_ODD = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(16)]
+
+
 def repeated_words(words: list[bytes], size: int = 5) -> int:
     """Words that lie in a window of ``size`` words found twice or more in the text, first occurrences included."""
     n = len(words) - size + 1
@@ -35,12 +38,15 @@ def repeated_words(words: list[bytes], size: int = 5) -> int:
         return 0
     ids: dict[bytes, int] = {}
     codes = np.array([ids.setdefault(w, len(ids)) for w in words], np.int64)
+    mixed = np.zeros(n, np.uint64)
+    for k in range(size):  # equal windows have equal sums; most texts have no two alike and end here
+        mixed += (codes[k : n + k].astype(np.uint64) + np.uint64(1)) * _ODD[k]
+    mixed.sort()
+    if not (mixed[1:] == mixed[:-1]).any():
+        return 0
     rank = codes
     for k in range(1, size):  # rank of each window, doubled word by word: exact, no hashing
-        pair = rank[: len(codes) - k] * len(ids) + codes[k:]
-        _, rank = np.unique(pair, return_inverse=True)
-        if k < size - 1 and len(np.bincount(rank)) == len(rank):
-            return 0
+        _, rank = np.unique(rank[: len(codes) - k] * len(ids) + codes[k:], return_inverse=True)
     twice = np.bincount(rank)[rank] > 1
     if not twice.any():
         return 0

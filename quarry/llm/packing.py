@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import stage, tune
 
-WINDOW, END_ID, SHARD_TOKENS, QUERY_TERMS, CACHE_WORDS = 2048, 1, 4_000_000, 16, 600_000
+WINDOW, END_ID, SHARD_TOKENS, CACHE_WORDS = 2048, 1, 4_000_000, 600_000
 K1, B = 1.2, 0.75
 #: How the tokenizer cuts text before it merges.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -171,27 +171,33 @@ def _rarity(df: np.ndarray, n: int) -> np.ndarray:
     return np.log1p((n - df + 0.5) / (df + 0.5))
 
 
-def _postings(docs: list[np.ndarray], idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """BM25 weights by term: where each term's list starts, documents, weights; and each document's terms to ask with, the rarest and most frequent in it."""
+def _postings(docs: list[np.ndarray], idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """BM25 weights by term: where each term's list starts, documents, weights; each document's distinct terms.
+
+    Terms that over a quarter of the documents hold are rows of a dense table, which are added faster than lists: the row of each
+    term (-1: a list), and the rows. Their lists stay, unread.
+    """
     terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True)
     doc = np.repeat(np.arange(len(docs)), [len(t) for t in terms])
     term, tf = np.concatenate(terms), np.concatenate(counts)
     size = np.array([len(d) for d in docs])[doc]
     weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
-    ask = []
-    for t, c in zip(terms, counts, strict=True):
-        worth = idf[t] * np.minimum(c, 3)
-        ask.append(t[np.argpartition(-worth, QUERY_TERMS)[:QUERY_TERMS]] if len(t) > QUERY_TERMS else t)
     order = np.argsort(term, kind="stable")
-    return np.searchsorted(term[order], np.arange(len(idf) + 1)), doc[order], weight[order], ask
+    starts, doc, weight = np.searchsorted(term[order], np.arange(len(idf) + 1)), doc[order], weight[order]
+    often = np.flatnonzero(np.diff(starts) * 4 > len(docs))
+    row, dense = np.full(len(idf), -1), np.zeros((len(often), len(docs)))
+    row[often] = np.arange(len(often))
+    for r, t in enumerate(often.tolist()):
+        dense[r, doc[starts[t] : starts[t + 1]]] = weight[starts[t] : starts[t + 1]]
+    return starts, doc, weight, row, dense, list(terms)
 
 
 def pack_shard(docs: list[np.ndarray], df: np.ndarray, n: int, mean: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one shard's token arrays.
 
     A long document's full windows come first, each a sequence of its own; what is left of each document is packed: the seed is
-    the document that the last window cut, or else the first unused one, and its best unused neighbours follow by score until the
-    window is full; the last is cut there. So only the shard's last sequence is not full.
+    the document that the last window cut, or else the first unused one, and its best unused neighbours, by BM25 over all of the
+    seed's distinct terms, follow until the window is full; the last is cut there. So only the shard's last sequence is not full.
     """
     out, sequence, tail = [], 0, []
     for d, ids in enumerate(docs):
@@ -199,7 +205,7 @@ def pack_shard(docs: list[np.ndarray], df: np.ndarray, n: int, mean: float, wind
         out += [(d, k * window, window, sequence + k, 0) for k in range(full)]
         sequence += full
         tail.append(full * window)
-    starts, doc, weight, ask = _postings(docs, _rarity(df, n), mean)
+    starts, doc, weight, row, dense, terms = _postings(docs, _rarity(df, n), mean)
     bounds = starts.tolist()
     left = [len(ids) - t for ids, t in zip(docs, tail, strict=True)]
     unused = np.array([x > 0 for x in left])
@@ -207,8 +213,11 @@ def pack_shard(docs: list[np.ndarray], df: np.ndarray, n: int, mean: float, wind
     queue: Iterator[int] = iter(())
 
     def neighbours(d: int) -> Iterator[int]:
-        at = [slice(bounds[t], bounds[t + 1]) for t in ask[d].tolist()]
-        score = np.bincount(np.concatenate([doc[x] for x in at]), np.concatenate([weight[x] for x in at]), len(docs)) * unused
+        often = row[terms[d]]
+        score = dense[often[often >= 0]].sum(0)
+        if at := [slice(bounds[t], bounds[t + 1]) for t in terms[d][often < 0].tolist()]:
+            score += np.bincount(np.concatenate([doc[x] for x in at]), np.concatenate([weight[x] for x in at]), len(docs))
+        score *= unused
         found = np.flatnonzero(score)
         if len(found) > 64:  # the best are asked for first, the others if those are used up
             best = np.argpartition(-score[found], 64)

@@ -401,6 +401,34 @@ def test_neighbours_share_windows():
     assert sorted(map(sorted, windows.values())) == [[0, 2], [1, 3]]
 
 
+def test_every_term_of_the_seed_counts():
+    """Documents 0 and 3 share no term that is among the rarest and most frequent sixteen of document 0."""
+    own, shared, other = np.repeat(np.arange(16), 3), np.arange(100, 352), np.arange(1000, 1300)
+    docs = [np.concatenate([own, shared]).astype("<u2"), other.astype("<u2"), (other + 300).astype("<u2"), np.concatenate([shared, np.arange(2000, 2048)]).astype("<u2")]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=3000)
+    windows = defaultdict(set)
+    for d, _, _, q, _ in packing.pack_shard(docs, df, 4, 300.0, window=600):
+        windows[q].add(d)
+    assert {0, 3} in windows.values()
+
+
+def test_scores_are_those_of_all_terms():
+    """The first window against BM25 by definition: the seed's distinct terms, frequent ones among them, and no other cut."""
+    r = np.random.default_rng(5)
+    docs = [np.minimum(r.zipf(1.3, r.integers(40, 300)), 999).astype("<u2") for _ in range(60)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1000)
+    mean = float(np.mean([len(d) for d in docs]))
+    idf = np.log1p((60 - df + 0.5) / (df + 0.5))
+
+    def bm25(seed, d):
+        tf = np.bincount(docs[d], minlength=1000)[np.unique(docs[seed])]
+        return float((idf[np.unique(docs[seed])] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean))).sum())
+
+    want = sorted(range(1, 60), key=lambda d: -bm25(0, d))
+    got = [d for d, _, _, q, at in sorted(packing.pack_shard(docs, df, 60, mean, window=2000), key=lambda p: p[3:]) if q == 0]
+    assert len(got) > 5 and got == [0, *want[: len(got) - 1]]
+
+
 # ---- pipeline ----
 def test_pipeline_stages(spark):
     import corpus_pipeline

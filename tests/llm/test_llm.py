@@ -83,6 +83,42 @@ def test_line_dedup_odd(odd, empty):
     assert substring_dedup.units("a\n\nb\nc\n", "paragraph") == [(0, 1), (3, 6)]
 
 
+def test_passages_inside_lines(spark):
+    """All words in runs of 50 that stand earlier go, wherever they begin: against brute force over every position."""
+    r = random.Random(11)
+    word = lambda: r.choice("abcdefghij") + str(r.randint(0, 400))
+    some = lambda n: [word() for _ in range(n)]
+    planted = [some(n) for n in (50, 51, 64, 90, 200)]
+    docs = {}
+    for i in range(60):
+        words = some(r.randint(0, 80))
+        for _ in range(r.randint(0, 2)):
+            p = r.choice(planted)
+            a = r.randint(0, len(p) // 4)
+            words += [w.upper() if r.random() < 0.2 else w for w in p[a : len(p) - r.randint(0, len(p) // 4)]] + some(r.randint(1, 30))
+        docs[i] = " ".join(words)
+    docs[60] = " ".join(["x", "y"] * 60)
+    seen, kept = {}, {}
+    for i, t in docs.items():
+        words, gone = t.split(" "), set()
+        for a in range(len(words) - 49):
+            first = seen.setdefault(" ".join(words[a : a + 50]).lower(), (i, a))
+            if first != (i, a):
+                gone |= set(range(max(a, first[1] + 50) if first[0] == i else a, a + 50))
+        kept[i] = [w for k, w in enumerate(words) if k not in gone]
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    out = collected(substring_dedup.remove_repeats(frame, min_words=1, passages=True))
+    assert {r["doc_id"]: r["text"].split() for r in out} == kept and len(kept[60]) == 50
+    assert sum(map(len, kept.values())) < 0.8 * sum(len(t.split()) for t in docs.values())
+    report = {r["doc_id"]: r for r in collected(substring_dedup.repeat_report(frame))}
+    assert report == {r["doc_id"]: r for r in collected(substring_dedup.repeat_report(frame.repartition(1)))} and all(r["kept_chars"] == len(o["text"]) for o in out for r in [report[o["doc_id"]]])
+
+
+def test_short_lines_and_ends():
+    assert substring_dedup._without("a b c d", [(2, 5)]) == "a d" and substring_dedup._without("a\nb c\nd", [(2, 3)]) == "a\nc\nd"
+    assert substring_dedup._without("a b\nc", [(2, 3)]) == "a \nc" and substring_dedup._spans("aa bb\ncc", [(0, 5)], [(1, 3)]) == [(0, 8)]
+
+
 # ---- 2 ----
 def jump(key, n):
     key, b, j = key & (2**64 - 1), -1, 0

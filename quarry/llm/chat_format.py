@@ -85,10 +85,13 @@ def format_chats(conversations: DataFrame, schemas: dict[str, dict[str, Any]] |
 
     A call stands in a message whose text is a JSON object with ``tool_calls``: a list of {id, name, arguments, depends_on}, where
     arguments are an object or a string that holds one. A result is a message of role ``tool`` whose text is a JSON object with
-    ``tool_call_id``. Any other text, JSON or not, is a message. Result columns: conv_id, turn, item (the call's place in its
-    message), kind, role, call_id, linked (a result: its call is there; a call: a result is there), valid and error (calls),
-    ordered, at_turn and level: rows sorted by (at_turn, level, kind = result, turn, item) have each call after what it depends on
-    and each result after its call. Of calls with one identifier in a conversation, the earliest is linked.
+    ``tool_call_id``. Any other text, JSON or not, is a message. What an object with calls holds beside them (content and other
+    fields) is a message too, of item -1, that keeps those fields; its role is added where none is among them.
+
+    Result columns: conv_id, turn, item (the call's place in its message), kind, role, call_id, linked (a result: its call is
+    there; a call: a result is there), valid and error (calls), ordered, at_turn and level: rows sorted by (at_turn, level,
+    kind = result, turn, item) have each call after what it depends on and each result after its call. Of calls with one
+    identifier in a conversation, the earliest is linked.
 
     Nulls: a null text or role gives null in the JSON; rows with a null conv_id or identifier are never linked. Repeated rows come
     out repeated. Tables without tool calls give messages only. Columns other than conv_id, turn, role and text are not read.
@@ -103,10 +106,16 @@ def format_chats(conversations: DataFrame, schemas: dict[str, dict[str, Any]] |
 
     plain = F.to_json(F.struct(F.col("text").alias("content"), F.col("role").alias("role")), {"ignoreNullFields": "false"})
     none = F.lit(None)
-    messages = rows.where(~is_call & ~is_result).select(
-        "conv_id", "turn", F.lit(0).alias("item"), F.lit("message").alias("kind"), "role", none.cast("string").alias("call_id"), none.cast("boolean").alias("linked"),
-        none.cast("boolean").alias("valid"), none.cast("string").alias("error"), F.lit(True).alias("ordered"), F.col("turn").alias("at_turn"), F.lit(0).alias("level"), plain.alias("json"),
-    )
+    message = lambda item, json: [
+        "conv_id", "turn", F.lit(item).alias("item"), F.lit("message").alias("kind"), "role", none.cast("string").alias("call_id"), none.cast("boolean").alias("linked"),
+        none.cast("boolean").alias("valid"), none.cast("string").alias("error"), F.lit(True).alias("ordered"), F.col("turn").alias("at_turn"), F.lit(0).alias("level"), json.alias("json"),
+    ]
+    messages = rows.where(~is_call & ~is_result).select(*message(0, plain))
+    beside = F.map_filter(F.from_json(F.to_json("v"), "map<string, variant>"), lambda k, _: k != "tool_calls")
+    besides = rows.where(is_call & ~is_result).withColumn("beside", beside).where(F.size("beside") > 0)
+    own, role = F.to_json("beside"), F.to_json(F.struct("role"), {"ignoreNullFields": "false"})
+    with_role = canonical(F.parse_json(F.concat(F.left(role, F.length(role) - 1), F.lit(","), F.substr(own, F.lit(2)))))
+    messages = messages.unionByName(besides.select(*message(-1, F.when(F.map_contains_key("beside", "role"), own).otherwise(with_role))))
 
     calls = rows.where(is_call).select("conv_id", "turn", "role", F.posexplode("calls").alias("item", "c"))
     given = _field(F.col("c"), "arguments", "variant")

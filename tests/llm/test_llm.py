@@ -266,6 +266,16 @@ def test_chat_format(spark):
     assert chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_content_beside_calls(spark):
+    calls = [{"id": "a", "name": "search", "arguments": {"query": "x"}}]
+    texts = [{"content": "Let me look: \"é\"", "tool_calls": calls, "audio": {"z": 1, "b": [None]}}, {"tool_calls": calls, "content": None, "role": "own"}, {"tool_calls": calls}, {"zz": 1, "tool_calls": calls}]
+    rows = [(1, i, None if i == 3 else "assistant", json.dumps(t, ensure_ascii=False)) for i, t in enumerate(texts)]
+    out = collected(chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    said = {r["turn"]: r for r in out if r["kind"] == "message"}
+    assert {k: r["json"] for k, r in said.items()} == {0: '{"audio":{"b":[null],"z":1},"content":"Let me look: \\"é\\"","role":"assistant"}', 1: '{"content":null,"role":"own"}', 3: '{"role":null,"zz":1}'}
+    assert len(out) == 7 and all(r["item"] == -1 and r["at_turn"] == r["turn"] for r in said.values()) and sum(r["kind"] == "call" for r in out) == 4
+
+
 # ---- 6 ----
 def brute_targets(sizes, most=3):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s) + ([None] if None in sizes else [])

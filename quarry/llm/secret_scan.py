@@ -25,7 +25,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 #: A run of these shorter than the limit holds no match, and a longer one is matched from its start: so the limit can stand in the pattern.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+TOKEN_CHARS = 16
+TOKEN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{TOKEN_CHARS},}}")
 MASK = "[SECRET]"
 
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
@@ -118,7 +119,8 @@ def default_model() -> Model:
 def find_spans(text: str, model: Model | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, end exclusive, by start, then by kind as listed. Base spans are whole matches.
 
-    Random tokens are looked for outside the base spans only, so base spans stay as they are.
+    Random tokens are looked for outside the base spans only, so base spans stay as they are: what a base span leaves of a token
+    is judged piece by piece, from the same length on.
     """
     spans = []
     if ":" in text or "=" in text:
@@ -129,8 +131,11 @@ def find_spans(text: str, model: Model | None) -> list[tuple[int, int, str]]:
     if model is not None:
         base = sorted(spans)
         for m in TOKEN.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b, _ in base) and model.is_random(m[0]):
-                spans.append((m.start(), m.end(), 3))
+            at = m.start()
+            for a, b in [*((a, b) for a, b, _ in base if a < m.end() and m.start() < b), (m.end(), m.end())]:
+                if a - at >= TOKEN_CHARS and model.is_random(text[at:a]):
+                    spans.append((at, a, 3))
+                at = max(at, b)
     return [(a, b, KINDS[k]) for a, b, k in sorted(spans, key=lambda s: (s[0], s[2]))]
 
 

@@ -4,7 +4,7 @@ The words of a source stand in one stream, cut into blocks of ``block_words``. T
 Slot counts of sources in an output shard are multinomial draws given the corpus totals: a pseudorandom permutation deals the
 slots of all sources over the shards, so totals meet the targets and each shard is a random draw. A source's k-th slot takes
 block ``perm(k mod n)`` of epoch ``k div n``, where each epoch permutes the source's n blocks anew; so no block comes up twice
-before all have come up once.
+before all have come up once. Only ``block_slots`` shows shards: op6 and the corpus count over all of them.
 """
 
 from __future__ import annotations

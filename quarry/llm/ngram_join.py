@@ -26,6 +26,8 @@ WORDS, PERCENT = 5, 75
 #: Groups that shingles are hashed into; sums of so many of them bound first; points in a leaf of the tree; points in a block, the unit
 #: that a task holds; a count that fits no more and so bounds nothing.
 GROUPS, COARSE, LEAF, BLOCK, FULL = 256, 4, 16, 256, 15
+#: What stands for such a count in sums: COARSE of them fit 16 bits.
+SATURATED = 1 << 12
 #: A document shows SLACK more of its leading shingles, as a share of their number, so that frequent ones can be left out.
 SLACK = 10
 #: Texts that may link for each part of the tables of pairs.
@@ -82,6 +84,11 @@ def linked(overlap: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 100 * overlap >= PERCENT * (n + m - overlap)
 
 
+def _may_link(bound: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether texts link for all that a sum of minima says: one that holds a saturated group bounds nothing where both are larger than that."""
+    return linked(bound, n, m) | ((bound >= SATURATED) & (np.minimum(n, m) > SATURATED))
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -136,7 +143,7 @@ def _vectors(column: pa.Array) -> np.ndarray:
     half = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS // 2)
     v = np.empty((len(half), GROUPS), np.uint16)
     v[:, ::2], v[:, 1::2] = half >> 4, half & 15
-    v[v == FULL] = 1 << 12  # bounds nothing; 16 such counts still fit a sum of groups
+    v[v == FULL] = SATURATED
     return v
 
 
@@ -149,9 +156,9 @@ def _possible(v: np.ndarray, w: np.ndarray, n: np.ndarray, m: np.ndarray, coarse
     keep = np.zeros(len(i), bool)
     for k in range(0, len(i), 1 << 15):
         a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
-        at = np.flatnonzero(linked(np.minimum(coarse[0][a], coarse[1][b]).sum(1, dtype=np.int64), n[a], m[b]))
+        at = np.flatnonzero(_may_link(np.minimum(coarse[0][a], coarse[1][b]).sum(1, dtype=np.int64), n[a], m[b]))
         a, b = a[at], b[at]
-        keep[k + at[linked(np.minimum(v[a], w[b]).sum(1, dtype=np.int64), n[a], m[b])]] = True
+        keep[k + at[_may_link(np.minimum(v[a], w[b]).sum(1, dtype=np.int64), n[a], m[b])]] = True
     return keep
 
 
@@ -220,7 +227,7 @@ class RTree:
             fits = (100 * self.most[k] >= PERCENT * sizes) & (100 * sizes >= PERCENT * self.least[k])
             q = np.flatnonzero(fits)
             bound = np.minimum(coarse[q], upper).sum(1, dtype=np.int64)
-            q = q[linked(bound, sizes[q], np.full(len(q), self.least[k]))]
+            q = q[linked(bound, sizes[q], np.full(len(q), self.least[k])) | _may_link(bound, sizes[q], np.full(len(q), self.most[k]))]
             if len(q):
                 own = self.order[k * LEAF : (k + 1) * LEAF]
                 i, j = np.repeat(q, len(own)), np.tile(own, len(q))

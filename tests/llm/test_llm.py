@@ -210,6 +210,12 @@ def test_bound_never_rules_out_a_link():
         assert not ngram_join.linked(np.int64(true), sizes[0], sizes[1]) or common >= max(ngram_join.sure(len(a)), ngram_join.sure(len(b)))
 
 
+def test_bound_of_very_long_texts():
+    a = np.unique(np.random.default_rng(2).integers(0, 2**64, 1_400_000, np.uint64))
+    v, n = ngram_join._vectors(ngram_join.pa.array([ngram_join.groups_of(a)])), np.array([len(a)])
+    assert len(ngram_join.RTree(v, n).search(v, n, lambda i, j: np.ones(len(i), bool))[0]) == 1
+
+
 # ---- 4 ----
 def test_simhash(real, odd, empty):
     docs = sorted((r["doc_id"], r["text"]) for r in collected(real))

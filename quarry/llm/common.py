@@ -4,25 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: bounds the Python workers' memory when texts are long.
-BATCH_ROWS = 500
+#: Rows and bytes in an Arrow batch: bound the Python workers' memory when texts are long.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+#: Lets Spark drop a query's shuffle files when the query is over; nothing else reads those of a table that has been written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts."""
+    """Keep Arrow batches of this session small enough for long texts: a setting of the session, which stays set, as plans run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set and the master is local, as in tests."""
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         there = spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.sparkContext.setCheckpointDir(there)
     return there.rstrip("/")
@@ -32,8 +39,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no plan will read again."""
+    for t in tables:
+        if path := _PLACES.pop(t, None):
+            context = t.sparkSession.sparkContext
+            there = context._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(context._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def running_total(df: DataFrame, group: list[str], order: list[str], value: str, out: str, buckets: int = 256) -> DataFrame:

@@ -1,26 +1,27 @@
 """Exact Jaccard self-join of documents on their word shingles, with count vectors in R-tree nodes.
 
-Texts are reduced to sets of shingle hashes. Pairs that can link must share some of each other's leading shingles in one global
-order (a prefix filter), which gives buckets. In a bucket, documents are points: their shingles are hashed into groups and the
-group counts are the coordinates. The overlap of two sets is at most the sum of the coordinates' minima, and that of a point
-with anything below a tree node is at most the sum of minima with the node's upper corner; what this bound leaves is verified on
-the whole sets. A first round links each document with its bucket's leader only, and whatever has come together then needs no
-further comparing; so large groups of near copies don't become all their pairs.
+Texts are reduced to sets of shingle hashes; all is exact up to clashes of 64-bit shingle hashes. Pairs that can link must share
+some of each other's leading shingles in one global order (a prefix filter), which gives buckets; of buckets with the same members
+one stays. In a bucket, documents are points: their shingles are hashed into groups and the group counts are the coordinates. The
+overlap of two sets is at most the sum of the coordinates' minima, and that of a point with anything below a tree node is at most
+the sum of minima with the node's upper corner. Trees over blocks of points search each bucket; what the bound leaves is compared
+by count vectors of 2^32 groups in the same task, which puts out only a forest of the links that it finds, and these are
+verified on the whole sets. Before that, two rounds link each text with one leader of its buckets, so that large groups of near
+copies come together by as many tests as they have members and need no further comparing.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stage, tune
+from quarry.llm.common import discard, stage, tune
 
 WORDS, PERCENT = 5, 75
 #: Groups that shingles are hashed into; sums of so many of them bound first; points in a leaf of the tree; points in a block, the unit
@@ -28,10 +29,17 @@ WORDS, PERCENT = 5, 75
 GROUPS, COARSE, LEAF, BLOCK, FULL = 256, 4, 16, 256, 15
 #: What stands for such a count in sums: COARSE of them fit 16 bits.
 SATURATED = 1 << 12
+#: A point counts as one more for each so many shingles, so that blocks are bounded in bytes too.
+HEAVY = 2000
 #: A document shows SLACK more of its leading shingles, as a share of their number, so that frequent ones can be left out.
 SLACK = 10
+#: Pairs that a worker remembers as tested.
+TESTED = 1 << 19
 #: Texts that may link for each part of the tables of pairs.
 PART_TEXTS = 4000
+#: Shingles that a worker gathers before it looks for frequent ones; texts from which on a shingle of these is known to be shared; parts
+#: that such a shingle's texts are dealt to.
+GATHERED, FREQUENT, DEALT = 1 << 21, 64, 4096
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -99,44 +107,78 @@ def _key(words: list[bytes]) -> tuple[int, int]:
 
 
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's key, the size of its set, and its leading shingles: null for rows without id and for copies in a partition."""
+    seen: dict[tuple[int, int], int] = {}
+    shows: set[tuple[int, int]] = set()
     for b in batches:
-        words = [words_of(t) for t in b.column(1).to_pylist()]
-        keys = [_key(w) for w in words]
-        n = [len(shingles(w)) for w in words]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(n, pa.int32())], names=["doc_id", "h1", "h2", "n"])
-
-
-def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()  # copies in a partition show their shingles once
-    for b in batches:
-        keys, sizes, sigs = [], [], []
-        for t in b.column(0).to_pylist():
+        keys, n, sigs = [], [], []
+        for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             w = words_of(t)
-            h = _key(w)[0]
-            if w and h not in seen:
-                seen.add(h)
+            key = _key(w)
+            shown_ = None
+            if key not in seen or (doc_id is not None and key not in shows):
                 s = shingles(w)
-                keys.append(h)
-                sizes.append(len(s))
-                sigs.append(s[: shown(len(s))])
-        if keys:
-            ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate(sigs)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), lists], names=["h1", "n", "sigs"])
+                seen[key] = len(s)
+                if doc_id is not None and w:
+                    shows.add(key)
+                    shown_ = s[: shown(len(s))]
+            keys.append(key)
+            n.append(seen[key])
+            sigs.append(shown_)
+        ends = pa.array(np.cumsum([0, *(0 if s is None else len(s) for s in sigs)]).astype(np.int32))
+        flat = _signed(np.concatenate([np.empty(0, np.uint64), *(s for s in sigs if s is not None)]))
+        lists = pa.ListArray.from_arrays(ends, flat, mask=pa.array([s is None for s in sigs], pa.bool_()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(n, pa.int32()), lists], names=["doc_id", "h1", "h2", "n", "sigs"])
+
+
+def _shows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text (h1, h2) and leading shingle. deal: 0, or else the part that a shingle which is known to be shared is dealt to.
+
+    What FREQUENT texts of those gathered show is shared; two of them stay undealt, as witnesses for texts elsewhere.
+    """
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        lists = t.column("sigs").combine_chunks()
+        sig = lists.flatten().to_numpy()
+        at = np.repeat(np.arange(t.num_rows), lists.value_lengths().to_numpy())
+        h1, h2, n = (t.column(c).to_numpy() for c in ("h1", "h2", "n"))
+        order = np.argsort(sig, kind="stable")
+        sig, at = sig[order], at[order]
+        starts = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1])
+        lengths = np.diff(np.concatenate([starts, [len(sig)]]))
+        rank = np.arange(len(sig)) - np.repeat(starts, lengths)
+        known = (np.repeat(lengths, lengths) >= FREQUENT) & (rank > 1)
+        deal = np.where(known, 1 + (h1[at] & (DEALT - 1)), 0)
+        back = np.argsort(at, kind="stable")  # rows of a text together, which packs well
+        cols = [x[back] for x in (sig, h1[at], h2[at], n[at].astype(np.int32), deal.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["sig", "h1", "h2", "n", "deal"])
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += len(b.column(b.schema.get_field_index("sigs")).flatten())
+        if size >= GATHERED:
+            yield out(held)
+            held, size = [], 0
+    if size:
+        yield out(held)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    done = set()  # repeated rows
     for b in batches:
         rows = []
         for rep, h1, h2, t in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             w = words_of(t)
-            if _key(w) == (h1, h2):  # not another text that has the same doc_id
+            if _key(w) == (h1, h2) and (rep, h1, h2) not in done:  # not another text that has the same doc_id
+                done.add((rep, h1, h2))
                 s = shingles(w)
-                fine = (s >> np.uint64(48)).astype("<u2").tobytes()
-                rows.append((rep, h1, len(s), groups_of(s), fine, s.astype("<u8").tobytes()))
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["rep", "h1", "n", "vec", "fine", "whole"])
+                fine = (s >> np.uint64(32)).astype("<u4").tobytes()
+                rows.append((rep, h1, h2, len(s), groups_of(s), fine, s.astype("<u8").tobytes()))
+        cols = list(zip(*rows, strict=True)) or [[]] * 7
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["rep", "h1", "h2", "n", "vec", "fine", "whole"])
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -173,30 +215,37 @@ def _checked(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, m = b.column("n").to_numpy().astype(np.int64), b.column("m").to_numpy().astype(np.int64)
-            left, right = b.column("x"), b.column("y")
-            found = np.array([_overlap(np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)) for x, y in zip(left, right, strict=True)], np.int64)
+            found = np.array([_overlap(np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)) for x, y in zip(b.column("x"), b.column("y"), strict=True)], np.int64)
             keep = pa.array(linked(found, n, m))
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
     return run
 
 
+def _side(name: str, size: str, what: str, to: str, sets: DataFrame) -> DataFrame:
+    return sets.select(F.col("rep").alias(name), F.col("n").alias(size), F.col(what).alias(to))
+
+
+def exact(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Of distinct pairs (a, b) (a staged table) those that link, by the whole sets."""
+    own = _those(sets, pairs)
+    met = pairs.join(_side("a", "n", "whole", "x", own), "a").join(_side("b", "m", "whole", "y", own), "b")
+    return met.mapInArrow(_checked("<u8"), "a long, b long").distinct().coalesce(parts)
+
+
 def verify(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """Of distinct pairs (a, b) those that link.
+    """Of distinct pairs (a, b) (a staged table) those that link, staged.
 
-    First by sizes; then by count vectors of 65,536 groups, kept as the sorted groups of each set (two bytes for each shingle), which
+    First by sizes; then by count vectors of 2^32 groups, kept as the sorted groups of each set (four bytes for each shingle), which
     leave little but links; then on the whole sets.
     """
-
-    def side(name: str, size: str, what: str, to: str, of: DataFrame) -> DataFrame:
-        return of.select(F.col("rep").alias(name), F.col("n").alias(size), F.col(what).alias(to))
-
     own = _those(sets, pairs)
-    met = pairs.select("a", "b").join(side("a", "n", "fine", "x", own), "a").join(side("b", "m", "fine", "y", own), "b")
-    rough = met.where(_sizes_fit(F.col("n"), F.col("n"), F.col("m"), F.col("m"))).mapInArrow(_checked("<u2"), "a long, b long")
-    rough = stage(rough.coalesce(parts), "rough")
-    own = _those(sets, rough)
-    return rough.join(side("a", "n", "whole", "x", own), "a").join(side("b", "m", "whole", "y", own), "b").mapInArrow(_checked("<u8"), "a long, b long").coalesce(parts)
+    met = pairs.join(_side("a", "n", "fine", "x", own), "a").join(_side("b", "m", "fine", "y", own), "b")
+    rough = met.where(_sizes_fit(F.col("n"), F.col("n"), F.col("m"), F.col("m"))).mapInArrow(_checked("<u4"), "a long, b long")
+    rough = stage(rough.distinct().coalesce(parts), "rough")
+    links = stage(exact(rough, sets, parts), "links")
+    discard(rough)
+    return links
 
 
 def _those(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -240,54 +289,114 @@ class RTree:
         return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, x, y): blocks x and y of a bucket. Out come pairs from different components that the bound leaves.
+class _Forest:
+    """What has come together in this task; labels are components."""
 
-    Buckets of up to LEAF points, by far the most, are one leaf each and are gone through together; others are searched by a tree.
-    """
+    def __init__(self):
+        self.up: dict[int, int] = {}
 
-    def pairs(t: pa.Table, cuts: np.ndarray) -> np.ndarray:
-        rep, comp, side, x, y = (t.column(c).to_numpy() for c in ("rep", "comp", "side", "x", "y"))
-        n, v = t.column("n").to_numpy().astype(np.int64), _vectors(t.column("vec").combine_chunks())
-        coarse, out, small = _summed(v), [], []
-        for a, z in zip(cuts, cuts[1:], strict=False):
-            if z - a <= LEAF and x[a] == y[a]:
-                small.append((a, z - a))
-                continue
-            left = np.arange(a, z) if x[a] == y[a] else a + np.flatnonzero(side[a:z] == 0)
-            right = left if x[a] == y[a] else a + np.flatnonzero(side[a:z] == 1)
-            if len(left) and len(right):
-                one = x[a] == y[a]
-                apart = lambda i, j, l=left, r=right, one=one: (comp[l[i]] != comp[r[j]]) & ((rep[l[i]] < rep[r[j]]) if one else True)
-                i, j = RTree(v[right], n[right]).search(v[left], n[left], apart)
-                out.append(np.stack([rep[left[i]], rep[right[j]]], 1))
-        small = np.array(small, np.int64).reshape(-1, 2)
-        for k in np.unique(small[:, 1]):
-            begin = small[small[:, 1] == k, 0]
-            i, j = np.triu_indices(k, 1)
-            i, j = (begin[:, None] + i).ravel(), (begin[:, None] + j).ravel()
-            want = (comp[i] != comp[j]) & (100 * n[i] >= PERCENT * n[j]) & (100 * n[j] >= PERCENT * n[i])
-            i, j = i[want], j[want]
-            keep = _possible(v, v, n, n, (coarse, coarse), i, j)
-            out.append(np.stack([rep[i[keep]], rep[j[keep]]], 1))
-        found = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        found.sort(axis=1)
-        return np.unique(found[found[:, 0] < found[:, 1]], axis=0)
-
-    rest: pa.Table | None = None
+    def root(self, x: int) -> int:
+        at = x
+        while (to := self.up.get(at, at)) != at:
+            at = to
+        while x != at:
+            self.up[x], x = at, self.up.get(x, x)
+        return at
+
+    def join(self, x: int, y: int) -> None:
+        self.up[max(x, y)] = min(x, y)
+
+
+def _corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (sig, block): of each block the ranges of components and sizes and the upper corner of its count vectors."""
+    for t, cuts in _groups(batches, ("sig", "block")):
+        n, comp, v = t.column("n").to_numpy(), t.column("comp").to_numpy(), _summed(_vectors(t.column("vec")))
+        at = cuts[:-1]
+        upper = [x.astype("<u2").tobytes() for x in np.maximum.reduceat(v, at, axis=0)]
+        cols = [t.column("sig").to_numpy()[at], t.column("block").to_numpy()[at]]
+        cols += [f.reduceat(x, at) for x in (comp, n) for f in (np.minimum, np.maximum)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(upper, pa.binary())], names=["sig", "block", "cmin", "cmax", "nmin", "nmax", "upper"])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs of blocks those whose corners leave a link possible."""
     for b in batches:
-        t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-        if not t.num_rows:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(b.num_rows, -1) for c in ("upper", "upper_"))
+        bound = np.minimum(x, y).sum(1, dtype=np.int64)
+        least, least_, most, most_ = (b.column(c).to_numpy().astype(np.int64) for c in ("nmin", "nmin_", "nmax", "nmax_"))
+        keep = pa.array(linked(bound, least, least_) | _may_link(bound, most, most_))
+        yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("sig", "x", "y")], names=["sig", "x", "y"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in tables of whole groups, with where the groups start and the last one ends."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
             continue
-        keys = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("sig", "x", "y")], 1)
-        cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1])
-        rest = t.slice(cuts[-1])  # the last bucket may go on
-        if len(cuts) > 1:
-            out = pairs(t.slice(0, cuts[-1]), cuts)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
-    if rest is not None:
-        out = pairs(rest, np.array([0, rest.num_rows]))
-        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+        cols = [b.column(b.schema.get_field_index(c)) for c in keys]
+        first, end = (tuple(c[i].as_py() for c in cols) for i in (0, -1))
+        if held and last == first == end:  # the group goes on; joined up only when it ends
+            held.append(b)
+            continue
+        t = pa.Table.from_batches([*held, b])
+        at = np.stack([t.column(c).to_numpy() for c in keys], 1)
+        cuts = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1])
+        if cuts[-1]:
+            yield t.slice(0, cuts[-1]).combine_chunks(), cuts
+        held, last = t.slice(cuts[-1]).to_batches(), end
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, np.array([0, t.num_rows])
+
+
+def _found(forest: bool):
+    """Rows sorted by (sig, x, y), blocks x and y of a bucket, to pairs from different components that the bounds leave.
+
+    A tree over the block's count vectors is searched by the points of the other one (or its own), then the pair's 2^32 groups are
+    compared. With ``forest`` only pairs come out that bring together what no earlier pair of this task has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        together, tested = _Forest(), set()
+        for t, cuts in _groups(batches, ("sig", "x", "y")):
+            rep, comp, side, x, y = (t.column(c).to_numpy() for c in ("rep", "comp", "side", "x", "y"))
+            n, vec, fine = t.column("n").to_numpy().astype(np.int64), t.column("vec"), t.column("fine")
+            pairs = []
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                one = x[a] == y[a]
+                root = np.array([together.root(c) for c in comp[a:z].tolist()]) if forest else comp[a:z]
+                if (root == root[0]).all():
+                    continue
+                left = np.arange(z - a) if one else np.flatnonzero(side[a:z] == 0)
+                right = left if one else np.flatnonzero(side[a:z] == 1)
+                if not len(left) or not len(right):
+                    continue
+                v, sizes, own = _vectors(vec.slice(a, z - a)), n[a:z], rep[a:z].tolist()
+                apart = lambda i, j, root=root, left=left, right=right, one=one: (root[left[i]] != root[right[j]]) & ((left[i] < right[j]) if one else True)
+                i, j = RTree(v[right], sizes[right]).search(v[left], sizes[left], apart)
+                sets: dict[int, np.ndarray] = {}
+                for p, q in zip(left[i].tolist(), right[j].tolist(), strict=True):
+                    if forest and together.root(int(root[p])) == together.root(int(root[q])):
+                        continue
+                    pair = (min(own[p], own[q]), max(own[p], own[q]))
+                    if pair in tested:
+                        continue
+                    if len(tested) == TESTED:
+                        tested.clear()
+                    tested.add(pair)
+                    for k in (p, q):
+                        if k not in sets:
+                            sets[k] = np.frombuffer(fine[int(a) + k].as_buffer(), "<u4")
+                    if linked(_overlap(sets[p], sets[q]), sizes[p], sizes[q]):
+                        pairs.append(pair)
+                        if forest:
+                            together.join(together.root(int(root[p])), together.root(int(root[q])))
+            found = np.array(pairs, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    return run
 
 
 def components(edges: DataFrame, parts: int, name: str = "components") -> DataFrame:
@@ -314,89 +423,154 @@ def components(edges: DataFrame, parts: int, name: str = "components") -> DataFr
         labels = new.select("node", "label")
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+TEXT = ["h1", "h2"]
 
 
 def _sure(n: Column) -> Column:
     return 1 + F.floor(F.ceil(F.lit(PERCENT) * n / 100) / SLACK)
 
 
-def _shared(texts: DataFrame) -> DataFrame:
-    """(h1, n, sig, count): the shown shingles that more than one text shows."""
-    shows = texts.mapInArrow(_leading, "h1 long, n int, sigs array<long>").select("h1", "n", F.explode("sigs").alias("sig"))
-    by = Window.partitionBy("sig")
-    met = shows.withColumn("__first", F.min("h1").over(by)).withColumn("__last", F.max("h1").over(by)).withColumn("count", F.count(F.lit(1)).over(by))
-    met = met.where(F.col("__first") != F.col("__last")).select("h1", "n", "sig", "count").repartition("h1").dropDuplicates(["h1", "sig"])
-    return met.withColumn("__all", F.count(F.lit(1)).over(Window.partitionBy("h1"))).where(F.col("__all") >= _sure(F.col("n"))).drop("__all")
+def _enough(rows: DataFrame) -> DataFrame:
+    """Rows of texts that have enough of them to link."""
+    return rows.withColumn("__all", F.count(F.lit(1)).over(Window.partitionBy(*TEXT))).where(F.col("__all") >= _sure(F.col("n"))).drop("__all")
 
 
-def _selected(shared: DataFrame) -> DataFrame:
-    """(h1, n, sig, part): of the shingles that each text shows and others show too, those that it needs to be found by, rarest first.
+def _shared(sized: DataFrame) -> DataFrame:
+    """(h1, h2, n, sig): the shown shingles that more than one text shows.
 
-    Texts that link share ``sure(n)`` of them at least, so all but ``sure(n) - 1`` of each side's, in one order, have one in common. part:
-    which part of all that the text shows others show too.
+    Frequent shingles are found among those that a worker gathers and dealt apart, so that no task holds all rows of one.
     """
-    own, n = Window.partitionBy("h1"), F.col("n")
-    ranked = shared.withColumn("__all", F.count(F.lit(1)).over(own)).withColumn("__rank", F.row_number().over(own.orderBy("count", "sig")))
-    n_shown = n - F.ceil(F.lit(PERCENT) * n / 100) + 1 + F.floor(n / SLACK)
-    kept = ranked.where((F.col("__all") >= _sure(n)) & (F.col("__rank") <= F.col("__all") - _sure(n) + 1))
-    return kept.select("h1", "n", "sig", (F.col("__all") / n_shown).alias("part"))
+    shows = sized.where("sigs is not null").select("h1", "h2", "n", "sigs").mapInArrow(_shows, "sig long, h1 long, h2 long, n int, deal int")
+    by = Window.partitionBy("sig", "deal")
+    met = shows.withColumn("__first", F.min("h1").over(by)).withColumn("__last", F.max("h1").over(by)).where("deal > 0 or __first <> __last")
+    return _enough(met.select(*TEXT, "n", "sig").repartition(*TEXT).dropDuplicates([*TEXT, "sig"]))
+
+
+def _mixed(shared: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Rows (h1, h2, rep, comp, n, sig, count) of shingles that texts of different components show, with their number, of texts that have enough of them to link."""
+    if comps is None:
+        placed = shared.withColumn("comp", F.col("rep"))
+    else:
+        placed = shared.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    ends = placed.groupBy("sig").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b"), F.count(F.lit(1)).alias("count")).where("__a <> __b").select("sig", "count")
+    ends = stage(ends, "ends")  # so that the join can split a frequent shingle
+    out = stage(_enough(placed.join(ends, "sig")).select(*TEXT, "rep", "comp", "n", "sig", "count"), "mixed")
+    discard(ends)
+    return out
+
 
+def _selected(mixed: DataFrame) -> DataFrame:
+    """Buckets: mixed's rows of those shingles that each text needs to be found by, rarest first, staged.
 
-def _mixed(shared: DataFrame) -> DataFrame:
-    """Rows (h1, comp, n, sig) of shingles that texts of different components show, counted anew, of texts that have enough of them to link."""
-    ends = shared.groupBy("sig").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b"), F.count(F.lit(1)).alias("count")).where("__a <> __b").select("sig", "count")
-    met = shared.drop("count").join(ends, "sig")
-    return met.withColumn("__all", F.count(F.lit(1)).over(Window.partitionBy("h1"))).where(F.col("__all") >= _sure(F.col("n"))).drop("__all")
+    Texts that link share ``sure(n)`` of them at least, so all but ``sure(n) - 1`` of each side's, in one order, have one in common. part:
+    which part of all that the text shows others show too. Of buckets with the same members one stays; weight: how many they are; home:
+    a member, the same for many of the buckets of a group.
+    Members are compared by their number and three 64-bit sums modulo 2 of their keys.
+    """
+    own, n = Window.partitionBy(*TEXT), F.col("n")
+    ranked = mixed.withColumn("__all", F.count(F.lit(1)).over(own)).withColumn("__rank", F.row_number().over(own.orderBy("count", "sig")))
+    n_shown = n - F.ceil(F.lit(PERCENT) * n / 100) + 1 + F.floor(n / SLACK)
+    kept = stage(ranked.where(F.col("__rank") <= F.col("__all") - _sure(n) + 1).select(*TEXT, "rep", "comp", "n", "sig", (F.col("__all") / n_shown).alias("part")), "kept")
+    whose = kept.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.bit_xor("h1").alias("x"), F.bit_xor("h2").alias("y"), F.bit_xor(F.xxhash64(*TEXT)).alias("z"), F.min("rep").alias("home")).where("c > 1")
+    one = stage(whose.groupBy("c", "x", "y", "z").agg(F.min("sig").alias("sig"), F.min("home").alias("home"), F.count(F.lit(1)).alias("weight")).select("sig", "home", "weight"), "one")
+    buckets = stage(kept.join(one, "sig"), "buckets")
+    discard(kept, one)
+    return buckets
 
 
-def _leader_pairs(buckets: DataFrame, reps: DataFrame, turn: int) -> DataFrame:
-    """(a, b, best): each text with the leaders of its buckets; best: with the one that most of them have.
+def _leader_pairs(buckets: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each text with the leader that most of its buckets have, of those in other components.
 
     At first a bucket's leader is the text with the least of its own: what copies were made from shares all, while each copy has
     edits. At later turns it is a pseudorandom one, another in each bucket.
     """
-    rank = F.struct("part", "h1") if turn == 0 else F.struct(F.xxhash64("h1", "sig", F.lit(turn)), "h1")
-    leader = buckets.groupBy("sig").agg(F.max_by("h1", rank).alias("leader"))
-    votes = buckets.select("h1", "sig").join(leader, "sig").where("h1 <> leader").groupBy("h1", "leader").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("h1").agg(F.max_by("leader", F.struct("votes", "leader")).alias("__best"))
-    to = votes.join(best, "h1").select("h1", "leader", (F.col("leader") == F.col("__best")).alias("best"))
-    to = to.join(reps.select("h1", F.col("rep").alias("a")), "h1").join(reps.select(F.col("h1").alias("leader"), F.col("rep").alias("b")), "leader").where("a <> b")
-    return to.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("best").alias("best"))
+    rank = F.struct("part", *TEXT) if turn == 0 else F.struct(F.xxhash64(*TEXT, "sig", F.lit(turn)), *TEXT)
+    leader = stage(buckets.groupBy("sig").agg(F.max_by(F.struct("rep", "comp"), rank).alias("to")), "leader")
+    votes = buckets.join(leader, "sig").where("comp <> to.comp").groupBy(*TEXT, "rep", F.col("to.rep").alias("to")).agg(F.sum("weight").alias("votes"))
+    best = votes.groupBy(*TEXT, "rep").agg(F.max_by("to", F.struct("votes", "to")).alias("to")).where("rep <> to")
+    out = stage(best.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct(), "leaders")
+    discard(leader)
+    return out
 
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    side = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"__{c}"))
-    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return both.where(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b")
+def _still_mixed(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """buckets with the components of now, without those that have only one left, staged."""
+    now = buckets.drop("comp").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    ends = stage(now.groupBy("sig").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b")).where("__a <> __b").select("sig"), "ends")
+    out = stage(now.join(ends, "sig"), "buckets")
+    discard(ends, buckets)
+    return out
 
 
-def _later_pairs(shared: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs from different components that share a bucket, as far as the bound on nodes and points leaves them.
+def _blocks(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sig, home, block, rep, comp, n, vec, fine): the points of each bucket in blocks, staged.
 
-    What links across components shares ``sure(n)`` shingles that are shown across components, so only these count now.
+    A bucket whose points count for no more than BLOCK is one block, 0. Larger ones are dealt by size and then by component; a
+    component that fills blocks has its own, as points of one component needn't meet.
     """
-    placed = sets.select("h1", "rep").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "rep", F.coalesce("component", "rep").alias("comp"))
-    rows = stage(_mixed(shared.join(placed, "h1")), "mixed")
-    chosen = _selected(rows.select("h1", "n", "sig", "count")).select("h1", "sig")
-    points = chosen.join(placed, "h1").join(sets.select("rep", "n", "vec"), "rep").select("sig", "rep", "comp", "n", "vec")
-    block = F.expr(f"(row_number() over (partition by sig order by comp, n, rep) - 1) div {BLOCK}").cast("int")
-    points = stage(points.withColumn("block", block), "points")
-    nodes = points.groupBy("sig", "block").agg(
-        F.min("comp").alias("cmin"), F.max("comp").alias("cmax"), F.min("n").alias("nmin"), F.max("n").alias("nmax")
-    )
+    weight, size = 1 + F.floor(F.col("n") / HEAVY), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.15)))
+    rows = buckets.select("sig", "home", *TEXT, "rep", "comp", "n", weight.alias("w"), size.alias("g"))
+    large = stage(rows.groupBy("sig").agg(F.sum("w").alias("__all")).where(F.col("__all") > BLOCK).select("sig"), "large")
+    crowded = rows.join(large, "sig").groupBy("sig", "g", "comp").agg(F.sum("w").alias("__own"))
+    alone = F.col("__own") > BLOCK // 2
+    bands = crowded.groupBy("sig", "g").agg(F.sum(F.when(alone, 0).otherwise(F.col("__own"))).alias("__band"))
+    key = F.when(alone, F.xxhash64("g", "comp")).otherwise(F.xxhash64("g"))
+    n_parts = F.ceil(F.when(alone, F.col("__own")).otherwise(F.col("__band")) / BLOCK)
+    crowded = stage(crowded.join(bands, ["sig", "g"]).select("sig", "g", "comp", key.alias("__key"), alone.alias("__alone"), n_parts.alias("__parts")), "crowded")
+    part = F.pmod(F.when(F.col("__alone"), F.xxhash64("rep", *TEXT)).otherwise(F.xxhash64("comp")), F.col("__parts"))
+    dealt = rows.join(crowded, ["sig", "g", "comp"], "left").withColumn("block", F.when(F.col("__key").isNull(), 0).otherwise(F.xxhash64("__key", part).bitwiseOR(F.lit(1))))
+    points = dealt.select("sig", "home", "block", *TEXT, "rep", "comp").join(sets.select(*TEXT, "rep", "n", "vec", "fine"), [*TEXT, "rep"]).select("sig", "home", "block", "rep", "comp", "n", "vec", "fine")
+    points = stage(points, "points")
+    discard(large, crowded)
+    return points
+
+
+def _later_pairs(points: DataFrame, parts: int, forest: bool) -> DataFrame:
+    """Pairs from different components that share a bucket, as far as the bounds on nodes, points and groups leave them, staged."""
+    cols = ["home", "sig", "x", "y", "side", "rep", "comp", "n", "vec", "fine"]
+    single = points.where("block = 0").select("home", "sig", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).alias("side"), "rep", "comp", "n", "vec", "fine")
+    many = points.where("block <> 0")
+    nodes = many.select("sig", "block", "comp", "n", "vec").repartition("sig", "block").sortWithinPartitions("sig", "block")
+    nodes = stage(nodes.mapInArrow(_corners, "sig long, block long, cmin long, cmax long, nmin int, nmax int, upper binary"), "nodes")
     other = nodes.select("sig", *[F.col(c).alias(f"{c}_") for c in nodes.columns if c != "sig"])
     met = nodes.join(other, "sig").where("block <= block_ and not (cmin = cmax and cmin_ = cmax_ and cmin = cmin_)")
-    met = met.where(_sizes_fit(F.col("nmin"), F.col("nmax"), F.col("nmin_"), F.col("nmax_"))).select("sig", F.col("block").alias("x"), F.col("block_").alias("y"))
-    left = met.join(points.withColumnRenamed("block", "x"), ["sig", "x"]).withColumn("side", F.lit(0))
-    right = met.where("x < y").join(points.withColumnRenamed("block", "y"), ["sig", "y"]).withColumn("side", F.lit(1))
-    cols = ["sig", "x", "y", "side", "rep", "comp", "n", "vec"]
-    rows = left.select(*cols).unionByName(right.select(*cols)).repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
-    return rows.mapInArrow(_candidates, "a long, b long").distinct()
+    met = met.where(_sizes_fit(F.col("nmin"), F.col("nmax"), F.col("nmin_"), F.col("nmax_"))).select("sig", F.col("block").alias("x"), F.col("block_").alias("y"), "nmin", "nmax", "nmin_", "nmax_", "upper", "upper_")
+    met = stage(met.mapInArrow(_near, "sig long, x long, y long"), "met")
+    many = many.withColumn("home", F.lit(None).cast("long"))
+    left = met.join(many.withColumnRenamed("block", "x"), ["sig", "x"]).withColumn("side", F.lit(0))
+    right = met.where("x < y").join(many.withColumnRenamed("block", "y"), ["sig", "y"]).withColumn("side", F.lit(1))
+    # small buckets of a group go to one task, which then tests its pairs once
+    place = F.coalesce("home", F.xxhash64("sig", "x", "y"))
+    rows = single.unionByName(left.select(*cols)).unionByName(right.select(*cols)).repartition(place).sortWithinPartitions("home", "sig", "x", "y").drop("home")
+    out = stage(rows.mapInArrow(_found(forest), "a long, b long").distinct().coalesce(parts), "later")
+    discard(nodes, met)
+    return out
+
+
+def _settled(points: DataFrame, sets: DataFrame, links: DataFrame, parts: int) -> DataFrame:
+    """links and all others that the points' buckets hold, as far as components ask for them.
+
+    Tasks put out forests of pairs that 2^32 groups leave. Where all of these link, what they bring together is together. Where one
+    doesn't, which takes clashing groups, all pairs of what hangs together with it are verified.
+    """
+    pairs = _later_pairs(points, parts, True)
+    more = stage(exact(pairs, sets, parts), "links")
+    failed = pairs.join(more, ["a", "b"], "left_anti")
+    links = stage(links.unionByName(more), "links")
+    if not failed.isEmpty():
+        comps = components(links, parts)
+        # pairs are between reps, and tasks merge components: what hangs together is told by both
+        tied = points.select(F.col("comp").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+        hangs = components(pairs.unionByName(tied), parts)
+        bad = failed.select(F.col("a").alias("node")).join(hangs, "node").select("component").distinct()
+        nodes = hangs.join(bad, "component", "left_semi").select(F.col("node").alias("rep"))
+        again = points.drop("comp").join(nodes, "rep", "left_semi").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        again = stage(again.withColumn("comp", F.coalesce("component", "rep")).select(*points.columns), "points")
+        rest = _later_pairs(again, parts, False)
+        links = stage(links.unionByName(exact(rest, sets, parts)), "links")
+        discard(again, rest)
+    discard(pairs, more)
+    return links
 
 
 def jaccard_components(documents: DataFrame) -> DataFrame:
@@ -409,35 +583,38 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     tune(spark)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sized = stage(rows.mapInArrow(_sized, "doc_id long, h1 long, h2 long, n int"), "sized")
-    named = rows.where("doc_id is not null")
-    shared = stage(_shared(named.select("text")), "shared")
-    buckets = stage(_selected(shared), "buckets")
-    free_shuffles(spark)
-    classes = stage(sized.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    chosen = classes.join(buckets.select("h1").distinct(), "h1", "left_semi")
-    held = named.join(chosen.select(F.col("rep").alias("doc_id"), "h1", "h2"), "doc_id")
-    sets = stage(held.select("doc_id", "h1", "h2", "text").mapInArrow(_sets, "rep long, h1 long, n int, vec binary, fine binary, whole binary"), "sets")
-    free_shuffles(spark)
-    reps = sets.select("h1", "rep")
+    sized = stage(rows.mapInArrow(_sized, "doc_id long, h1 long, h2 long, n int, sigs array<long>"), "sized")
+    keys = stage(sized.drop("sigs"), "keys")
+    named = keys.where("n > 0 and doc_id is not null")
+    classes = stage(named.groupBy(*TEXT).agg(F.min("doc_id").alias("rep")), "classes")
+    shared = stage(_shared(sized).join(classes, TEXT), "shared")
+    discard(sized)
+    mixed = _mixed(shared, None)
+    buckets = _selected(mixed)
+    chosen = classes.join(buckets.select(*TEXT).distinct(), TEXT, "left_semi")
+    held = rows.where("doc_id is not null").join(chosen.select(F.col("rep").alias("doc_id"), *TEXT), "doc_id")
+    sets = stage(held.select("doc_id", *TEXT, "text").mapInArrow(_sets, "rep long, h1 long, h2 long, n int, vec binary, fine binary, whole binary"), "sets")
     parts = sets.count() // PART_TEXTS + 12
-    leaders = stage(_leader_pairs(buckets, reps, 0).coalesce(parts), "leaders")
-    links = stage(verify(leaders.where("best").select("a", "b"), sets, parts), "links")
+    pairs = _leader_pairs(buckets, 0)
+    links = verify(pairs, sets, parts)
     comps = components(links, parts)
+    discard(pairs, mixed, buckets)
     # what is together needs no further comparing, so each turn leaves less to the next
-    more = _leader_pairs(buckets, reps, 1).select("a", "b").unionByName(leaders.where("not best").select("a", "b"))
-    more = stage(_apart(more, comps).distinct().coalesce(parts), "leaders")
-    links = stage(links.unionByName(verify(more, sets, parts)).coalesce(parts), "links")
-    comps = components(links, parts)
-    free_shuffles(spark)
-    tested = leaders.select("a", "b").unionByName(more).distinct()
-    later = stage(_later_pairs(shared, sets, comps).join(tested, ["a", "b"], "left_anti").coalesce(parts), "later")
-    # several classes of one doc_id are one node already; classes meet by their rep
-    comps = components(links.unionByName(verify(later, sets, parts)), parts)
-    free_shuffles(spark)
+    mixed = _mixed(shared, comps)
+    buckets = _selected(mixed)
+    pairs = _leader_pairs(buckets, 1)
+    links = stage(links.unionByName(verify(pairs, sets, parts)), "links")
+    buckets = _still_mixed(buckets, components(links, parts))
+    points = _blocks(buckets, sets)
+    links = _settled(points, sets, links, parts)
+    # several texts of one doc_id are one document
+    of_doc = named.join(classes, TEXT).groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
+    ties = of_doc.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a <> b")
+    comps = components(links.unionByName(ties), parts)
+    discard(shared, mixed, buckets, points, sets, links)
     known = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
     known = known.select("h1", "h2", F.coalesce("component", "rep").alias("__component"))
-    out = sized.join(known, ["h1", "h2"], "left")
+    out = keys.join(known, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("__component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 

@@ -37,6 +37,8 @@ SLACK = 10
 TESTED = 1 << 19
 #: Texts that may link for each part of the tables of pairs.
 PART_TEXTS = 4000
+#: Buckets of a home that are searched together, with each text's count vectors in the task once.
+HOME = 32
 #: Shingles that a worker gathers before it looks for frequent ones; texts from which on a shingle of these is known to be shared; parts
 #: that such a shingle's texts are dealt to.
 GATHERED, FREQUENT, DEALT = 1 << 21, 64, 4096
@@ -351,50 +353,85 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield t, np.array([0, t.num_rows])
 
 
-def _found(forest: bool):
-    """Rows sorted by (sig, x, y), blocks x and y of a bucket, to pairs from different components that the bounds leave.
+class _Search:
+    """What a task has found: pairs that link as far as bounds tell, and with ``forest`` only those that bring together what no earlier pair has."""
+
+    def __init__(self, forest: bool):
+        self.forest, self.together, self.tested = forest, _Forest(), set()
+
+    def block(self, comp: list[int], rep: list[int], n: np.ndarray, vectors, fine, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs of the points ``left`` and ``right`` (indices; the same array: each pair once). vectors(): all count vectors; fine(k): a point's groups."""
+        root = np.array([self.together.root(c) for c in comp] if self.forest else comp)
+        out: list[tuple[int, int]] = []
+        if (root == root[0]).all() or not len(left) or not len(right):
+            return out
+        one, v = left is right, vectors()
+        apart = lambda i, j: (root[left[i]] != root[right[j]]) & ((left[i] < right[j]) if one else True)
+        i, j = RTree(v[right], n[right]).search(v[left], n[left], apart)
+        sets: dict[int, np.ndarray] = {}
+        for p, q in zip(left[i].tolist(), right[j].tolist(), strict=True):
+            ends = self.together.root(int(root[p])), self.together.root(int(root[q]))
+            pair = (min(rep[p], rep[q]), max(rep[p], rep[q]))
+            if self.forest and ends[0] == ends[1] or pair in self.tested:
+                continue
+            if len(self.tested) == TESTED:
+                self.tested.clear()
+            self.tested.add(pair)
+            for k in (p, q):
+                if k not in sets:
+                    sets[k] = fine(k)
+            if linked(_overlap(sets[p], sets[q]), n[p], n[q]):
+                out.append(pair)
+                if self.forest:
+                    self.together.join(*ends)
+        return out
+
+
+def _batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    found = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+
+def _found_in_homes(forest: bool):
+    """Rows sorted by (home, sig): first the texts of a home with their count vectors (sig null), then its buckets' members, to pairs."""
 
-    A tree over the block's count vectors is searched by the points of the other one (or its own), then the pair's 2^32 groups are
-    compared. With ``forest`` only pairs come out that bring together what no earlier pair of this task has.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _Search(forest)
+        for t, cuts in _groups(batches, ("home",)):
+            pairs: list[tuple[int, int]] = []
+            for a, z in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                g = t.slice(a, z - a)
+                texts, members = g.filter(g.column("vec").is_valid()).combine_chunks(), g.filter(g.column("vec").is_null()).combine_chunks()
+                key = lambda x: list(zip(*(x.column(c).to_pylist() for c in ("rep", *TEXT)), strict=True))
+                at = {k: i for i, k in enumerate(key(texts))}
+                own = np.array([at[k] for k in key(members)], np.int64)
+                v, fine = _vectors(texts.column("vec")), texts.column("fine")
+                sets = [np.frombuffer(x.as_buffer(), "<u4") for x in fine]
+                rep, comp, n, sig = members.column("rep").to_pylist(), members.column("comp").to_pylist(), members.column("n").to_numpy().astype(np.int64), members.column("sig").to_numpy()
+                ends = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)]]).tolist()
+                for x, y in zip(ends, ends[1:], strict=False):
+                    index = np.arange(y - x)
+                    pairs += search.block(comp[x:y], rep[x:y], n[x:y], lambda x=x, y=y: v[own[x:y]], lambda k, x=x: sets[own[x + k]], index, index)  # noqa: B023
+            yield _batch(pairs)
+
+    return run
+
+
+def _found_in_blocks(forest: bool):
+    """Rows sorted by (sig, x, y), blocks x and y of a bucket, to pairs of the points of one with those of the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        together, tested = _Forest(), set()
+        search = _Search(forest)
         for t, cuts in _groups(batches, ("sig", "x", "y")):
-            rep, comp, side, x, y = (t.column(c).to_numpy() for c in ("rep", "comp", "side", "x", "y"))
-            n, vec, fine = t.column("n").to_numpy().astype(np.int64), t.column("vec"), t.column("fine")
-            pairs = []
-            for a, z in zip(cuts, cuts[1:], strict=False):
-                one = x[a] == y[a]
-                root = np.array([together.root(c) for c in comp[a:z].tolist()]) if forest else comp[a:z]
-                if (root == root[0]).all():
-                    continue
-                left = np.arange(z - a) if one else np.flatnonzero(side[a:z] == 0)
-                right = left if one else np.flatnonzero(side[a:z] == 1)
-                if not len(left) or not len(right):
-                    continue
-                v, sizes, own = _vectors(vec.slice(a, z - a)), n[a:z], rep[a:z].tolist()
-                apart = lambda i, j, root=root, left=left, right=right, one=one: (root[left[i]] != root[right[j]]) & ((left[i] < right[j]) if one else True)
-                i, j = RTree(v[right], sizes[right]).search(v[left], sizes[left], apart)
-                sets: dict[int, np.ndarray] = {}
-                for p, q in zip(left[i].tolist(), right[j].tolist(), strict=True):
-                    if forest and together.root(int(root[p])) == together.root(int(root[q])):
-                        continue
-                    pair = (min(own[p], own[q]), max(own[p], own[q]))
-                    if pair in tested:
-                        continue
-                    if len(tested) == TESTED:
-                        tested.clear()
-                    tested.add(pair)
-                    for k in (p, q):
-                        if k not in sets:
-                            sets[k] = np.frombuffer(fine[int(a) + k].as_buffer(), "<u4")
-                    if linked(_overlap(sets[p], sets[q]), sizes[p], sizes[q]):
-                        pairs.append(pair)
-                        if forest:
-                            together.join(together.root(int(root[p])), together.root(int(root[q])))
-            found = np.array(pairs, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+            pairs: list[tuple[int, int]] = []
+            side, x, y, n = t.column("side").to_numpy(), t.column("x").to_numpy(), t.column("y").to_numpy(), t.column("n").to_numpy().astype(np.int64)
+            for a, z in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                g = t.slice(a, z - a)
+                left = np.flatnonzero(side[a:z] == 0)
+                right = left if x[a] == y[a] else np.flatnonzero(side[a:z] == 1)
+                fine = g.column("fine")
+                pairs += search.block(g.column("comp").to_pylist(), g.column("rep").to_pylist(), n[a:z], lambda g=g: _vectors(g.column("vec")), lambda k, fine=fine: np.frombuffer(fine[k].as_buffer(), "<u4"), left, right)
+            yield _batch(pairs)
 
     return run
 
@@ -502,8 +539,8 @@ def _still_mixed(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     return out
 
 
-def _blocks(buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """(sig, home, block, rep, comp, n, vec, fine): the points of each bucket in blocks, staged.
+def _blocks(buckets: DataFrame) -> DataFrame:
+    """(sig, home, block, rep, h1, h2, comp, n): the points of each bucket in blocks, staged.
 
     A bucket whose points count for no more than BLOCK is one block, 0. Larger ones are dealt by size and then by component; a
     component that fills blocks has its own, as points of one component needn't meet.
@@ -519,31 +556,41 @@ def _blocks(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     crowded = stage(crowded.join(bands, ["sig", "g"]).select("sig", "g", "comp", key.alias("__key"), alone.alias("__alone"), n_parts.alias("__parts")), "crowded")
     part = F.pmod(F.when(F.col("__alone"), F.xxhash64("rep", *TEXT)).otherwise(F.xxhash64("comp")), F.col("__parts"))
     dealt = rows.join(crowded, ["sig", "g", "comp"], "left").withColumn("block", F.when(F.col("__key").isNull(), 0).otherwise(F.xxhash64("__key", part).bitwiseOR(F.lit(1))))
-    points = dealt.select("sig", "home", "block", *TEXT, "rep", "comp").join(sets.select(*TEXT, "rep", "n", "vec", "fine"), [*TEXT, "rep"]).select("sig", "home", "block", "rep", "comp", "n", "vec", "fine")
-    points = stage(points, "points")
+    points = stage(dealt.select("sig", "home", "block", "rep", *TEXT, "comp", "n"), "points")
     discard(large, crowded)
     return points
 
 
-def _later_pairs(points: DataFrame, parts: int, forest: bool) -> DataFrame:
+def _later_pairs(points: DataFrame, sets: DataFrame, parts: int, forest: bool) -> DataFrame:
     """Pairs from different components that share a bucket, as far as the bounds on nodes, points and groups leave them, staged."""
-    cols = ["home", "sig", "x", "y", "side", "rep", "comp", "n", "vec", "fine"]
-    single = points.where("block = 0").select("home", "sig", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).alias("side"), "rep", "comp", "n", "vec", "fine")
-    many = points.where("block <> 0")
+    vectors = sets.select("rep", *TEXT, "vec", "fine")
+    # buckets of one block: those of a home come together, so that its texts' vectors are there once and its pairs are tested once
+    small = points.where("block = 0")
+    homes = stage(small.select("home", "sig").distinct().groupBy("home").agg(F.ceil(F.count(F.lit(1)) / HOME).alias("__n")), "homes")
+    small = small.join(homes, "home").withColumn("home", F.xxhash64("home", F.pmod("sig", "__n"))).select("home", "sig", "rep", *TEXT, "comp", "n")
+    texts = small.select("home", "rep", *TEXT).distinct().join(vectors, ["rep", *TEXT])
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = small.withColumn("vec", none("binary")).withColumn("fine", none("binary")).unionByName(
+        texts.withColumn("sig", none("long")).withColumn("comp", none("long")).withColumn("n", none("int")).select("home", "sig", "rep", *TEXT, "comp", "n", "vec", "fine")
+    )
+    rows = rows.repartition("home").sortWithinPartitions("home", "sig")
+    in_homes = stage(rows.mapInArrow(_found_in_homes(forest), "a long, b long"), "in-homes")
+    # larger ones: pairs of blocks whose corners leave a link possible
+    many = points.where("block <> 0").join(vectors, ["rep", *TEXT]).select("sig", "block", "rep", "comp", "n", "vec", "fine")
+    many = stage(many, "many")
     nodes = many.select("sig", "block", "comp", "n", "vec").repartition("sig", "block").sortWithinPartitions("sig", "block")
     nodes = stage(nodes.mapInArrow(_corners, "sig long, block long, cmin long, cmax long, nmin int, nmax int, upper binary"), "nodes")
     other = nodes.select("sig", *[F.col(c).alias(f"{c}_") for c in nodes.columns if c != "sig"])
     met = nodes.join(other, "sig").where("block <= block_ and not (cmin = cmax and cmin_ = cmax_ and cmin = cmin_)")
     met = met.where(_sizes_fit(F.col("nmin"), F.col("nmax"), F.col("nmin_"), F.col("nmax_"))).select("sig", F.col("block").alias("x"), F.col("block_").alias("y"), "nmin", "nmax", "nmin_", "nmax_", "upper", "upper_")
     met = stage(met.mapInArrow(_near, "sig long, x long, y long"), "met")
-    many = many.withColumn("home", F.lit(None).cast("long"))
+    cols = ["sig", "x", "y", "side", "rep", "comp", "n", "vec", "fine"]
     left = met.join(many.withColumnRenamed("block", "x"), ["sig", "x"]).withColumn("side", F.lit(0))
-    right = met.where("x < y").join(many.withColumnRenamed("block", "y"), ["sig", "y"]).withColumn("side", F.lit(1))
-    # small buckets of a group go to one task, which then tests its pairs once
-    place = F.coalesce("home", F.xxhash64("sig", "x", "y"))
-    rows = single.unionByName(left.select(*cols)).unionByName(right.select(*cols)).repartition(place).sortWithinPartitions("home", "sig", "x", "y").drop("home")
-    out = stage(rows.mapInArrow(_found(forest), "a long, b long").distinct().coalesce(parts), "later")
-    discard(nodes, met)
+    right = met.where("x <> y").join(many.withColumnRenamed("block", "y"), ["sig", "y"]).withColumn("side", F.lit(1))
+    rows = left.select(*cols).unionByName(right.select(*cols)).repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
+    in_blocks = stage(rows.mapInArrow(_found_in_blocks(forest), "a long, b long"), "in-blocks")
+    out = stage(in_homes.unionByName(in_blocks).distinct().coalesce(parts), "later")
+    discard(homes, in_homes, many, nodes, met, in_blocks)
     return out
 
 
@@ -553,7 +600,7 @@ def _settled(points: DataFrame, sets: DataFrame, links: DataFrame, parts: int) -
     Tasks put out forests of pairs that 2^32 groups leave. Where all of these link, what they bring together is together. Where one
     doesn't, which takes clashing groups, all pairs of what hangs together with it are verified.
     """
-    pairs = _later_pairs(points, parts, True)
+    pairs = _later_pairs(points, sets, parts, True)
     more = stage(exact(pairs, sets, parts), "links")
     failed = pairs.join(more, ["a", "b"], "left_anti")
     links = stage(links.unionByName(more), "links")
@@ -566,7 +613,7 @@ def _settled(points: DataFrame, sets: DataFrame, links: DataFrame, parts: int) -
         nodes = hangs.join(bad, "component", "left_semi").select(F.col("node").alias("rep"))
         again = points.drop("comp").join(nodes, "rep", "left_semi").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
         again = stage(again.withColumn("comp", F.coalesce("component", "rep")).select(*points.columns), "points")
-        rest = _later_pairs(again, parts, False)
+        rest = _later_pairs(again, sets, parts, False)
         links = stage(links.unionByName(exact(rest, sets, parts)), "links")
         discard(again, rest)
     discard(pairs, more)
@@ -605,7 +652,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     pairs = _leader_pairs(buckets, 1)
     links = stage(links.unionByName(verify(pairs, sets, parts)), "links")
     buckets = _still_mixed(buckets, components(links, parts))
-    points = _blocks(buckets, sets)
+    points = _blocks(buckets)
     links = _settled(points, sets, links, parts)
     # several texts of one doc_id are one document
     of_doc = named.join(classes, TEXT).groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm import substring_dedup
 from quarry.llm.chat_format import format_chats
 from quarry.llm.fingerprints import fingerprint_documents
 from quarry.llm.mixing import mix_documents
@@ -38,4 +39,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for those queries that it can express: no tokenizer, compressor, fitted model or pseudorandom draw in them."""
+    return {"op1_line_dedup": substring_dedup.SQL}

@@ -1,4 +1,4 @@
-"""Substring dedup: of each repeated line, and of each repeated run of words, the earliest occurrence stays, the others go, with their original offsets kept."""
+"""Substring dedup: texts are cut into lines, and these at the ends of clauses; of repeated runs of such units the earliest stays, the others go, with their original offsets kept."""
 
 from __future__ import annotations
 
@@ -6,35 +6,22 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stage, tune
+from quarry.llm.common import discard, stage, tune
 
-#: Units with fewer words are left alone: short lines repeat by chance.
-MIN_WORDS = 5
-#: Runs of so many words are passages; words of the shorter runs by which they are found; words that a worker keeps.
-PASSAGE_WORDS, GRAM_WORDS, CACHE_WORDS = 50, 16, 400_000
-_BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
-_WORD = re.compile(r"\S+")
+#: Behind what a text is cut. Clauses end with a mark before white space (or with a full-width mark), and with their line.
+CUTS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r\f\v]*\n"), "clause": re.compile(r"\n|[.!?,;:][ \t\r\f\v]+|[。！？，；：]")}
+#: Units with fewer words don't count: short ones repeat by chance. So many counted words make a repeated run a passage.
+MIN_WORDS, RUN_WORDS = 3, 20
 
 
-def units(text: str, mode: str = "line") -> list[tuple[int, int]]:
-    """(start, end) in code points, end exclusive, of lines, or of paragraphs: runs of lines between blank ones."""
-    out, at, block = [], 0, None
-    for line in text.split("\n"):
-        end = at + len(line)
-        if mode == "line":
-            out.append((at, end))
-        elif line.strip():
-            block = (block[0] if block else at, end)
-        elif block:
-            out.append(block)
-            block = None
-        at = end + 1
-    return out + ([block] if block else [])
+def units(text: str, mode: str = "clause") -> list[tuple[int, int]]:
+    """(start, end) in code points, end exclusive, of the pieces of a text that hold a word; what follows a piece belongs to it up to the cut."""
+    ends = [m.end() for m in CUTS[mode].finditer(text)]
+    return [(a, z) for a, z in zip([0, *ends], [*ends, len(text)], strict=True) if a < z and not text[a:z].isspace()]
 
 
 def normalised(unit: str) -> str:
@@ -42,210 +29,77 @@ def normalised(unit: str) -> str:
     return " ".join(unit.lower().split())
 
 
-def _units(mode: str, min_words: int):
+def _units(mode: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc_id, h, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                for a, z in units(text, mode):
-                    plain = normalised(text[a:z])
-                    if plain.count(" ") + 1 >= min_words and plain:
-                        d = hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                        rows.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), doc_id, h, a, z))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["d1", "d2", "doc_id", "h", "start", "end"])
+            digests, at = [], []
+            rows: list[list[int]] = [[], [], [], []]
+            for i, text in enumerate(b.column(2).to_pylist()):
+                for k, (a, z) in enumerate(units(text, mode)):
+                    words = text[a:z].lower().split()
+                    digests.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                    at.append(i)
+                    for column, x in zip(rows, (k, a, z, len(words)), strict=True):
+                        column.append(x)
+            halves = pa.FixedSizeListArray.from_arrays(pa.Array.from_buffers(pa.int64(), 2 * len(at), [None, pa.py_buffer(b"".join(digests))]), 2).flatten() if at else pa.array([], pa.int64())
+            d1, d2 = halves[::2] if len(at) else halves, halves[1::2] if len(at) else halves
+            where = pa.array(at, pa.int64())
+            cols = [d1, d2, b.column(0).take(where), b.column(1).take(where), *(pa.array(x, pa.int32()) for x in rows)]
+            yield pa.RecordBatch.from_arrays(cols, names=["d1", "d2", "doc_id", "h", "k", "start", "end", "words"])
 
     return run
 
 
-class _Digests(dict):
-    """128-bit digests of words; one table in a worker process."""
-
-    def __missing__(self, word: str) -> bytes:
-        d = self[word] = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        return d
-
-
-_DIGESTS = _Digests()
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n at least, modulo 2 ** 64."""
-    if base not in _POWERS or len(_POWERS[base]) <= n:
-        _POWERS[base] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 15), base, np.uint64)]), dtype=np.uint64)
-    return _POWERS[base]
-
-
-def _values(text: str) -> np.ndarray:
-    """Two 64-bit values for each word of the normalised text."""
-    if len(_DIGESTS) > CACHE_WORDS:
-        _DIGESTS.clear()
-    return np.frombuffer(b"".join(map(_DIGESTS.__getitem__, text.lower().split())), "<u8").reshape(-1, 2)
-
-
-def _rolled(values: np.ndarray, k: int) -> np.ndarray:
-    """The polynomial hash of each k values in a row, modulo 2 ** 64."""
-    n = len(values)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _powers(pow(_BASE, -1, 1 << 64), n)[:n], dtype=np.uint64)])
-    return (sums[k:] - sums[:-k]) * _powers(_BASE, n)[k - 1 : n]
-
-
-def _lowest(hashes: np.ndarray, w: int) -> np.ndarray:
-    """Where the last of the lowest hashes of each w in a row stands."""
-    back = np.lib.stride_tricks.sliding_window_view(hashes[::-1], w).argmin(1)
-    return np.unique(len(hashes) - 1 - (back + np.arange(len(back))))
-
-
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Short runs of words, chosen by their hashes alone, so that each passage holds one that its copies hold too."""
-    for b in batches:
-        out: list[list[np.ndarray]] = [[], []]
-        n = []
-        for text in b.column(2).to_pylist():
-            values = _values(text)
-            n.append(0)
-            if len(values) >= PASSAGE_WORDS:
-                hashes = _rolled(values[:, 0], GRAM_WORDS)
-                at = _lowest(hashes, PASSAGE_WORDS - GRAM_WORDS + 1)
-                n[-1] = len(at)
-                out[0].append(hashes[at].view(np.int64))
-                out[1].append(at)
-        where = pa.array(np.repeat(np.arange(len(n)), n))
-        cols = [np.concatenate([np.zeros(0, np.int64), *x]) for x in out]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0]), b.column(0).take(where), b.column(1).take(where), pa.array(cols[1])], names=["d1", "doc_id", "h", "start"])
-
-
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The digest of each passage that holds a repeated anchor, and the word that it starts at."""
-    reach = PASSAGE_WORDS - GRAM_WORDS
-    for b in batches:
-        out: list[list[np.ndarray]] = [[], [], []]
-        n = []
-        for text, anchors in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            values = _values(text)
-            last = len(values) - PASSAGE_WORDS
-            at = np.array(anchors, np.int64)
-            edges = np.zeros(last + 2, np.int64)
-            np.add.at(edges, np.maximum(0, at - reach), 1)
-            np.add.at(edges, np.minimum(last, at) + 1, -1)
-            starts = np.flatnonzero(np.cumsum(edges[:-1]))
-            n.append(len(starts))
-            out[0].append(_rolled(values[:, 0], PASSAGE_WORDS)[starts].view(np.int64))
-            out[1].append(_rolled(values[:, 1], PASSAGE_WORDS)[starts].view(np.int64))
-            out[2].append(starts)
-        where = pa.array(np.repeat(np.arange(len(n)), n))
-        cols = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in out]
-        yield pa.RecordBatch.from_arrays([cols[0], cols[1], b.column(0).take(where), b.column(1).take(where), cols[2]], names=["d1", "d2", "doc_id", "h", "start"])
-
-
-def _spans(text: str, units: list[tuple[int, int]], runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Character spans of units and of runs of words, in order; those that overlap are made one."""
-    if runs:
-        words = [m.span() for m in _WORD.finditer(text)]
-        units = sorted(units + [(words[a][0], words[z - 1][1]) for a, z in runs])
-    out: list[tuple[int, int]] = []
-    for a, z in units:
-        if out and a < out[-1][1]:
-            out[-1] = (out[-1][0], max(z, out[-1][1]))
-        else:
-            out.append((a, z))
-    return out
-
-
-def _without(text: str, spans: list[tuple[int, int]]) -> str:
-    """text without the spans and the line break behind whole lines (before it for the last line), or the blank behind what stands between blanks."""
-    out, at = [], 0
-    for a, z in spans:
-        out.append(text[at:a])
-        before, after = text[a - 1 : a] or "\n", text[z : z + 1] or "\n"
-        at = z + 1 if (after == "\n" and before == "\n") or (after == " " and before.isspace()) else z
-    kept = "".join([*out, text[at:]])
-    return kept[:-1] if spans and spans[-1][1] == len(text) and kept.endswith("\n") else kept
-
-
-def _key(doc_id: Column, h: Column) -> Column:
-    return F.xxhash64(F.struct(F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), h))
-
-
-def _repeated(found: DataFrame, digest: list[str], name: str) -> tuple[DataFrame, Column]:
-    """The digests that stand in more than one place, with the first; and the place."""
-    rank = F.struct("doc_id", "h", "start")
-    repeated = found.groupBy(*digest).agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last")
-    return stage(repeated.select(*digest, "first"), name), rank
-
-
-def _runs(rows: DataFrame) -> DataFrame:
-    """(doc_id, h, runs): the words of ``rows`` (doc_id, h, text) that lie in passages which stand earlier too, as [from, to).
-
-    Passages are found by anchors: whatever run of ``PASSAGE_WORDS`` words stands twice holds one anchor at the same place. So
-    only passages around repeated anchors are digested and compared, and none that repeats is missed. Where a passage overlaps
-    its own first occurrence, that one's words stay.
-    """
-    anchors = stage(rows.mapInArrow(_anchors, "d1 long, doc_id long, h long, start long"), "anchors")
-    repeated, _ = _repeated(anchors, ["d1"], "repeated-anchors")
-    held = anchors.join(repeated.select("d1"), "d1").groupBy(_key(F.col("doc_id"), F.col("h")).alias("__key")).agg(F.collect_set("start").alias("anchors"))
-    texts = rows.withColumn("__key", _key(F.col("doc_id"), F.col("h"))).join(held, "__key").select("doc_id", "h", "text", "anchors")
-    found = stage(texts.mapInArrow(_passages, "d1 long, d2 long, doc_id long, h long, start long"), "passages")
-    repeated, rank = _repeated(found, ["d1", "d2"], "repeated-passages")
-    later = found.join(repeated, ["d1", "d2"]).where(F.col("first") != rank)
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
-    begin = F.when(same, F.greatest("start", F.col("first.start") + PASSAGE_WORDS)).otherwise(F.col("start"))
-    run = F.struct(begin.cast("int").alias("from"), (F.col("start") + PASSAGE_WORDS).cast("int").alias("to"))
-    return later.groupBy(_key(F.col("doc_id"), F.col("h")).alias("__key")).agg(F.collect_set(run).alias("runs"))
-
-
-def _joined(runs: list[dict] | None) -> list[tuple[int, int]]:
-    """Runs in order; those that overlap or meet are made one."""
-    out: list[tuple[int, int]] = []
-    for a, z in sorted((r["from"], r["to"]) for r in runs or []):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(z, out[-1][1]))
+def passages(found: list[dict] | None, min_words: int, run_words: int) -> list[tuple[int, int]]:
+    """Spans of the runs of neighbouring repeated units that hold ``run_words`` words or more in units of ``min_words`` and more."""
+    out: list[list[int]] = []
+    for u in sorted(found or [], key=lambda u: u["k"]):
+        counted = u["words"] if u["words"] >= min_words else 0
+        if out and out[-1][2] + 1 == u["k"]:
+            out[-1][1:] = [u["end"], u["k"], out[-1][3] + counted]
         else:
-            out.append((a, z))
-    return out
+            out.append([u["start"], u["end"], u["k"], counted])
+    return [(a, z) for a, z, _, n in out if n >= run_words]
 
 
-def remove_repeats(documents: DataFrame, mode: str = "line", min_words: int = MIN_WORDS, passages: bool = False) -> DataFrame:
+def remove_repeats(documents: DataFrame, mode: str = "clause", min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """documents with the text that stays and three columns: ``n_units``, ``n_removed`` and ``removed_spans`` (start:end, comma-joined).
 
-    Units of ``min_words`` words or more are compared by a 128-bit digest of their normalised form over the whole corpus. The
-    earliest by doc_id (null first), then a hash of the text, then offset, stays. Rows alike in doc_id and text are one document:
-    they come out alike. A null text has no units and stays null. Other columns stay; those with the three names are replaced.
-    With ``passages``, all runs of ``PASSAGE_WORDS`` words and more that stand earlier go too, wherever in a line they begin and
-    end; spans that overlap are listed as one.
+    Units (``line``, ``paragraph``, or ``clause``: lines cut further) are compared by a 128-bit digest of their normalised form over
+    the whole corpus; the earliest by doc_id (null first), then a hash of the text, then offset, stays. Runs of neighbouring units
+    that stand earlier are removed where they hold ``run_words`` words in units of ``min_words`` words or more; other repeated units
+    stay. What stays is the text without the spans. Rows alike in doc_id and text are one document: they come out alike. A null
+    text has no units and stays null, an empty one stays empty, an empty table gives no rows. Other columns stay; those with the
+    three names are replaced.
 
-    Only digests, ids and offsets are grouped, with partial sums before the exchange, so a line that a third of all documents
-    hold is a few rows for each task; repeated digests alone are joined back.
+    Digests are counted with partial sums before the exchange, so a unit that a third of all documents hold is a row for each task;
+    only repeated ones are joined back, in joins of two written tables, whose frequent keys Spark splits.
     """
     tune(documents.sparkSession)
     added = ["n_units", "n_removed", "removed_spans"]
     own = [c for c in documents.columns if c not in added]
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").where("text is not null")
-    found = rows.select("doc_id", "h", "text").mapInArrow(_units(mode, min_words), "d1 long, d2 long, doc_id long, h long, start long, end long")
-    found = stage(found, "units")
-    repeated, rank = _repeated(found, ["d1", "d2"], "repeated")
-    later = found.join(repeated, ["d1", "d2"]).where(F.col("first") != rank)
-    counted = found.groupBy("doc_id", "h").agg(F.countDistinct("start").alias("n_units"))
-    gone = later.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    plan = counted.join(gone.withColumnRenamed("doc_id", "__d"), (F.col("doc_id").eqNullSafe(F.col("__d"))) & (counted["h"] == gone["h"]), "left").select(
-        counted["doc_id"], counted["h"], "n_units", F.sort_array(F.coalesce("spans", F.array())).alias("spans")
-    )
-    plan = plan.select(_key(F.col("doc_id"), F.col("h")).alias("__key"), "n_units", "spans")
-    none = F.lit(None).cast("array<struct<from: int, to: int>>")
-    plan = plan.join(_runs(rows), "__key", "full") if passages else plan.withColumn("runs", none)
-    aside = documents.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"), _key(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("__key"))
-    both = aside.join(plan, "__key", "left").select("__row", "n_units", "spans", "runs")
+    digest, doc = ["d1", "d2"], ["doc_id", "h"]
+    rows = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    found = stage(rows.mapInArrow(_units(mode), "d1 long, d2 long, doc_id long, h long, k int, start int, end int, words int"), "units")
+    often = stage(found.groupBy(*digest).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*digest), "often")
+    met = stage(found.join(often, digest), "repeated")
+    discard(found, often)
+    rank = F.struct(*doc, "start")
+    first = stage(met.groupBy(*digest).agg(F.min(rank).alias("first")), "first")
+    later = met.join(first, digest).where(F.col("first") != rank)
+    gone = stage(later.groupBy(*doc).agg(F.collect_set(F.struct("k", "start", "end", "words")).alias("later")), "later")
+    discard(met, first)
+    aside = documents.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"), F.col("doc_id").cast("long").alias("__doc_id"), F.xxhash64("text").alias("__h"))
+    both = aside.join(gone, F.col("__doc_id").eqNullSafe(F.col("doc_id")) & (F.col("__h") == F.col("h")), "left").select("__row", "later")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row = b.column("__row")
             texts = row.field(row.type.get_field_index("text")).to_pylist()
-            lines = [[(s["start"], s["end"]) for s in x or []] for x in b.column("spans").to_pylist()]
-            spans = [_spans(t or "", s, _joined(r)) for t, s, r in zip(texts, lines, b.column("runs").to_pylist(), strict=True)]
-            kept = [t if t is None else _without(t, s) for t, s in zip(texts, spans, strict=True)]
+            spans = [[] if t is None else passages(x, min_words, run_words) for t, x in zip(texts, b.column("later").to_pylist(), strict=True)]
+            kept = [t if t is None else "".join(t[z:a] for z, a in zip([0, *(s[1] for s in x)], [*(s[0] for s in x), len(t)], strict=True)) for t, x in zip(texts, spans, strict=True)]
             listed = [",".join(f"{a}:{z}" for a, z in s) for s in spans]
-            n = [x or 0 for x in b.column("n_units").to_pylist()]
+            n = [len(units(t, mode)) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([row, pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(listed, pa.string())], names=["__row", "__text", *added])
 
     kind = aside.schema["__row"].dataType.simpleString()
@@ -254,6 +108,22 @@ def remove_repeats(documents: DataFrame, mode: str = "line", min_words: int = MI
 
 
 def repeat_report(documents: DataFrame) -> DataFrame:
-    """op1: what is removed from each document (repeated lines of any length, repeated passages wherever they begin and end), and the digest and length of what stays."""
-    out = remove_repeats(documents.select("doc_id", "text"), min_words=1, passages=True)
+    """op1: what is removed from each document, and the length and digest of what stays."""
+    out = remove_repeats(documents.select("doc_id", "text"))
     return out.select("doc_id", "n_units", "n_removed", "removed_spans", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: The same result in SQL, by the normalised units themselves.
+SQL = rf"""with tiles as (select doc_id, string_split(regexp_replace(text, '(\n|[.!?,;:][ \t\r\f\v]+|[。！？，；：])', '\1' || chr(1), 'g'), chr(1)) as p from documents where text is not null),
+cut as (select doc_id, unnest(p) as tile, generate_subscripts(p, 1) as i from tiles),
+placed as (select *, coalesce(sum(length(tile)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as a, trim(regexp_replace(lower(tile), '\s+', ' ', 'g')) as plain from cut),
+unit as (select *, a + length(tile) as z, row_number() over (partition by doc_id order by i) as k, length(plain) - length(replace(plain, ' ', '')) + 1 as w from placed where plain <> ''),
+ranked as (select *, row_number() over (partition by plain order by doc_id, a) as r from unit),
+runs as (select *, k - row_number() over (partition by doc_id order by k) as g from ranked where r > 1),
+spans as (select doc_id, min(a) as a, max(z) as z from runs group by doc_id, g having sum(case when w >= {MIN_WORDS} then w else 0 end) >= {RUN_WORDS}),
+listed as (select doc_id, count(*) as n, string_agg(a || ':' || z, ',' order by a) as spans from spans group by doc_id),
+kept as (select p.doc_id, string_agg(p.tile, '' order by p.i) filter (where s.a is null) as text from placed p left join spans s on s.doc_id = p.doc_id and p.a >= s.a and p.a < s.z group by p.doc_id),
+counted as (select doc_id, count(*) as n from unit group by doc_id)
+select d.doc_id, coalesce(c.n, 0)::bigint as n_units, coalesce(l.n, 0)::bigint as n_removed, coalesce(l.spans, '') as removed_spans,
+  case when d.text is not null then length(coalesce(k.text, ''))::bigint end as kept_chars, case when d.text is not null then sha256(coalesce(k.text, '')) end as kept_sha256
+from documents d left join counted c using (doc_id) left join listed l using (doc_id) left join kept k using (doc_id)"""

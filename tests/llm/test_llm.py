@@ -48,7 +48,7 @@ def collected(df):
 
 
 # ---- 1 ----
-CUTS = {"line": r"(\n)", "paragraph": r"(\n\n)", "clause": r"(\n|[.!?,;:] )"}  # of texts with single blanks
+CUTS = {"line": r"(\n)", "paragraph": r"(\n\n)", "clause": r"(\n|[.!?,;:] +)"}
 
 
 def brute_repeats(docs, mode="clause", min_words=3, run_words=20):

@@ -9,20 +9,21 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stage, tune
 
-WINDOW, END_ID, SHARD_TOKENS, CACHE_WORDS = 2048, 1, 4_000_000, 600_000
+WINDOW, END_ID, SHARD_TOKENS = 2048, 1, 4_000_000
 K1, B = 1.2, 0.75
-#: How the tokenizer cuts text before it merges.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Characters of texts that are encoded together, so that a word is looked at once; encoded words that a worker remembers.
+GATHERED, CACHE_WORDS = 8 << 20, 200_000
+#: Words of Latin letters, with a full stop or comma behind them or not: lower-case, precomposed, and letters to every library.
+LATIN = "^[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f]{1,200}[.,]?$"
 
 
 def default_tokenizer() -> str:
@@ -66,18 +67,23 @@ class _Letters:
         self.ends[[r for w, r in ranks.items() if w.endswith(b"\0")]] = True
         self.coder = tiktoken.Encoding("letters", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and where each word ends."""
-        r = np.array(self.coder.encode_ordinary("\0".join(words) + "\0"), np.int64)
+    def encode(self, words: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that each end with a null character, in a row, and where each word ends."""
+        r = self.coder.encode_to_numpy(words)
         return self.ids[r], np.flatnonzero(self.ends[r]) + 1
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices of the ranges one after the other."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
+
+
 class WordEncoder:
-    """Ids of whole texts as a tokenizer of this kind gives them, by a cache of words.
+    """Ids of whole texts as a tokenizer of this kind gives them, word by word.
 
     The tokenizer lower-cases and never joins text over white space, so ids of a text are those of its words in a row. Where that
     might not hold (special tokens' strings, a capital sigma) the whole text goes through the tokenizer, and so does each word
-    that isn't of letters alone.
+    that isn't of Latin letters.
     """
 
     def __init__(self, path: str):
@@ -89,48 +95,51 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             self.letters = _Letters(json.load(f)["model"])
-        self.cache: dict[str, bytes] = {"": b""}
+        self.cache: dict[str, np.ndarray] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def _learn(self, words: set[str]) -> None:
-        """Put the ids of new words into the cache; each is cut into the tokenizer's pieces, and pieces are learnt once."""
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache = {"": b""}
-        cache = self.cache
-        asked: dict[str, None] = {}
-        cut: list[tuple[str, list[str]]] = []
-        for w in words:
-            if w.isalpha() and is_normalized("NFC", w):
-                asked[w] = None
-            elif w.isprintable() and max(w) < "\u0250":  # letters, marks and digits that every library sorts alike
-                pieces = [w[:-1], w[-1]] if w[-1] in ".," and w[:-1].isalpha() else PIECE.findall(w)
-                cut.append((w, pieces))
-                for x in pieces:
-                    if x not in cache:
-                        asked[x] = None
-            else:
-                cache[w] = self._ids(w).tobytes()
-        if asked:
-            ids, ends = self.letters.encode(list(asked))
-            data, width, at = ids.astype(self.kind).tobytes(), self.kind.itemsize, 0
-            for w, z in zip(asked, (ends * width).tolist(), strict=True):
-                cache[w], at = data[at:z], z
-        for w, pieces in cut:
-            cache[w] = b"".join([cache[x] for x in pieces])
+    def _other(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words that aren't of Latin letters, by the tokenizer."""
+        if new := [w for w in words if w not in self.cache]:
+            if len(self.cache) + len(new) > CACHE_WORDS:
+                self.cache, new = {}, words
+            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+                self.cache[w] = np.array(e.ids, np.int64)
+        return [self.cache[w] for w in words]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct words where in a row of ids each one's begin and how many they are; the row."""
+        latin = pc.match_substring_regex(words, LATIN)
+        fast = words.filter(latin)
+        starts, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        at = latin.to_numpy(zero_copy_only=False)
+        rows = [np.empty(0, np.int64)]
+        if len(fast):
+            two = pc.match_substring_regex(fast, "[.,]$").to_numpy(zero_copy_only=False)
+            ids, ends = self.letters.encode("\0".join(pc.replace_substring_regex(fast, "([.,])$", "\0\\1").to_pylist()) + "\0")
+            ends = ends[np.cumsum(1 + two) - 1]
+            starts[at], lengths[at] = np.concatenate([[0], ends[:-1]]), np.diff(np.concatenate([[0], ends]))
+            rows.append(ids)
+        if len(fast) < len(words):
+            other = self._other(words.filter(pc.invert(latin)).to_pylist())
+            n = np.array([len(x) for x in other])
+            starts[~at], lengths[~at] = len(rows[-1]) + np.cumsum(n) - n, n
+            rows += other
+        return starts, lengths, np.concatenate(rows).astype(self.kind)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian, without an end id."""
         plain = ["<|" in t or "Σ" in t for t in texts]
-        split = [[] if p else t.lower().replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True)]
-        got = [list(map(self.cache.get, w)) for w in split]
-        if open_ := [i for i, g in enumerate(got) if None in g]:
-            self._learn({w for i in open_ for w, x in zip(split[i], got[i], strict=True) if x is None})
-            cache = self.cache
-            for i in open_:
-                got[i] = [cache[w] if x is None else x for x, w in zip(got[i], split[i], strict=True)]
-        return [self._ids(t).tobytes() if p else b"".join(g) for t, g, p in zip(texts, got, plain, strict=True)]
+        split = pc.split_pattern(pa.array(["" if p else t.lower().replace("\n", " ") for t, p in zip(texts, plain, strict=True)], pa.large_string()), " ")
+        found = split.flatten().dictionary_encode()
+        starts, lengths, row = self._words(found.dictionary)
+        which = found.indices.to_numpy()
+        n = lengths[which]
+        data, width = row[_ranges(starts[which], n)].tobytes(), self.kind.itemsize
+        bounds = (np.concatenate([[0], np.cumsum(n)])[split.offsets.to_numpy() - split.offsets[0].as_py()] * width).tolist()
+        return [self._ids(t).tobytes() if p else data[a:z] for t, p, a, z in zip(texts, plain, bounds, bounds[1:], strict=False)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -146,14 +155,28 @@ def encoder(path: str) -> WordEncoder:
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("ids", pa.binary()), ("term", pa.int32()), ("df", pa.int64())])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches together while their texts are no longer than GATHERED bytes."""
+    held, size = [], 0
+    for b in batches:
+        n = b.column(1).nbytes
+        if held and size + n > GATHERED:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += n
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _tokenised(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         df, seen = np.zeros(e.size, np.int64), {}
         end = np.array([end_id], e.kind).tobytes()
-        for b in batches:
-            ids, place = b.column(0).to_pylist(), b.column(2).to_pylist()
-            blobs = [x + end for x in e.encode(b.column(1).to_pylist())]
+        for t in _gathered(batches):
+            ids, place = t.column(0).to_pylist(), t.column(2).to_pylist()
+            blobs = [x + end for x in e.encode(t.column(1).to_pylist())]
             for k, blob in enumerate(blobs):
                 df[np.unique(np.frombuffer(blob, e.kind))] += 1
                 n = seen[place[k]] = seen.get(place[k], -1) + 1  # repeated rows are dealt apart
@@ -171,25 +194,36 @@ def _rarity(df: np.ndarray, n: int) -> np.ndarray:
     return np.log1p((n - df + 0.5) / (df + 0.5))
 
 
-def _postings(docs: list[np.ndarray], idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """BM25 weights by term: where each term's list starts, documents, weights; each document's distinct terms.
+class _Index:
+    """BM25 weights of documents (``of``: which of docs) by term.
 
     Terms that over a quarter of the documents hold are rows of a dense table, which are added faster than lists: the row of each
     term (-1: a list), and the rows. Their lists stay, unread.
     """
-    terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True)
-    doc = np.repeat(np.arange(len(docs)), [len(t) for t in terms])
-    term, tf = np.concatenate(terms), np.concatenate(counts)
-    size = np.array([len(d) for d in docs])[doc]
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
-    order = np.argsort(term, kind="stable")
-    starts, doc, weight = np.searchsorted(term[order], np.arange(len(idf) + 1)), doc[order], weight[order]
-    often = np.flatnonzero(np.diff(starts) * 4 > len(docs))
-    row, dense = np.full(len(idf), -1), np.zeros((len(often), len(docs)))
-    row[often] = np.arange(len(often))
-    for r, t in enumerate(often.tolist()):
-        dense[r, doc[starts[t] : starts[t + 1]]] = weight[starts[t] : starts[t + 1]]
-    return starts, doc, weight, row, dense, list(terms)
+
+    def __init__(self, docs: list[np.ndarray], of: np.ndarray, idf: np.ndarray, mean: float):
+        self.of, self.idf = of, idf
+        terms, counts = zip(*(np.unique(docs[d], return_counts=True) for d in of.tolist()), strict=True) if len(of) else ((np.empty(0, np.int64),), (np.empty(0, np.int64),))
+        doc = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+        term, tf = np.concatenate(terms), np.concatenate(counts)
+        size = np.array([len(docs[d]) for d in of.tolist()] or [1])[doc]
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+        order = np.argsort(term, kind="stable")
+        starts, self.doc, self.weight = np.searchsorted(term[order], np.arange(len(idf) + 1)), doc[order], weight[order]
+        often = np.flatnonzero(np.diff(starts) * 4 > len(of))
+        self.row, self.dense = np.full(len(idf), -1), np.zeros((len(often), len(of)))
+        self.row[often] = np.arange(len(often))
+        for r, t in enumerate(often.tolist()):
+            self.dense[r, self.doc[starts[t] : starts[t + 1]]] = self.weight[starts[t] : starts[t + 1]]
+        self.bounds = starts.tolist()
+
+    def scores(self, terms: np.ndarray) -> np.ndarray:
+        """Of each document for a query of distinct terms."""
+        often = self.row[terms]
+        score = self.dense[often[often >= 0]].sum(0)
+        if at := [slice(self.bounds[t], self.bounds[t + 1]) for t in terms[often < 0].tolist()]:
+            score += np.bincount(np.concatenate([self.doc[x] for x in at]), np.concatenate([self.weight[x] for x in at]), len(self.of))
+        return score
 
 
 def pack_shard(docs: list[np.ndarray], df: np.ndarray, n: int, mean: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -205,25 +239,23 @@ def pack_shard(docs: list[np.ndarray], df: np.ndarray, n: int, mean: float, wind
         out += [(d, k * window, window, sequence + k, 0) for k in range(full)]
         sequence += full
         tail.append(full * window)
-    starts, doc, weight, row, dense, terms = _postings(docs, _rarity(df, n), mean)
-    bounds = starts.tolist()
     left = [len(ids) - t for ids, t in zip(docs, tail, strict=True)]
     unused = np.array([x > 0 for x in left])
+    index = _Index(docs, np.flatnonzero(unused), _rarity(df, n), mean)
     seed, filled, first = -1, 0, 0
     queue: Iterator[int] = iter(())
 
     def neighbours(d: int) -> Iterator[int]:
-        often = row[terms[d]]
-        score = dense[often[often >= 0]].sum(0)
-        if at := [slice(bounds[t], bounds[t + 1]) for t in terms[d][often < 0].tolist()]:
-            score += np.bincount(np.concatenate([doc[x] for x in at]), np.concatenate([weight[x] for x in at]), len(docs))
-        score *= unused
+        nonlocal index
+        if 2 * np.count_nonzero(unused) < len(index.of):  # used documents fall out of the index
+            index = _Index(docs, np.flatnonzero(unused), index.idf, mean)
+        score, of = index.scores(np.unique(docs[d])) * unused[index.of], index.of
         found = np.flatnonzero(score)
         if len(found) > 64:  # the best are asked for first, the others if those are used up
             best = np.argpartition(-score[found], 64)
-            yield from found[best[:64]][np.argsort(-score[found[best[:64]]], kind="stable")].tolist()
+            yield from of[found[best[:64]][np.argsort(-score[found[best[:64]]], kind="stable")]].tolist()
             found = found[best[64:]]
-        yield from found[np.argsort(-score[found], kind="stable")].tolist()
+        yield from of[found[np.argsort(-score[found], kind="stable")]].tolist()
 
     while True:
         if seed < 0:  # the next piece: a neighbour, or else the first unused document, which is asked for neighbours in turn

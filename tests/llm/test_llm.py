@@ -469,10 +469,20 @@ def test_packing(real, odd, empty):
 
 
 def test_word_encoder_is_the_tokenizer():
+    """On all real texts, odd strings, and random strings over all categories of characters."""
+    import unicodedata
+
     e = packing.WordEncoder(packing.default_tokenizer())
-    texts = [r[0] for r in duckdb.sql(f"select text from '{SMALL}'").fetchall()]
-    texts += ["", " a.b  \"c\" ... İSTANBUL ΣΑΣ <|endoftext|>y\t\x0bz\x1cq don't WE'LL 1234 a1b2 é é ﬁ ９９", "<|ENDOFTEXT|>", "it's. x., Ünï.", "한국어 각", "가 ǅ ʰa. ***a&&& b!!", "\x00a \x00"]
-    assert e.encode(texts) == [e._ids(t).tobytes() for t in texts]
+    texts = [r[0] for r in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' where text is not null").fetchall()]
+    texts += ["", " a.b  \"c\" ... İSTANBUL ΣΑΣ <|endoftext|>y\t\x0bz\x1cq don't WE'LL 1234 a1b2 é é ﬁ ９９", "<|ENDOFTEXT|>", "it's. x., Ünï.", "한국어 각", "가 ǅ ʰa. ***a&&& b!!", "\x00a \x00", "a.. b,. c,\nd.", "x" * 5000]
+    by = defaultdict(list)
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        by[unicodedata.category(c)].append(c)
+    r = random.Random(8)
+    for _ in range(3000):
+        texts.append("".join(r.choice([*"aé .,", r.choice(by[r.choice(list(by))])]) for _ in range(r.randint(1, 30))))
+    texts += ["".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == "L"), *(f"{c} {c}b. a{c}," for c in map(chr, range(0x250)))]
+    assert e.encode(texts) == [e._ids(t).tobytes() for t in texts] and all(e.encode([t]) == [e._ids(t).tobytes()] for t in texts[-50:])
 
 
 def test_neighbours_share_windows():

@@ -140,3 +140,53 @@ def format_chats(conversations: DataFrame, schemas: dict[str, dict[str, Any]] |
         F.when(F.col("to.at_turn") >= F.col("turn"), F.col("to.level")).otherwise(F.lit(0)).alias("level"), F.col("body").alias("json"),
     )
     return messages.unionByName(called).unionByName(linked)
+
+
+def tool_conversations(conversations: DataFrame) -> DataFrame:
+    """The rows of plain conversations with tool calls and results made of them by rule: for tables that hold none.
+
+    An assistant's turn becomes a message with its text and one call, ``c<turn>``, that depends on the call of the turn at half its
+    number; arguments and names follow from conv_id + turn, so that each kind of error comes up. A user's turn becomes the result
+    of the call of the turn before. Other turns stay. Nulls: a null text is left out of arguments, a null conv_id or turn counts
+    as 0 in the rule and gives a null identifier.
+    """
+    turn, text = F.col("turn"), F.col("text")
+    k = F.coalesce("conv_id", F.lit(0)) + F.coalesce(turn, F.lit(0))
+    id_of = lambda t: F.concat(F.lit("c"), t.cast("string"))
+    limit = F.when(k % 4 == 0, F.length(text).cast("string")).when(k % 4 == 2, F.lit('"many"')).when(k % 4 == 3, F.lit("3"))
+    fields = F.array_compact(F.array(F.concat(F.lit('"limit":'), limit), F.when(k % 4 != 3, F.concat(F.lit('"query":'), _quoted(text)))))
+    depends = F.when(turn >= 2, F.concat(F.lit('"'), id_of(F.expr("turn div 2")), F.lit('"'))).otherwise(F.lit(""))
+    call = F.concat(
+        F.lit('{"arguments":{'), F.array_join(fields, ","), F.lit('},"depends_on":['), depends, F.lit('],"id":'), F.coalesce(_quoted(id_of(turn)), F.lit("null")),
+        F.lit(',"name":"'), F.when(k % 7 == 0, F.lit("lookup")).otherwise(F.lit("search")), F.lit('"}'),
+    )
+    calls = F.concat(F.lit('{"content":'), F.coalesce(_quoted(text), F.lit("null")), F.lit(',"tool_calls":['), call, F.lit("]}"))
+    result = F.concat(F.lit('{"content":'), F.coalesce(_quoted(text), F.lit("null")), F.lit(',"tool_call_id":'), _quoted(id_of(turn - 1)), F.lit("}"))
+    asked = (F.col("role") == "user") & (turn >= 1)
+    return conversations.select(
+        "conv_id", "turn", F.when(asked, F.lit("tool")).otherwise(F.col("role")).alias("role"), F.when(F.col("role") == "assistant", calls).when(asked, result).otherwise(text).alias("text")
+    )
+
+
+def _quoted(text: Column) -> Column:
+    """A string as JSON; null for null."""
+    whole = F.to_json(F.struct(text.alias("x")))
+    return F.when(text.isNotNull(), F.substring(whole, 6, 2147483647).substr(F.lit(1), F.length(whole) - 6))
+
+
+#: format_chats(tool_conversations(...)) in SQL, with the default schemas; for whole (conv_id, turn) without nulls or repeats.
+SQL = """with recursive said as (select *, conv_id + turn as k from conversations),
+calls as (select *, case when k % 4 = 3 then null else text end as query, case k % 4 when 0 then length(text)::varchar when 2 then '"many"' when 3 then '3' end as lim,
+  case when k % 7 = 0 then 'lookup' else 'search' end as name, case when turn >= 2 then turn // 2 end as dep from said where role = 'assistant'),
+placed(conv_id, turn, level) as (select conv_id, turn, 0 from calls where dep is null
+  union all select c.conv_id, c.turn, p.level + 1 from calls c join placed p on c.conv_id = p.conv_id and c.dep = p.turn),
+results as (select *, 'c' || (turn - 1) as id, exists (select 1 from calls c where c.conv_id = said.conv_id and c.turn = said.turn - 1) as linked from said where role = 'user' and turn >= 1)
+select conv_id, turn, 0 as item, 'message' as kind, role, null::varchar as call_id, null::boolean as linked, null::boolean as valid, null::varchar as error, true as ordered, turn as at_turn, 0 as level,
+  '{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"role":' || coalesce(to_json(role)::varchar, 'null') || '}' as json
+from said where not (role = 'assistant' or (role = 'user' and turn >= 1))
+union all select conv_id, turn, -1, 'message', role, null, null, null, null, true, turn, 0, '{"content":' || to_json(text)::varchar || ',"role":"assistant"}' from calls
+union all select c.conv_id, c.turn, 0, 'call', c.role, 'c' || c.turn, exists (select 1 from results r where r.conv_id = c.conv_id and r.turn = c.turn + 1), e.error is null, e.error, p.level is not null, c.turn, coalesce(p.level, 0),
+  '{"arguments":' || to_json('{' || concat_ws(',', '"limit":' || lim, '"query":' || to_json(query)::varchar) || '}')::varchar || ',"id":"c' || c.turn || '","name":"' || name || '","role":"assistant"}'
+from calls c left join placed p using (conv_id, turn),
+  lateral (select case when name = 'lookup' then 'unknown tool' when k % 4 = 3 then 'missing: query' when k % 4 = 2 then 'wrong type: limit' end as error) e
+union all select conv_id, turn, 0, 'result', 'tool', id, linked, null, null, true, turn, 0, '{"content":' || to_json(text)::varchar || ',"tool_call_id":"' || id || '"}' from results"""

@@ -79,16 +79,19 @@ def running_total(df: DataFrame, group: list[str], order: list[str], value: str,
     )
 
 
-def repeat_rows(df: DataFrame, times: str, out: str, chunk: int = 1024) -> DataFrame:
-    """Each row ``times`` times, numbered from 0 in ``out``; a hot row is dealt out again in chunks, never as one long array."""
+def repeat_rows(df: DataFrame, times: str, out: str, chunk: int = 1024, parts: int | None = None) -> DataFrame:
+    """Each row ``times`` times, numbered from 0 in ``out``; a hot row is dealt out again in chunks, never as one long array.
+
+    parts: how many partitions the chunks go to, where the planner can't tell that few rows become many.
+    """
     n = F.col(times)
     small = df.where(n <= chunk).withColumn(out, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    parts = (
+    parts_ = (
         df.where(n > chunk)
         .withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{times}` - 1) div {chunk}"))))
         .withColumn("__spread", F.xxhash64("__part", times))
-        .repartition("__spread")
     )
+    parts_ = parts_.repartition(parts, "__spread") if parts else parts_.repartition("__spread")
     first = F.col("__part") * chunk
-    large = parts.withColumn(out, F.explode(F.sequence(first, F.least(n, first + chunk) - 1))).drop("__part", "__spread")
+    large = parts_.withColumn(out, F.explode(F.sequence(first, F.least(n, first + chunk) - 1))).drop("__part", "__spread")
     return small.unionByName(large)

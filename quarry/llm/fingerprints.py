@@ -107,9 +107,12 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({c: cols[c].tolist() for c in _LINK.names[:7]}, schema=pa.schema(list(_LINK)[:7]))
 
 
-def fingerprint_documents(documents: DataFrame) -> DataFrame:
+def fingerprint_documents(documents: DataFrame, radius: int = 3, every: int = 100) -> DataFrame:
     """op4: fingerprints of each text and of its edited text, whose last half is replaced from the next document.
 
+    n_near: how many other rows have a fingerprint within ``radius`` bits, by block tables over all rows; asked for those whose
+    doc_id is divisible by ``every``, null for the others.
+
     Documents are put in order of doc_id (null first, then by a hash of the text) by one range exchange; each task streams its
     range and keeps one row back, and the parts' ends are closed afterwards, one row for each part. A null text counts as
     empty. Rows with equal doc_id and text follow each other. The only document follows itself.
@@ -127,7 +130,19 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     heads = ends.select(F.col("part").alias("next"), F.col("head").alias("following"))
     closing = ends.select("part", "doc_id", "tail").join(after, "part").join(heads, "next").select("doc_id", "tail", "following")
     done = closing.mapInArrow(_close, ", ".join(_LINK_DDL.split(", ")[:7]))
-    return linked.where("head is null").select(done.columns).unionByName(done)
+    out = linked.where("head is null").select(done.columns).unionByName(done)
+    value = lambda c: F.conv(c, 16, -10).cast("long")
+    out = stage(out.withColumn("__fp", value(F.col("fingerprint"))), "fingerprints")
+    asked = F.when(F.col("doc_id") % every == 0, F.col("__fp"))
+    near = count_within(out.select("__fp"), out.select(asked.alias("__fp")), "__fp", radius)
+    return out.withColumn("__asked", asked).join(near.withColumnRenamed("__fp", "__asked"), "__asked", "left").select(*done.columns, (F.col("n_within") - 1).alias("n_near"))
+
+
+def _masks(radius: int, blocks: int | None) -> list[int]:
+    """The bits that each table's keys hold: of 64 bits cut into ``blocks`` blocks, each choice of blocks - radius."""
+    blocks = blocks or radius + 2
+    cuts = [BITS * i // blocks for i in range(blocks + 1)]
+    return [sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
 
 
 def block_tables(fps: DataFrame, fingerprint: str, radius: int, blocks: int | None = None) -> DataFrame:
@@ -136,14 +151,57 @@ def block_tables(fps: DataFrame, fingerprint: str, radius: int, blocks: int | No
     The 64 bits are cut into ``blocks`` blocks. Two fingerprints within ``radius`` agree on blocks - radius blocks at least, and
     there is a table for each choice of so many; so each such pair shares a key in some table. fingerprint: a long column.
     """
-    blocks = blocks or radius + 2
-    cuts = [BITS * i // blocks for i in range(blocks + 1)]
-    masks = [sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    signed = [m - (1 << 64) if m >> 63 else m for m in _masks(radius, blocks)]
     tables = F.array(*[F.struct(F.lit(t).alias("table"), F.col(fingerprint).bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)])
     return fps.select("*", F.explode(tables).alias("__t")).select(*fps.columns, "__t.table", "__t.key")
 
 
+#: Fingerprints of one key that a task holds against those that are asked for.
+KEY_ROWS = 4096
+
+
+def count_within(fps: DataFrame, queries: DataFrame, fingerprint: str, radius: int = 3, blocks: int | None = None) -> DataFrame:
+    """(fingerprint, n_within): for each distinct fingerprint of queries how many rows of fps are within ``radius``, equal ones included.
+
+    Distinct fingerprints with their numbers of rows go through block tables, and tasks put out one count for each query and key,
+    never pairs. A pair counts in the first table in which it shares a key. A key of many fingerprints is dealt to several tasks,
+    each of which gets its queries. Null fingerprints match nothing; empty tables give no rows.
+    """
+    masks = np.array(_masks(radius, blocks), np.uint64)
+    points = fps.where(F.col(fingerprint).isNotNull()).groupBy(F.col(fingerprint).alias("fp")).agg(F.count(F.lit(1)).alias("rows"))
+    points = stage(block_tables(points, "fp", radius, blocks), "points")
+    asked = block_tables(queries.where(F.col(fingerprint).isNotNull()).select(F.col(fingerprint).alias("fp")).distinct(), "fp", radius, blocks)
+    large = stage(points.groupBy("table", "key").agg(F.ceil(F.count(F.lit(1)) / KEY_ROWS).alias("parts")).where("parts > 1"), "large-keys")
+    dealt = points.join(large, ["table", "key"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("fp"), "parts"), F.lit(0)))
+    asked = asked.join(large, ["table", "key"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
+    cols = ["table", "key", "part", "rows", "fp"]
+    both = dealt.select(*cols).unionByName(asked.withColumn("rows", F.lit(0).cast("long")).select(*cols)).repartition("table", "key", "part").sortWithinPartitions("table", "key", "part", "rows")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask, at, found = np.empty(0, np.uint64), None, {}
+        for b in batches:
+            where = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+            rows, fp = b.column(3).to_numpy(), b.column(4).to_numpy().view(np.uint64)
+            cuts = np.concatenate([[0], np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1, [len(where)]]) if len(where) else [0]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if at != (here := tuple(where[a].tolist())):
+                    at, ask = here, np.empty(0, np.uint64)
+                k = a + np.searchsorted(rows[a:z], 1)  # queries, of no rows, come first
+                ask = np.concatenate([ask, fp[a:k]])
+                for i in range(k, z if len(ask) else k, 1024):
+                    apart = ask[:, None] ^ fp[i : min(i + 1024, z)]
+                    near = np.bitwise_count(apart) <= radius
+                    for m in masks[: at[0]]:
+                        near &= (apart & m) != 0
+                    for q, n in zip(ask.tolist(), (near * rows[i : min(i + 1024, z)]).sum(1).tolist(), strict=True):
+                        if n:
+                            found[q] = found.get(q, 0) + n
+        out = np.array(list(found), np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(list(found.values()), pa.int64())], names=["fp", "n"])
+
+    return both.mapInArrow(count, "fp long, n long").groupBy(F.col("fp").alias(fingerprint)).agg(F.sum("n").alias("n_within"))
+
+
 def distance(a: Column, b: Column) -> Column:
     """Bits in which two long fingerprints differ."""
     return F.bit_count(a.bitwiseXOR(b))
@@ -152,7 +210,9 @@ def distance(a: Column, b: Column) -> Column:
 def find_within(fps: DataFrame, queries: DataFrame, id_col: str, fingerprint: str, radius: int = 3) -> DataFrame:
     """Per query id: the id and distance of every row with a fingerprint within ``radius``, equal fingerprints included, itself not.
 
-    Search runs on distinct fingerprints, so copies cost one probe; members are joined at the end. Null fingerprints match nothing.
+    Search runs on distinct fingerprints, so copies cost one probe; members are joined at the end, so the result has a row for each
+    query and member: ``count_within`` says how many these are. Null fingerprints match nothing, null ids are never partners, and
+    an empty table gives no rows.
     """
     own = fps.where(F.col(fingerprint).isNotNull()).select(F.col(id_col).alias("id"), F.col(fingerprint).alias("fp"))
     ask = queries.where(F.col(fingerprint).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(fingerprint).alias("qfp"))

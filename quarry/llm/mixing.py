@@ -22,6 +22,8 @@ from quarry.llm.common import repeat_rows, running_total, stage, tune
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS, SHARD_SLOTS, MOST, SEED = 64, 4096, 3, 17
+#: Slots that a task makes.
+PART_SLOTS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -79,6 +81,12 @@ def source_targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     return ranked.withColumn("target", F.when(F.col("__stops"), F.col("cap")).otherwise(level * F.col("weight"))).drop("cap", "__level", "__stops")
 
 
+def _others(documents: DataFrame) -> Column:
+    """A hash of the columns other than doc_id, source and text."""
+    cols = [(F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`")) for f in documents.schema if f.name not in ("doc_id", "source", "text")]
+    return F.xxhash64(*cols, F.lit(0))
+
+
 def _plan(documents: DataFrame, block_words: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with their place in the source's stream; sources with targets and slot counts; slots (rank, block, shard, slot).
 
@@ -86,7 +94,7 @@ def _plan(documents: DataFrame, block_words: int, seed: int) -> tuple[DataFrame,
     must ask for a merge join, or else they would be broadcast.
     """
     tune(documents.sparkSession)
-    rows = stage(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h")), "mix-rows")
+    rows = stage(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h"), _others(documents).alias("o")), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     blocks = F.ceil(F.col("source_size") / block_words)
     sources = source_targets(sizes).withColumn("n_blocks", blocks.cast("long"))
@@ -97,14 +105,15 @@ def _plan(documents: DataFrame, block_words: int, seed: int) -> tuple[DataFrame,
         "rank", "n_blocks", "n_slots", F.coalesce(F.sum("n_slots").over(upto), F.lit(0)).cast("long").alias("begin"),
         F.sum("n_slots").over(Window.partitionBy(F.lit(0))).alias("all"),
     ).where("n_slots > 0")
-    slots = repeat_rows(deal, "n_slots", "k")
+    n_slots = sources.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
+    slots = repeat_rows(deal, "n_slots", "k", parts=n_slots // PART_SLOTS + 1)
     place = _permuted(F.col("all"), F.lit(seed).cast("long"), F.col("begin") + F.col("k"))
     key = F.xxhash64(F.lit(seed), F.col("rank"), F.expr("k div n_blocks"))
     slots = slots.select("rank", place.alias("place"), _permuted(F.col("n_blocks"), key, F.col("k") % F.col("n_blocks")).alias("block"))
     slots = slots.select("rank", "block", F.expr(f"place div {SHARD_SLOTS}").alias("shard"), (F.col("place") % SHARD_SLOTS).alias("slot"))
     known = sources.select(F.col("source").alias("__source"), "rank", "source_size", "target")
     placed = rows.join(known, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    return running_total(placed, ["rank"], ["doc_id", "h"], "size", "begin"), sources, slots
+    return running_total(placed, ["rank"], ["doc_id", "h", "o"], "size", "begin"), sources, slots
 
 
 def _pieces(rows: DataFrame, block_words: int) -> DataFrame:
@@ -159,18 +168,20 @@ def _cut(text: str, parts: list[tuple[int, int, int]]) -> str:
 def mixed_corpus(documents: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """The documents as the mix takes them: texts hold the words taken, repeats included; documents of which it takes none are gone.
 
-    The other columns stay. Rows alike in doc_id, source and text come out as one that holds what all of them give.
+    The other columns stay. Rows alike in every column come out as one that holds what all of them give; rows that differ in any
+    column stay apart. A null or empty text gives nothing, so its row is gone; an empty table gives no rows; a null doc_id or
+    source is a value like others.
     """
     rows, _, slots = _plan(documents, block_words, seed)
     times = slots.groupBy("rank", "block").agg(F.count(F.lit(1)).cast("int").alias("times"))
     got = _pieces(rows, block_words).join(times.hint("merge"), ["rank", "block"])
-    part = F.struct(F.col("from"), F.col("to"), F.col("times"))
-    parts = got.groupBy("doc_id", "source", "h").agg(F.collect_list(part).alias("__parts"))
+    got = got.groupBy("doc_id", "source", "h", "o", "from", "to").agg(F.sum("times").cast("int").alias("times"))
+    parts = got.groupBy("doc_id", "source", "h", "o").agg(F.collect_list(F.struct("from", "to", "times")).alias("__parts"))
     cols = documents.columns
-    at = F.xxhash64(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", F.xxhash64("text")))
-    aside = documents.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"), at.alias("__at"), F.col("doc_id").alias("__id"))
-    aside = aside.dropDuplicates(["__at"])
-    keyed = parts.select(F.xxhash64(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", "h")).alias("__at"), "__parts")
+    aside = documents.where(word_count(F.col("text")) > 0).select(
+        F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.xxhash64("text").alias("__h"), _others(documents).alias("__o")
+    ).dropDuplicates(["__id", "__source", "__h", "__o"])
+    same = F.col("__id").eqNullSafe(F.col("doc_id")) & F.col("__source").eqNullSafe(F.col("source")) & (F.col("__h") == F.col("h")) & (F.col("__o") == F.col("o"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,6 +190,6 @@ def mixed_corpus(documents: DataFrame, block_words: int = BLOCK_WORDS, seed: int
             yield pa.RecordBatch.from_arrays([b.column("__row"), pa.array(new, pa.string())], names=["__row", "__text"])
 
     row = aside.schema["__row"].dataType.simpleString()
-    done = aside.join(keyed, "__at").select("__row", "__parts").mapInArrow(cut, f"__row {row}, __text string")
+    done = aside.join(parts, same).select("__row", "__parts").mapInArrow(cut, f"__row {row}, __text string")
     new = {"text": F.col("__text")} | ({"n_chars": F.length("__text").cast(documents.schema["n_chars"].dataType)} if "n_chars" in cols else {})
     return done.select(*[(new[c] if c in new else F.col(f"__row.`{c}`")).alias(c) for c in cols])

@@ -675,3 +675,14 @@ def keep_one(documents: DataFrame) -> DataFrame:
     cols = [F.col(f"`{c}`") for c in documents.columns]
     kept = documents.join(first, documents["doc_id"].cast("long") == F.col("__id"), "left_semi")
     return kept.select(*cols).unionByName(documents.where("doc_id is null").select(*cols))
+
+
+#: jaccard_components in SQL: shingles by an inverted join, components by recursion.
+SQL = r"""with recursive split as (select doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] as w from documents),
+shingle as (select distinct doc_id, array_to_string(w[k : k + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as k from split where len(w) > 0)),
+size as (select doc_id, count(*) as n from shingle group by doc_id),
+pair as (select a.doc_id as a, b.doc_id as b, count(*) as o from shingle a join shingle b on a.s = b.s and a.doc_id < b.doc_id group by all),
+link as (select a, b from pair join size x on x.doc_id = a join size y on y.doc_id = b where 100 * o >= 75 * (x.n + y.n - o)),
+edge as (select a, b from link union all select b, a from link),
+reach(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, e.b from reach r join edge e on e.a = r.other)
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, c.component_id from documents d left join size s using (doc_id) join (select doc_id, min(other) as component_id from reach group by doc_id) c using (doc_id)"""

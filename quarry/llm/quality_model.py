@@ -87,10 +87,16 @@ def hashed_features(texts: list[str]) -> Iterator[tuple[np.ndarray, int]]:
         begin += len(ws)
 
 
-def fit_scorer(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights of a logistic scorer by AdaGrad on soft labels; weight 0 belongs to the intercept. rows: features with repeats."""
+def counted(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct features and how often each occurs, as 16 and 32 bits: FEATURES of them at most, however long the text."""
+    u, c = np.unique(at, return_counts=True)
+    return u.astype("<u2"), c.astype("<u4")
+
+
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights of a logistic scorer by AdaGrad on soft labels; weight 0 belongs to the intercept. rows: distinct features and their counts."""
     w, g, r = np.zeros(FEATURES), np.full(FEATURES, 1e-2), np.random.default_rng(SEED)
-    unique = [(u, c / max(1, len(x) // 3)) for x in rows for u, c in [np.unique(x, return_counts=True)]]
+    unique = [(u.astype(np.int64), c / max(1, int(c.sum()) // 3)) for u, c in rows]
     for _ in range(epochs):
         for i in r.permutation(len(rows)):
             at, x = unique[i]
@@ -138,13 +144,13 @@ def classify_quality(documents: DataFrame, fit_rows: int = FIT_ROWS, threshold:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [x.astype("<u2").tobytes() for x, _ in hashed_features(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["place", "at"])
+            got = [counted(x) for x, _ in hashed_features(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i].tobytes() for x in got], pa.binary()) for i in (0, 1))], names=["place", "at", "count"])
 
     lowest = voted.select("place").distinct().orderBy("place").limit(fit_rows)
-    sample = rows.join(lowest, "place", "left_semi").dropDuplicates(["place"]).select("place", "text").mapInArrow(hashed, "place long, at binary")
+    sample = rows.join(lowest, "place", "left_semi").dropDuplicates(["place"]).select("place", "text").mapInArrow(hashed, "place long, at binary, count binary")
     sample = sample.join(voted.select("place", "votes").dropDuplicates(["place"]), "place").orderBy("place").collect()  # fit_rows at most
-    found = [np.frombuffer(r["at"], "<u2").astype(np.int64) for r in sample]
+    found = [(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["count"], "<u4")) for r in sample]
     weights = fit_scorer(found, np.array([belief[r["votes"]] for r in sample]))
     shared = spark.sparkContext.broadcast(weights)
 

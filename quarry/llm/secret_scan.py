@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import builtins
 import hashlib
-import keyword
 import math
 import random
 import re
@@ -55,7 +53,7 @@ class Model:
     """Log-likelihood ratio of random against ordinary for each pair of characters; limits for a token's mean and sum."""
 
     ratio: np.ndarray
-    mean: float = 0.8
+    mean: float = 0.9
     total: float = 20.0
 
     def score(self, token: str) -> tuple[float, float]:
@@ -80,30 +78,31 @@ def random_strings(n: int = 4000, seed: int = 20240229) -> list[str]:
     return ["".join(r.choices(sets[i % len(sets)], k=r.randint(16, 64))) for i in range(n)]
 
 
+#: Words of which ordinary identifiers are made.
+WORDS = """
+access account action address agent alpha amount array async axis back batch begin binary block body border branch buffer build byte cache call change channel
+check child class code color column command common config connect content control count create current cursor data date default delete device
+document domain draw driver element engine entry equal error event field file filter find folder frame function get global group
+handle hash height help host import index info input install integer item join json key label layout length level limit line list load local lock
+logger main manager map match matrix maximum memory message method mode model module name network next node number object offset option order output owner
+package page parent parse password path pattern point prefix process profile proxy public query queue quiet quota quote random range reader record
+region request require response result route schema screen search sequence server session shape signal size socket source stack start state status stream string style
+switch symbol system table target task template test text thread timer title token trace tree type unique unit update upload user value vector version view visible volume
+wait weight widget width window worker write xml year yield zero zone
+""".split()
+
+
 def ordinary_strings() -> list[str]:
-    """Labelled ordinary samples: the public names of Python and of common modules, alone, joined in the usual styles, as paths and versions."""
-    import argparse
-    import email.message
-    import http.client
-    import logging
-    import os
-    import socket
-    import string
-    import threading
-
-    names = {*keyword.kwlist, *dir(builtins)}
-    for m in (argparse, email.message, http.client, logging, os, os.path, socket, string, threading, str, bytes, dict):
-        names |= {*dir(m)}
-    flat = sorted({x.strip("_") for x in names if x.strip("_")})
+    """Labelled ordinary samples: words alone, joined in the usual styles, as paths and versions; the same in every process."""
     r = random.Random(7)
-    words = sorted({w.lower() for x in flat for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", x) if len(w) > 1})
+    words = WORDS
     joined = [sep.join(r.choices(words, k=r.randint(2, 5))) for sep in ("_", "-", ".", "/", "") for _ in range(800)]
     camel = ["".join(w.title() for w in r.choices(words, k=r.randint(2, 4))) for _ in range(800)]
     shout = ["_".join(r.choices(words, k=r.randint(1, 4))).upper() for _ in range(800)]
     dated = [f"{r.choice(words)}-{r.randint(1, 99)}.{r.randint(0, 9)}.{r.randint(0, 9)}" for _ in range(200)]
     rules = [c * r.randint(16, 80) for c in "=-_./+" for _ in range(20)]
     numbers = [str(r.randint(0, 10**6)) for _ in range(100)]
-    return [*flat, *joined, *camel, *shout, *dated, *rules, *numbers]
+    return [*words, *joined, *camel, *shout, *dated, *rules, *numbers]
 
 
 _DEFAULT: list[Model] = []
@@ -129,13 +128,21 @@ def find_spans(text: str, model: Model | None) -> list[tuple[int, int, str]]:
         spans += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text)]
     spans += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     if model is not None:
-        base = sorted(spans)
+        base, first = sorted(spans), 0  # spans of one kind don't overlap, so ends go back over a few spans at most
         for m in TOKEN.finditer(text):
             at = m.start()
-            for a, b in [*((a, b) for a, b, _ in base if a < m.end() and m.start() < b), (m.end(), m.end())]:
-                if a - at >= TOKEN_CHARS and model.is_random(text[at:a]):
-                    spans.append((at, a, 3))
-                at = max(at, b)
+            while first < len(base) and max(b for _, b, _ in base[first : first + 3]) <= at:
+                first += 1
+            k = first
+            while k < len(base) and base[k][0] < m.end():
+                a, b, _ = base[k]
+                if b > m.start():
+                    if a - at >= TOKEN_CHARS and model.is_random(text[at:a]):
+                        spans.append((at, a, 3))
+                    at = max(at, b)
+                k += 1
+            if m.end() - at >= TOKEN_CHARS and model.is_random(text[at : m.end()]):
+                spans.append((at, m.end(), 3))
     return [(a, b, KINDS[k]) for a, b, k in sorted(spans, key=lambda s: (s[0], s[2]))]
 
 

@@ -14,13 +14,14 @@ from quarry.llm.common import repeat_rows, running_total
 #: Halves of the generator's multiplier 2862933555777941757; the lower half is split again into 16-bit parts.
 _A_HIGH, _A_LOW1, _A_LOW0 = 0x27BB2EE6, 0x87B0, 0xB0FD
 _MASK = 0xFFFFFFFF
-#: Most jumps that are followed. Their number is a sum of independent trials with mean ln(shards), 22 for 2**31 shards.
+#: Most jumps that are followed; a key that needs more raises an error. Their number is a sum of independent trials with mean ln(shards):
+#: 22 for 2**31 shards, and over 256 in less than one of 10**100 keys.
 MAX_JUMPS = 256
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def jump_hash(key: Column, shards: int) -> Column:
-    """struct(shard, grown): the shard of a long key among ``shards`` and among ``shards + 1``.
+    """struct(shard, grown): the shard of a long key among ``shards`` and among ``shards + 1``; null for a null key.
 
     The 64-bit generator runs on two 32-bit halves, so that no product overflows in ANSI mode.
     """
@@ -50,7 +51,12 @@ def jump_hash(key: Column, shards: int) -> Column:
         return F.when(s["next"] <= shards, moved).otherwise(s)
 
     steps = F.sequence(F.lit(1), F.lit(min(shards + 1, MAX_JUMPS)))
-    return F.aggregate(steps, start, jump, lambda s: F.struct(s["shard"].cast("int").alias("shard"), s["grown"].cast("int").alias("grown")))
+
+    def end(s: Column) -> Column:
+        grown = F.when(s["next"] <= shards, F.raise_error(F.lit("a key needs too many jumps")).cast("int")).otherwise(s["grown"].cast("int"))
+        return F.struct(s["shard"].cast("int").alias("shard"), grown.alias("grown"))
+
+    return F.aggregate(steps, start, jump, end)
 
 
 def shard_key(df: DataFrame, key: str) -> Column:

@@ -250,6 +250,8 @@ def test_simhash(real, odd, empty):
         assert out[i]["near_edited"] == 1 - (a ^ b).bit_count() / 64 and out[i]["near_next"] == 1 - (a ^ c).bit_count() / 64
     mean = lambda c: sum(r[c] for r in out.values()) / len(out)
     assert mean("near_edited") > mean("near_next") + 0.1
+    value = {i: int(r["fingerprint"], 16) for i, r in out.items()}
+    assert {i: r["n_near"] for i, r in out.items()} == {i: sum((v ^ w).bit_count() <= 3 for w in value.values()) - 1 if i % 100 == 0 else None for i, v in value.items()}
     assert fingerprints.fingerprint_documents(odd).count() == odd.count() and fingerprints.fingerprint_documents(empty).count() == 0
 
 
@@ -269,6 +271,21 @@ def test_block_tables_find_all(spark):
     assert got == want and len(want) > 20
 
 
+def test_counts_within(spark, monkeypatch):
+    """Groups of copies and of near ones, keys dealt to several tasks, nulls: against all pairs."""
+    monkeypatch.setattr(fingerprints, "KEY_ROWS", 7)
+    r = random.Random(4)
+    base = [r.getrandbits(64) for _ in range(6)] + [0]
+    fps = [b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 3))) for b in base for _ in range(60)] + [0] * 30
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    df = spark.createDataFrame([*signed, (None,)], "fp long")
+    asked = sorted(set(signed))[::9]
+    got = {x["fp"]: x["n_within"] for x in collected(fingerprints.count_within(df, spark.createDataFrame([*asked, asked[0], (None,)], "fp long"), "fp"))}
+    assert got == {q: sum(((q ^ f) & (2**64 - 1)).bit_count() <= 3 for (f,) in signed) for (q,) in asked} and max(got.values()) > 60
+    none = df.where("false")
+    assert fingerprints.count_within(none, df, "fp").count() == 0 and fingerprints.count_within(df, none, "fp").count() == 0 and fingerprints.find_within(none.withColumn("id", F.lit(1)), none.withColumn("id", F.lit(1)), "id", "fp").count() == 0
+
+
 # ---- 5 ----
 def test_chat_format(spark):
     call = lambda *c: json.dumps({"tool_calls": list(c)})

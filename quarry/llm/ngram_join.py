@@ -41,7 +41,7 @@ PART_TEXTS = 4000
 HOME = 32
 #: Shingles that a worker gathers before it looks for frequent ones; texts from which on a shingle of these is known to be shared; parts
 #: that such a shingle's texts are dealt to.
-GATHERED, FREQUENT, DEALT = 1 << 21, 64, 4096
+GATHERED, FREQUENT, DEALT = 1 << 19, 64, 4096
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -486,9 +486,9 @@ def _shared(sized: DataFrame) -> DataFrame:
 def _mixed(shared: DataFrame, comps: DataFrame | None) -> DataFrame:
     """Rows (h1, h2, rep, comp, n, sig, count) of shingles that texts of different components show, with their number, of texts that have enough of them to link."""
     if comps is None:
-        placed = shared.withColumn("comp", F.col("rep"))
+        placed = shared.select(*TEXT, "rep", "n", "sig", F.col("rep").alias("comp"))
     else:
-        placed = shared.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        placed = shared.select(*TEXT, "rep", "n", "sig").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     ends = placed.groupBy("sig").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b"), F.count(F.lit(1)).alias("count")).where("__a <> __b").select("sig", "count")
     ends = stage(ends, "ends")  # so that the join can split a frequent shingle
     out = stage(_enough(placed.join(ends, "sig")).select(*TEXT, "rep", "comp", "n", "sig", "count"), "mixed")
@@ -574,7 +574,7 @@ def _later_pairs(points: DataFrame, sets: DataFrame, parts: int, forest: bool) -
         texts.withColumn("sig", none("long")).withColumn("comp", none("long")).withColumn("n", none("int")).select("home", "sig", "rep", *TEXT, "comp", "n", "vec", "fine")
     )
     rows = rows.repartition("home").sortWithinPartitions("home", "sig")
-    in_homes = stage(rows.mapInArrow(_found_in_homes(forest), "a long, b long"), "in-homes")
+    in_homes = rows.mapInArrow(_found_in_homes(forest), "a long, b long")
     # larger ones: pairs of blocks whose corners leave a link possible
     many = points.where("block <> 0").join(vectors, ["rep", *TEXT]).select("sig", "block", "rep", "comp", "n", "vec", "fine")
     many = stage(many, "many")
@@ -588,9 +588,9 @@ def _later_pairs(points: DataFrame, sets: DataFrame, parts: int, forest: bool) -
     left = met.join(many.withColumnRenamed("block", "x"), ["sig", "x"]).withColumn("side", F.lit(0))
     right = met.where("x <> y").join(many.withColumnRenamed("block", "y"), ["sig", "y"]).withColumn("side", F.lit(1))
     rows = left.select(*cols).unionByName(right.select(*cols)).repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
-    in_blocks = stage(rows.mapInArrow(_found_in_blocks(forest), "a long, b long"), "in-blocks")
+    in_blocks = rows.mapInArrow(_found_in_blocks(forest), "a long, b long")
     out = stage(in_homes.unionByName(in_blocks).distinct().coalesce(parts), "later")
-    discard(homes, in_homes, many, nodes, met, in_blocks)
+    discard(homes, many, nodes, met)
     return out
 
 
@@ -631,34 +631,37 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     tune(spark)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sized = stage(rows.mapInArrow(_sized, "doc_id long, h1 long, h2 long, n int, sigs array<long>"), "sized")
-    keys = stage(sized.drop("sigs"), "keys")
+    keys = sized.drop("sigs")
     named = keys.where("n > 0 and doc_id is not null")
     classes = stage(named.groupBy(*TEXT).agg(F.min("doc_id").alias("rep")), "classes")
     shared = stage(_shared(sized).join(classes, TEXT), "shared")
-    discard(sized)
-    mixed = _mixed(shared, None)
-    buckets = _selected(mixed)
-    chosen = classes.join(buckets.select(*TEXT).distinct(), TEXT, "left_semi")
-    held = rows.where("doc_id is not null").join(chosen.select(F.col("rep").alias("doc_id"), *TEXT), "doc_id")
-    sets = stage(held.select("doc_id", *TEXT, "text").mapInArrow(_sets, "rep long, h1 long, h2 long, n int, vec binary, fine binary, whole binary"), "sets")
-    parts = sets.count() // PART_TEXTS + 12
+    first = _mixed(shared, None)
+    discard(shared)
+    buckets = _selected(first)
+    chosen = stage(buckets.select("rep", *TEXT).distinct(), "chosen")
+    parts = chosen.count() // PART_TEXTS + 12
+    held = rows.where("doc_id is not null").join(chosen.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id")
+    sets = held.select("doc_id", *TEXT, "text").mapInArrow(_sets, "rep long, h1 long, h2 long, n int, vec binary, fine binary, whole binary")
+    sets = stage(sets.coalesce(parts), "sets")
     pairs = _leader_pairs(buckets, 0)
     links = verify(pairs, sets, parts)
     comps = components(links, parts)
-    discard(pairs, mixed, buckets)
+    discard(pairs, buckets)
     # what is together needs no further comparing, so each turn leaves less to the next
-    mixed = _mixed(shared, comps)
+    mixed = _mixed(first, comps)
+    discard(first)
     buckets = _selected(mixed)
     pairs = _leader_pairs(buckets, 1)
     links = stage(links.unionByName(verify(pairs, sets, parts)), "links")
     buckets = _still_mixed(buckets, components(links, parts))
-    points = _blocks(buckets)
+    # a text that shared no bucket with another at first links with nothing
+    points = _blocks(buckets.join(chosen, ["rep", *TEXT], "left_semi"))
     links = _settled(points, sets, links, parts)
     # several texts of one doc_id are one document
     of_doc = named.join(classes, TEXT).groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
     ties = of_doc.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a <> b")
     comps = components(links.unionByName(ties), parts)
-    discard(shared, mixed, buckets, points, sets, links)
+    discard(mixed, buckets, points, sets, links, chosen)
     known = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
     known = known.select("h1", "h2", F.coalesce("component", "rep").alias("__component"))
     out = keys.join(known, ["h1", "h2"], "left")

@@ -39,10 +39,13 @@ TESTED = 1 << 19
 PART_TEXTS = 4000
 #: Buckets of a home that are searched together, with each text's count vectors in the task once.
 HOME = 32
+#: Shown shingles of a bucket, the unit in which a task compares what texts show.
+BUCKET_ROWS = 500_000
 #: Shingles that a worker gathers before it looks for frequent ones; texts from which on a shingle of these is known to be shared; parts
 #: that such a shingle's texts are dealt to.
 GATHERED, FREQUENT, DEALT = 1 << 19, 64, 4096
 
+_SHOWN = np.dtype([("sig", "<u8"), ("h1", "<i8"), ("h2", "<i8"), ("n", "<i4"), ("deal", "<i4")])
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -133,38 +136,56 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(n, pa.int32()), lists], names=["doc_id", "h1", "h2", "n", "sigs"])
 
 
-def _shows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text (h1, h2) and leading shingle. deal: 0, or else the part that a shingle which is known to be shared is dealt to.
+def _shows(n_buckets: int):
+    """Rows (bucket, blob): what texts show, packed by the bucket that a shingle hashes to, so that Spark moves few rows.
 
-    What FREQUENT texts of those gathered show is shared; two of them stay undealt, as witnesses for texts elsewhere.
+    What FREQUENT texts of those gathered show is known to be shared, and its texts are dealt to buckets apart; two of them stay
+    undealt, as witnesses for texts elsewhere.
     """
 
     def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         lists = t.column("sigs").combine_chunks()
-        sig = lists.flatten().to_numpy()
         at = np.repeat(np.arange(t.num_rows), lists.value_lengths().to_numpy())
-        h1, h2, n = (t.column(c).to_numpy() for c in ("h1", "h2", "n"))
-        order = np.argsort(sig, kind="stable")
-        sig, at = sig[order], at[order]
-        starts = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1])
-        lengths = np.diff(np.concatenate([starts, [len(sig)]]))
-        rank = np.arange(len(sig)) - np.repeat(starts, lengths)
-        known = (np.repeat(lengths, lengths) >= FREQUENT) & (rank > 1)
-        deal = np.where(known, 1 + (h1[at] & (DEALT - 1)), 0)
-        back = np.argsort(at, kind="stable")  # rows of a text together, which packs well
-        cols = [x[back] for x in (sig, h1[at], h2[at], n[at].astype(np.int32), deal.astype(np.int32))]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["sig", "h1", "h2", "n", "deal"])
-
-    held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += len(b.column(b.schema.get_field_index("sigs")).flatten())
-        if size >= GATHERED:
+        rows = np.empty(len(at), _SHOWN)
+        rows["sig"], rows["h1"], rows["h2"], rows["n"] = lists.flatten().to_numpy().view(np.uint64), *(t.column(c).to_numpy()[at] for c in ("h1", "h2", "n"))
+        rows = rows[np.argsort(rows["sig"], kind="stable")]
+        starts = np.concatenate([[0], np.flatnonzero(rows["sig"][1:] != rows["sig"][:-1]) + 1])
+        lengths = np.diff(np.concatenate([starts, [len(rows)]]))
+        known = (np.repeat(lengths, lengths) >= FREQUENT) & (np.arange(len(rows)) - np.repeat(starts, lengths) > 1)
+        rows["deal"] = np.where(known, 1 + (rows["h1"] & (DEALT - 1)), 0)
+        bucket = (_mix(rows["sig"] + rows["deal"].astype(np.uint64) * _MULTIPLIERS[0]) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, rows = bucket[order], rows[order]
+        cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(rows)]])
+        blobs = [rows[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += len(b.column(b.schema.get_field_index("sigs")).flatten())
+            if size >= GATHERED:
+                yield out(held)
+                held, size = [], 0
+        if size:
             yield out(held)
-            held, size = [], 0
-    if size:
-        yield out(held)
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket to (h1, h2, n, sig) of the shingles that more than one text shows."""
+    for t, cuts in _groups(batches, ("bucket",)):
+        for a, z in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            rows = np.frombuffer(b"".join(t.column("blob").slice(a, z - a).to_pylist()), _SHOWN)
+            rows = rows[np.lexsort((rows["deal"], rows["sig"]))]
+            starts = np.concatenate([[0], np.flatnonzero((rows["sig"][1:] != rows["sig"][:-1]) | (rows["deal"][1:] != rows["deal"][:-1])) + 1])
+            several = np.minimum.reduceat(rows["h1"], starts) != np.maximum.reduceat(rows["h1"], starts)
+            rows = rows[np.repeat(several, np.diff(np.concatenate([starts, [len(rows)]]))) | (rows["deal"] > 0)]
+            cols = [rows["h1"], rows["h2"], rows["n"], rows["sig"].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["h1", "h2", "n", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,10 +498,11 @@ def _shared(sized: DataFrame) -> DataFrame:
 
     Frequent shingles are found among those that a worker gathers and dealt apart, so that no task holds all rows of one.
     """
-    shows = sized.where("sigs is not null").select("h1", "h2", "n", "sigs").mapInArrow(_shows, "sig long, h1 long, h2 long, n int, deal int")
-    by = Window.partitionBy("sig", "deal")
-    met = shows.withColumn("__first", F.min("h1").over(by)).withColumn("__last", F.max("h1").over(by)).where("deal > 0 or __first <> __last")
-    return _enough(met.select(*TEXT, "n", "sig").repartition(*TEXT).dropDuplicates([*TEXT, "sig"]))
+    named = sized.where("sigs is not null")
+    n_buckets = (named.agg(F.sum(F.size("sigs"))).first()[0] or 0) // BUCKET_ROWS + 12
+    shows = named.select("h1", "h2", "n", "sigs").mapInArrow(_shows(n_buckets), "bucket long, blob binary")
+    met = shows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, "h1 long, h2 long, n int, sig long")
+    return _enough(met.repartition(*TEXT).dropDuplicates([*TEXT, "sig"]))
 
 
 def _mixed(shared: DataFrame, comps: DataFrame | None) -> DataFrame:

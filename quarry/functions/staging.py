@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed and written to spark.checkpoint.dir (a temporary folder only where none is set, as in tests)."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only where none is set and the master is local, as in tests."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-"))
+        there = context.getConf().get("spark.checkpoint.dir", None)
+        if not there:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            there = "file://" + tempfile.mkdtemp(prefix="quarry-")
+        context.setCheckpointDir(there)
+    return context.getCheckpointDir().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed and written to the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

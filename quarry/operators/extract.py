@@ -84,7 +84,7 @@ def mark_coroutines(found: DataFrame, files: DataFrame) -> DataFrame:
     """symbols with ``is_coroutine``; C and C++ functions whose body suspends become type ``coroutine``."""
     body = F.col("lang").isin("cpp", "c") & F.col("type").isin("function", "method", "coroutine")
     starts = found.where(body).groupBy("path").agg(F.collect_set("line").alias("starts"))
-    hits = files.select("path", "content").join(starts, "path").select("path", F.explode(_coroutines("content", "starts")).alias("line"))
+    hits = files.where(F.col("lang").isin("cpp", "c")).select("path", "content").join(starts, "path").select("path", F.explode(_coroutines("content", "starts")).alias("line"))
     marked = found.join(hits.withColumn("is_coroutine", F.lit(True)), ["path", "line"], "left")
     return marked.withColumn("type", F.when(F.col("is_coroutine") & body, "coroutine").otherwise(F.col("type"))).select("path", "lang", "line", "type", "name", F.when(body, F.col("is_coroutine")).alias("is_coroutine"))
 

@@ -26,12 +26,13 @@ PASSES = ("structure", "extract", "resolve", "enrich", "analyze")
 @dataclass
 class Graph:
     """nodes (id, type, name, file_path, line, lang, parent_id, size, mtime), edges (src_id, dst_id, type, confidence, line, strategy,
-    strategy_confidence), communities (node_id, community_id), stats: stage figures (key, value)."""
+    strategy_confidence), communities (node_id, community_id), stats: stage figures (key, value), tokens: (token, id) of a stored graph."""
 
     nodes: DataFrame
     edges: DataFrame
     communities: DataFrame
     stats: DataFrame
+    tokens: DataFrame | None = None
 
 
 def node_id(type_: Column, name: Column, path: Column) -> Column:

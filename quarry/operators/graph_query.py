@@ -22,9 +22,18 @@ def _token_text(text: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""), " "), F.lit(" "))
 
 
-def find_nodes(nodes: DataFrame, name: str | None = None, type: str | None = None, file_path: str | None = None, limit: int = 200) -> DataFrame:
+def node_tokens(nodes: DataFrame) -> DataFrame:
+    """(token, id), distinct: the tokens of each node's name, type and path."""
+    texts = F.concat_ws(" ", "name", "type", "file_path")
+    return nodes.select(F.explode(F.split(F.trim(_token_text(texts)), " ")).alias("token"), "id").where("token <> ''").distinct()
+
+
+def find_nodes(
+    nodes: DataFrame, name: str | None = None, type: str | None = None, file_path: str | None = None, limit: int = 200, tokens: DataFrame | None = None
+) -> DataFrame:
     """Nodes by name, type and file. A name is looked up as token prefix in name, type and path; where that finds nothing, or the name
-    is no plain words, as a part of the name in any case. In the order of file, line, name."""
+    is no plain words, as a part of the name in any case. In the order of file, line, name. tokens: a stored token table, which
+    then says which nodes are looked at."""
     own = nodes
     if type is not None:
         own = own.where(F.col("type") == type)
@@ -36,11 +45,16 @@ def find_nodes(nodes: DataFrame, name: str | None = None, type: str | None = Non
     phrases = [re.findall(r"[^\W_]+", w.lower()) for w in name.removesuffix("*").split()]
     if not re.fullmatch(r"[\w\s]+\*?", name) or not all(phrases):
         return part.select(*NODE).orderBy("file_path", "line", "name", "type", "id").limit(limit)
-    hit = F.lit(True)
+    hit, near = F.lit(True), own
+    if tokens is not None:
+        for i, p in enumerate(phrases):
+            for k, word in enumerate(p):
+                last = i == len(phrases) - 1 and k == len(p) - 1
+                near = near.join(tokens.where(F.startswith("token", F.lit(word)) if last else F.col("token") == word).select("id").distinct(), "id", "left_semi")
     for i, p in enumerate(phrases):
         wanted = " " + " ".join(p) + ("" if i == len(phrases) - 1 else " ")
         hit = hit & (_token_text(F.col("name")).contains(wanted) | _token_text(F.col("type")).contains(wanted) | _token_text(F.col("file_path")).contains(wanted))
-    found = own.where(hit)
+    found = near.where(hit)
     none = found.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(1).alias("one"))
     both = found.select(*NODE).unionByName(part.withColumn("one", F.lit(1)).join(none, "one", "left_semi").select(*NODE))
     return both.orderBy("file_path", "line", "name", "type", "id").limit(limit)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions import fixed
 from quarry.functions.paths import base_name, directory_at, glob_match, language, size_label
 from quarry.functions.patterns import ImportPattern, SymbolPattern
+from quarry.functions.staging import cut
 from quarry.operators import extract
 from quarry.operators.imports import dependents, deps, import_edges
 
@@ -41,16 +42,21 @@ def build_index(
     max_symbols: int = fixed.MAX_SYMBOLS,
     graph: bool = True,
     about: dict[str, str | None] | None = None,
+    staged: bool = False,
 ) -> Index:
     """The index of files (path, content, size, mtime and, if there, lang). listing: all paths, for configuration files.
 
-    Everything is lazy. Without ``graph`` no import is resolved. about: columns of the one row of meta, such as git_commit.
+    Everything is lazy, unless ``staged``: then symbols, imports and entries are extracted once and checkpointed, and all that
+    follows from them reads these. Without ``graph`` no import is resolved. about: columns of the one row of meta, such as git_commit.
     """
     if "lang" not in files.columns:
         files = files.withColumn("lang", language(F.col("path"))).where("lang is not null")
     text = extract.lines(files)
     found = extract.mark_coroutines(extract.symbols(text, symbol_table), files)
     entries, exported, modules = extract.entries(files), extract.exports(found), extract.imports(text, import_table)
+    if staged:
+        found, entries, modules = cut(found), cut(entries), cut(modules)
+        exported = extract.exports(found)
     kept = extract.truncate(found, max_symbols)
     edges = import_edges(modules, exported, entries) if graph else files.sparkSession.createDataFrame([], "src string, dst string")
     langs = entries.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -73,6 +79,11 @@ def symbol(index: Index, name: str, exact: bool = False) -> DataFrame:
     return index.symbols.where(hit).select("path", "line", "type", "name")
 
 
+def first_files(index: Index) -> DataFrame:
+    """(name, path): the first file, by path, that defines each symbol."""
+    return index.symbols.groupBy("name").agg(F.min("path").alias("path"))
+
+
 def importers(index: Index, module: str) -> DataFrame:
     """(path, module): files that import something with this text in its name, with the first such import."""
     return index.imports.where(F.contains("module", F.lit(module))).groupBy("path").agg(F.min("module").alias("module"))

@@ -5,12 +5,16 @@ Documents stand for files, orders for commits, parts for changed files and for s
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.patterns import ImportPattern, SymbolPattern
+from quarry.functions.staging import shared_dir
 from quarry.operators.graph import Graph
 from quarry.operators.index import Index, build_index
+from quarry.sources.store import SnapshotStore
 
 LANGS = ("en", "de", "fr", "es")
 SYMBOL_PATTERNS = [
@@ -34,8 +38,22 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.concat_ws("/", "source", "lang", place).alias("path"), "lang", F.col("text").alias("content"), F.col("n_chars").alias("size"), F.col("doc_id").alias("mtime"))
 
 
-def index(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> Index:
-    return build_index(files(spark, sf_dir) if source is None else source, symbol_table=SYMBOL_PATTERNS, import_table=IMPORT_PATTERNS)
+_STORED: dict[tuple[str, str], Index] = {}
+
+
+def build(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of the documents, built and stored in the shared folder, and read from there."""
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/quarry-index-{uuid.uuid4().hex}")
+    store.save(build_index(files(spark, sf_dir), symbol_table=SYMBOL_PATTERNS, import_table=IMPORT_PATTERNS, staged=True), "bound")
+    return store.load("bound")
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of the documents, built on first use in a session: read queries ask snapshots, not texts."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        _STORED[key] = build(spark, sf_dir)
+    return _STORED[key]
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,16 +85,16 @@ def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(part_paths(spark, sf_dir), "partkey").select("hash", "path", "sign", "text")
 
 
-def part_edges(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
-    """(s, t): distinct pairs of parts that follow each other in an order; of every n-th order."""
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % every == 0)
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s, t): distinct pairs of parts that follow each other in an order."""
+    li = table(spark, sf_dir, "lineitem")
     follow = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
     return li.select(F.col("l_partkey").alias("s"), follow.alias("t")).where("t is not null and s <> t").distinct()
 
 
-def import_edges(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
+def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = part_paths(spark, sf_dir)
-    e = part_edges(spark, sf_dir, every)
+    e = part_edges(spark, sf_dir)
     e = e.join(paths.select(F.col("partkey").alias("s"), F.col("path").alias("src")), "s")
     return e.join(paths.select(F.col("partkey").alias("t"), F.col("path").alias("dst")), "t").select("src", "dst")
 
@@ -87,8 +105,9 @@ def part_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(part_paths(spark, sf_dir), "partkey").select("path", F.lit("function").alias("type"), "name")
 
 
-def graph(spark: SparkSession, sf_dir: str, every: int = 20) -> Graph:
-    """Nations and regions as files, parts as functions, DEFINES from nations to parts, CALLS from the part edges; communities by part size."""
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Nations and regions as files, parts and customers as functions, DEFINES from nations to them, CALLS from the part edges and from
+    customers to what they buy; communities by part size."""
     parts = table(spark, sf_dir, "part")
     home = (F.col("p_partkey") % 25).cast("long")
     none = F.lit(None)
@@ -99,14 +118,21 @@ def graph(spark: SparkSession, sf_dir: str, every: int = 20) -> Graph:
         none.cast("long").alias("parent_id"), none.cast("long").alias("size"), none.cast("long").alias("mtime"),
     )
     where = nation.select(F.col("n_nationkey").cast("long").alias("home"), n_path.alias("file_path"))
-    kind = F.element_at(F.array(*map(F.lit, ("function", "method", "class"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    kind = F.when(F.col("p_partkey") % 3 == 0, "function").when(F.col("p_partkey") % 3 == 1, "method").otherwise("class")
     own = parts.select("*", home.alias("home")).join(where, "home").select(
         F.col("p_partkey").alias("id"), kind.alias("type"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")).alias("name"), "file_path", (F.col("p_partkey") % 500).cast("int").alias("line"),
         F.lit("python").alias("lang"), (-1 - F.col("home")).alias("parent_id"), none.cast("long").alias("size"), none.cast("long").alias("mtime"),
     )
+    customers = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "home").withColumn("home", F.col("home").cast("long")).join(where, "home").select(
+        (-1000 - F.col("c_custkey")).cast("long").alias("id"), F.lit("function").alias("type"), F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("_"))).alias("name"), "file_path",
+        (F.col("c_custkey") % 500).cast("int").alias("line"), F.lit("python").alias("lang"), (-1 - F.col("home")).alias("parent_id"), none.cast("long").alias("size"), none.cast("long").alias("mtime"),
+    )
+    own = own.unionByName(customers)
     shape = [F.lit(1.0).alias("confidence"), none.cast("int").alias("line"), none.cast("string").alias("strategy"), none.cast("double").alias("strategy_confidence")]
     defines = own.select(F.col("parent_id").alias("src_id"), F.col("id").alias("dst_id"), F.lit("DEFINES").alias("type"), *shape)
-    calls = part_edges(spark, sf_dir, every).select(F.col("s").alias("src_id"), F.col("t").alias("dst_id"), F.lit("CALLS").alias("type"), *shape)
+    bought = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    bought = bought.select((-1000 - F.col("o_custkey")).cast("long").alias("s"), F.col("l_partkey").alias("t")).distinct()
+    calls = part_edges(spark, sf_dir).unionByName(bought).select(F.col("s").alias("src_id"), F.col("t").alias("dst_id"), F.lit("CALLS").alias("type"), *shape)
     comms = parts.select(F.col("p_partkey").alias("node_id"), F.col("p_size").cast("long").alias("community_id"))
     return Graph(nodes.unionByName(own), defines.unionByName(calls), comms, spark.createDataFrame([], "key string, value long"))
 
@@ -120,6 +146,6 @@ def year_index(spark: SparkSession, sf_dir: str, first: bool) -> Index:
     symbols = li.select("path", F.col("l_returnflag").alias("type"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("name")).distinct()
     modules = li.select("path", F.concat("l_linestatus", (F.col("l_quantity") % 7).cast("int").cast("string")).alias("module")).distinct()
     meta = rows.agg(F.count(F.lit(1)).alias("total_files")).crossJoin(symbols.agg(F.count(F.lit(1)).alias("total_symbols")))  # one row with one row
-    edges = import_edges(spark, sf_dir, 2 if first else 3)
+    edges = import_edges(spark, sf_dir)
     entries = rows.where(F.col("lines") >= 8).select("path")
     return Index(rows, symbols, modules, symbols.select("path", "name"), edges, entries, rows.where("false").select("path"), rows, meta)

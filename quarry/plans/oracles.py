@@ -22,17 +22,16 @@ dirs as (select dir, sum(n)::bigint as file_count, sum(size)::bigint as total_si
 PARTS = """part_paths as (select p_partkey as partkey, replace(p_brand, '#', '') || '/s' || p_size || '/p' || p_partkey || '.py' as path from part)"""
 
 
-def pairs(every: int) -> str:
-    return f"""(select distinct s, t from (select l_partkey as s, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as t from lineitem
-  where l_orderkey % {every} = 0) where t is not null and s <> t)"""
+def pairs() -> str:
+    return """(select distinct s, t from (select l_partkey as s, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as t from lineitem) where t is not null and s <> t)"""
 
 
-def import_pairs(every: int) -> str:
-    return f"(select a.path as src, c.path as dst from {pairs(every)} e join part_paths a on a.partkey = e.s join part_paths c on c.partkey = e.t)"
+def import_pairs() -> str:
+    return f"(select a.path as src, c.path as dst from {pairs()} e join part_paths a on a.partkey = e.s join part_paths c on c.partkey = e.t)"
 
 
-def counts(every: int) -> str:
-    return f"(select dst as path, count(distinct src) as n from {import_pairs(every)} group by dst)"
+def counts() -> str:
+    return f"(select dst as path, count(distinct src) as n from {import_pairs()} group by dst)"
 
 
 COMMITS = f"""{PARTS}, commits as (select o_orderkey::varchar as hash, substr(o_orderkey::varchar, 1, 7) as short, o_orderdate as date_ts, 'author' || (o_custkey % 50) as author,
@@ -52,16 +51,16 @@ by_commit as (select hash, string_agg(path, ',' order by path) as files, array_t
 picked as (select c.*, files, diff_lines from commits c join by_commit using (hash) {NEWEST} limit {n})"""
 
 
-def year(name: str, where: str, every: int) -> str:
+def year(name: str, where: str) -> str:
     return f"""{name}_l as (select l.*, path from lineitem l join part_paths on partkey = l_partkey where {where}),
 {name} as (select path, sum(trunc(l_quantity)::bigint)::bigint as size, count(*)::int as lines from {name}_l group by path),
 {name}_s as (select path, list_sort(list(distinct l_returnflag || ':S' || l_suppkey)) as s from {name}_l group by path),
 {name}_i as (select path, list_sort(list(distinct l_linestatus || trunc(l_quantity % 7)::int)) as i from {name}_l group by path),
 {name}_f as (select * from {name} left join {name}_s using (path) left join {name}_i using (path)),
-{name}_out as (select src as path, count(*) as n from {import_pairs(every)} group by src), {name}_in as (select dst as path, count(*) as n from {import_pairs(every)} group by dst)"""
+{name}_out as (select src as path, count(*) as n from {import_pairs()} group by src), {name}_in as (select dst as path, count(*) as n from {import_pairs()} group by dst)"""
 
 
-CHANGES = f"""{PARTS}, {year("early", "year(l_shipdate) <= 1995", 2)}, {year("late", "year(l_shipdate) >= 1995 and l_partkey % 11 <> 0", 3)},
+CHANGES = f"""{PARTS}, {year("early", "year(l_shipdate) <= 1995")}, {year("late", "year(l_shipdate) >= 1995 and l_partkey % 11 <> 0")},
 met as (select coalesce(b.path, t.path) as path, b.path is null as fresh, t.path is null as gone, t.size - b.size as size_delta, t.lines - b.lines as lines_delta,
   list_filter(coalesce(t.s, []), lambda x: not list_contains(coalesce(b.s, []), x)) as sa, list_filter(coalesce(b.s, []), lambda x: not list_contains(coalesce(t.s, []), x)) as sr,
   list_filter(coalesce(t.i, []), lambda x: not list_contains(coalesce(b.i, []), x)) as ia, list_filter(coalesce(b.i, []), lambda x: not list_contains(coalesce(t.i, []), x)) as ir
@@ -69,11 +68,12 @@ met as (select coalesce(b.path, t.path) as path, b.path is null as fresh, t.path
 changes as (select *, case when fresh then 'added' when gone then 'deleted' when abs(size_delta) > 50 or len(sa) + len(sr) + len(ia) + len(ir) > 0 then 'modified' else 'unchanged' end as change from met)"""
 
 
-def graph(every: int = 20) -> str:
+def graph() -> str:
     return f"""nations as (select -1 - n_nationkey::bigint as id, 'r' || n_regionkey || '/' || lower(n_name) || '.py' as file_path, n_nationkey as home from nation),
 nodes as (select id, 'file' as type, file_path as name, file_path, 0 as line, null::bigint as parent_id from nations union all
-  select p_partkey, ['function', 'method', 'class'][p_partkey % 3 + 1], replace(p_name, ' ', '_'), file_path, (p_partkey % 500)::int, id from part join nations on home = p_partkey % 25),
-calls as (select s as src_id, t as dst_id from {pairs(every)})"""
+  select p_partkey, ['function', 'method', 'class'][p_partkey % 3 + 1], replace(p_name, ' ', '_'), file_path, (p_partkey % 500)::int, id from part join nations on home = p_partkey % 25 union all
+  select -1000 - c_custkey, 'function', lower(replace(c_name, '#', '_')), file_path, (c_custkey % 500)::int, id from customer join nations on home = c_nationkey),
+calls as (select s as src_id, t as dst_id from {pairs()} union all select distinct -1000 - o_custkey, l_partkey from orders join lineitem on l_orderkey = o_orderkey)"""
 
 
 DEAD = "select id, name, file_path, line, type from nodes where type in ('function', 'method') and id not in (select dst_id from calls)"
@@ -89,7 +89,7 @@ SQL = {
     "hotspots": f"""with {COMMITS}, chosen as (select * from commits {NEWEST} limit 500),
       rows as (select f.path, c.*, row_number() over (partition by f.path order by date_ts desc, hash) as r from commit_files f join chosen c using (hash))
       select path, count(*) as changes, coalesce(any_value(d.n), 0) as dependent_count, count(*) + coalesce(any_value(d.n), 0) as score, string_agg(short, ',' order by r) filter (r <= 3) as recent_commits,
-      string_agg(message, ',' order by r) filter (r <= 3) as recent_messages from rows left join {counts(1)} d using (path) group by path order by score desc, path limit 20""",
+      string_agg(message, ',' order by r) filter (r <= 3) as recent_messages from rows left join {counts()} d using (path) group by path order by score desc, path limit 20""",
     "path_functions": f"""with {NAMED} select path, base, regexp_extract(base, '(\\.[^.]*)$', 1) as ext, regexp_replace(base, '\\.[^.]*$', '') as stem, dir, split_part(path, '/', 1) as area,
       array_to_string(string_split(dir, '/')[1:2], '/') as dir2, case when base like '%.py' then 'python' when base like '%.go' then 'go' else '-' end as lang,
       case when size * 100 / 1024.0 < 1024 then printf('%.0fKB', size * 100 / 1024.0::double) else printf('%.1fMB', size * 100 / 1024.0::double / 1024) end as label from named""",
@@ -129,20 +129,20 @@ SQL = {
     "search_filtered": f"""with {SYMBOLS}, hit as (select path, count(*) as n, list(name order by line, type, name)[1:5] as few from symbols where contains(lower(name), 'e') and type = 'function' group by path)
       select path, lang, coalesce(n, 0) as n_matches, contains(lower(path), 'e') as path_match, (2 * coalesce(n, 0) + contains(lower(path), 'e')::int)::bigint as score, array_to_string(few, ',') as shown
       from files left join hit using (path) where lang = 'en' and (n > 0 or contains(lower(path), 'e')) order by score desc, path limit 20""",
-    "dependents": f"with {PARTS} select src as path from {import_pairs(1)} where dst = (select path from part_paths where partkey = 1)",
-    "dependent_counts": f"with {PARTS} select path, n as dependent_count from {counts(1)}",
-    "dependents_of": f"""with {PARTS}, d as (select dst as path, string_agg(distinct src, ',' order by src) as dependents from {import_pairs(5)} group by dst)
-      select path, coalesce(dependents, '') as dependents from part_paths left join d using (path) where partkey % 10 = 0""",
-    "reach_depth_3": reach(import_pairs(20), 3, 0),
-    "impact_closure": reach(f"(select dst as src, src as dst from {import_pairs(40)})", 4, 1),
+    "dependents": f"with {PARTS} select src as path from {import_pairs()} where dst = (select path from part_paths where partkey = 1)",
+    "dependent_counts": f"with {PARTS} select path, n as dependent_count from {counts()}",
+    "dependents_of": f"""with {PARTS}, d as (select dst as path, string_agg(distinct src, ',' order by src) as dependents from {import_pairs()} group by dst)
+      select path, coalesce(dependents, '') as dependents from part_paths left join d using (path) where partkey % 100 = 0""",
+    "reach_depth_3": reach(import_pairs(), 3, 0),
+    "impact_closure": reach(f"(select dst as src, src as dst from {import_pairs()})", 4, 1),
     "recent_commits": f"""with {COMMITS} select hash, short, author, message from commits where date_ts >= timestamp '1995-01-01' and date_ts <= timestamp '1997-06-30' and regexp_matches(author, 'author1')
       and regexp_matches(message, '^[1-3]') {NEWEST} limit 50""",
     "recent_below": f"""with {COMMITS} select hash from commits where hash in (select hash from commit_files where path like 'Brand1/s1/%' or path like 'Brand2/%') {NEWEST} limit 30""",
-    "file_history": f"""with {COMMITS} select hash, author from commits where hash in (select l_orderkey::varchar from lineitem where l_partkey % 10 = 3) {NEWEST} limit 25""",
+    "file_history": f"""with {COMMITS} select hash, author from commits where hash in (select hash from commit_files where split_part(path, '/', 1) = 'Brand13') {NEWEST} limit 25""",
     "commit_detail": f"""with {COMMITS}, own as (select hash, string_agg(status || ' ' || path, ',' order by path, status) as files from commit_files where hash like '10%' group by hash)
       select hash, message, body, files from commits left join own using (hash) where hash like '10%'""",
     "recent_impact": f"""with {COMMITS}, chosen as (select * from commits {NEWEST} limit 40), sc as (select path, count(*) as k from part_symbols group by path),
-      own as (select f.hash, f.path, coalesce(d.n, 0) as n, coalesce(k, 0) as k from commit_files f join chosen using (hash) left join {counts(3)} d using (path) left join sc using (path)),
+      own as (select f.hash, f.path, coalesce(d.n, 0) as n, coalesce(k, 0) as k from commit_files f join chosen using (hash) left join {counts()} d using (path) left join sc using (path)),
       sums as (select hash, sum(n)::bigint as n, sum(k)::bigint as k, coalesce(string_agg(path, ',' order by path) filter (n >= 5), '') as high from own group by hash),
       ar as (select hash, string_agg(area || ':' || c, ',' order by area) as areas from (select hash, split_part(path, '/', 1) as area, count(*) as c from own group by all) group by hash)
       select hash, coalesce(n, 0) as dependent_count, coalesce(k, 0) as symbol_count, coalesce(high, '') as high_impact_files, coalesce(areas, '') as areas from chosen left join sums using (hash) left join ar using (hash)""",
@@ -151,17 +151,17 @@ SQL = {
       from commit_files join commits using (hash) group by 1""",
     "commit_impact": f"""with {COMMITS}, names as (select hash, count(distinct name)::int as k from commit_files join part_symbols using (path) group by hash)
       select hash, count(*) as files, sum(coalesce(n, 0))::bigint as total_dependents, (count(*) + sum(coalesce(n, 0)))::bigint as impact_score, coalesce(any_value(k), 0) as n_symbols
-      from commit_files left join {counts(3)} d using (path) left join names using (hash) group by hash""",
-    "impact_files": f"""with {COMMITS}, own as (select distinct path from commit_files where hash like '1%'), d as (select dst as path, count(distinct src)::int as n, list_sort(list(distinct src)) as s from {import_pairs(3)} group by dst),
+      from commit_files left join {counts()} d using (path) left join names using (hash) group by hash""",
+    "impact_files": f"""with {COMMITS}, own as (select distinct path from commit_files where hash like '1%'), d as (select dst as path, count(distinct src)::int as n, list_sort(list(distinct src)) as s from {import_pairs()} group by dst),
       sc as (select path, count(*) as k from part_symbols group by path)
       select path, coalesce(n, 0) as dependent_count, coalesce(array_to_string(s[1:10], ','), '') as dependents, coalesce(k, 0) as symbol_count from own left join d using (path) left join sc using (path)""",
     "pickaxe": f"with {COMMITS}, {picked('N', 40)} select hash, files, diff_lines from picked",
-    "trace": f"""with {COMMITS}, {picked('A', 30)}, m as (select hash, string_agg(path || ':' || n, ',' order by path) as impact from by_file join {counts(3)} d using (path) group by hash)
+    "trace": f"""with {COMMITS}, {picked('A', 30)}, m as (select hash, string_agg(path || ':' || n, ',' order by path) as impact from by_file join {counts()} d using (path) group by hash)
       select hash, coalesce(impact, '') as impact from picked left join m using (hash)""",
     "search_commits": f"""with {COMMITS}, {picked('O', 30)}, said as (select hash from commits where regexp_matches(message, '(?i)O') {NEWEST} limit 30),
       found as (select hash, min(k) as k from (select hash, 0 as k from said union all select hash, 1 from picked) group by hash),
       top as (select c.*, case k when 0 then 'message' else 'code' end as match_type, row_number() over ({NEWEST}) as r from commits c join found using (hash) {NEWEST} limit 30),
-      score as (select hash, sum(coalesce(n, 0))::bigint as impact_score from commit_files join top using (hash) left join {counts(3)} d using (path) where r <= 20 group by hash)
+      score as (select hash, sum(coalesce(n, 0))::bigint as impact_score from commit_files join top using (hash) left join {counts()} d using (path) where r <= 20 group by hash)
       select hash, match_type, impact_score from top left join score using (hash)""",
     "diff_changes": f"""with {CHANGES} select path, change, size_delta, lines_delta, array_to_string(sa, ',') as symbols_added, array_to_string(sr, ',') as symbols_removed, array_to_string(ia, ',') as imports_added,
       array_to_string(ir, ',') as imports_removed from changes""",
@@ -179,15 +179,15 @@ SQL = {
     "incremental": f"""with {FILES} select path, mtime from files f where not exists (select 1 from (select path, case when mtime % 7 = 0 then 0 else mtime end as m from files where mtime % 5 <> 0) o where o.path = f.path and o.m = f.mtime)""",
     "graph_nodes": f"with {graph()} select id, type, name, file_path, line, parent_id from nodes",
     "graph_stats": f"""with {graph()} select 'nodes' as what, '-' as type, count(*) as count from nodes union all select 'nodes', type, count(*) from nodes group by type
-      union all select 'edges', '-', (select count(*) from calls) + (select count(*) from part) union all select 'edges', 'CALLS', (select count(*) from calls) union all select 'edges', 'DEFINES', (select count(*) from part)
+      union all select 'edges', '-', (select count(*) from calls) + (select count(*) from part) + (select count(*) from customer) union all select 'edges', 'CALLS', (select count(*) from calls) union all select 'edges', 'DEFINES', (select count(*) from part) + (select count(*) from customer)
       union all select 'communities', '-', (select count(distinct p_size) from part)""",
     "graph_find": f"""with {graph()} select id, type, name, file_path, line, 'python' as lang from nodes where regexp_matches(lower(name), '(^|[^a-z0-9])red') or regexp_matches(file_path, '(^|[^a-z0-9])red')
       order by file_path, line, name, type, id limit 200""",
     "graph_find_like": f"with {graph()} select id, type, name, file_path, line, 'python' as lang from nodes where name ilike '%idge%' order by file_path, line, name, type, id limit 200",
     "graph_neighbors": f"""with {graph()}, e as (select src_id, dst_id, 'CALLS' as t from calls union all select parent_id, id, 'DEFINES' from nodes where parent_id is not null)
-      select e.src_id as id, n.id as node_id, t as edge_type, n.type as node_type, n.name, 'outbound' as direction from e join nodes n on n.id = e.dst_id where e.src_id % 50 = 1
-      union all select e.dst_id, n.id, t, n.type, n.name, 'inbound' from e join nodes n on n.id = e.src_id where e.dst_id % 50 = 1""",
-    "graph_trace": f"""with recursive {graph(40)}, e as materialized (select * from calls), r(id, depth) as (select 1::bigint, 0 union select dst_id, depth + 1 from r join e on src_id = r.id where depth < 3)
+      select e.src_id as id, n.id as node_id, t as edge_type, n.type as node_type, n.name, 'outbound' as direction from e join nodes n on n.id = e.dst_id where e.src_id % 100 = 0
+      union all select e.dst_id, n.id, t, n.type, n.name, 'inbound' from e join nodes n on n.id = e.src_id where e.dst_id % 100 = 0""",
+    "graph_trace": f"""with recursive {graph()}, e as materialized (select * from calls), r(id, depth) as (select 1::bigint, 0 union select dst_id, depth + 1 from r join e on src_id = r.id where depth < 3)
       select 1::bigint as start, r.id as node_id, min(depth)::int as depth, any_value(name) as name from r join nodes on nodes.id = r.id group by r.id""",
     "graph_dead_code": f"with {graph()} {DEAD} and id not in (select src_id from calls)",
     "graph_no_inbound": f"with {graph()} {DEAD}",
@@ -205,7 +205,7 @@ SQL = {
     "test_edges": """with t as (select distinct replace(p_name, ' ', '_') as v from part), s as (select distinct 'src/' || replace(p_brand, '#', '') || '/' || replace(p_name, ' ', '_') || '.py' as path from part)
       select distinct 'tests/test_' || v || '.py' as test, path from t join s on contains(path, v)""",
     "call_resolution": f"""with occ as (select 'd' || (p_size % 5) || '/' || replace(p_brand, '#', '') || '.py' as path, p_name as name, p_partkey as id from part),
-      e as (select * from {pairs(20)}), calls as (select a.path, case when b.id % 4 = 0 then upper(b.name) else b.name end as name, a.name as caller from e join occ a on a.id = e.s join occ b on b.id = e.t),
+      e as (select * from {pairs()}), calls as (select a.path, case when b.id % 4 = 0 then upper(b.name) else b.name end as name, a.name as caller from e join occ a on a.id = e.s join occ b on b.id = e.t),
       imported as (select distinct src, dst from (select 'd' || (s_suppkey % 5) || '/Brand' || (s_suppkey % 25 + 1) || '.py' as src, 'd' || (s_nationkey % 5) || '/Brand' || (s_nationkey % 25 + 1) || '.py' as dst from supplier)
         where src <> dst and src in (select path from occ)),
       names as (select name, count(*) as n, min((path, id)) as ord from occ group by name), lowest as (select lower(name) as lower, arg_min(name, ord) as other from names group by 1),

@@ -62,7 +62,7 @@ def _resolve_calls(s, d):
     occ = p.select(path.alias("path"), F.col("p_name").alias("name"), F.col("p_partkey").cast("int").alias("line"), F.lit(0).alias("seq"), F.col("p_partkey").alias("id"))
     own = occ.select(F.col("id").alias("s"), "path", F.col("name").alias("caller"), "line", "seq")
     callee = F.when(F.col("id") % 4 == 0, F.upper("name")).otherwise(F.col("name"))
-    calls = b.part_edges(s, d, 20).join(own, "s").join(occ.select(F.col("id").alias("t"), callee.alias("name")), "t").select("path", "name", "caller", "line", F.col("s").cast("int").alias("seq"))
+    calls = b.part_edges(s, d).join(own, "s").join(occ.select(F.col("id").alias("t"), callee.alias("name")), "t").select("path", "name", "caller", "line", F.col("s").cast("int").alias("seq"))
     pp = occ.select("path").distinct()
     imported = b.table(s, d, "supplier").select(F.concat(F.lit("d"), F.col("s_suppkey") % 5, F.lit("/Brand"), F.col("s_suppkey") % 25 + 1, F.lit(".py")).alias("src"), F.concat(F.lit("d"), F.col("s_nationkey") % 5, F.lit("/Brand"), F.col("s_nationkey") % 25 + 1, F.lit(".py")).alias("dst"))
     imported = imported.join(pp.withColumnRenamed("path", "src"), "src", "left_semi").where("src <> dst").distinct()
@@ -127,44 +127,44 @@ def queries() -> dict[str, Query]:
         "search_filtered": lambda s, d: index.search(ix(s, d), "e", "en", "function").select("path", "lang", "n_matches", "path_match", "score", F.array_join(F.transform("matches", lambda m: m["name"]), ",").alias("shown")),
         "dependents": lambda s, d: b.part_paths(s, d).where("partkey = 1").select(F.col("path").alias("dst")).join(b.import_edges(s, d), "dst").select(F.col("src").alias("path")),
         "dependent_counts": lambda s, d: imports.dependent_counts(b.import_edges(s, d)),
-        "dependents_of": lambda s, d: imports.dependents_of(b.import_edges(s, d, 5), b.part_paths(s, d).where("partkey % 10 = 0")).select("path", F.array_join("dependents", ",").alias("dependents")),
-        "reach_depth_3": lambda s, d: imports.reach(b.import_edges(s, d, 20), _start(s, d), 3),
-        "impact_closure": lambda s, d: imports.reach(b.import_edges(s, d, 40).select(F.col("dst").alias("src"), F.col("src").alias("dst")), _start(s, d), 4).where("dist > 0").select(F.col("node").alias("path"), "dist"),
+        "dependents_of": lambda s, d: imports.dependents_of(b.import_edges(s, d), b.part_paths(s, d).where("partkey % 100 = 0")).select("path", F.array_join("dependents", ",").alias("dependents")),
+        "reach_depth_3": lambda s, d: imports.reach(b.import_edges(s, d), _start(s, d), 3),
+        "impact_closure": lambda s, d: imports.reach(b.import_edges(s, d).select(F.col("dst").alias("src"), F.col("src").alias("dst")), _start(s, d), 4).where("dist > 0").select(F.col("node").alias("path"), "dist"),
         "recent_commits": lambda s, d: history.recent(b.commits(s, d), b.commit_files(s, d), 50, since="1995-01-01", until="1997-06-30", author="author1", grep="^[1-3]").select("hash", "short", "author", "message"),
         "recent_below": lambda s, d: history.recent(b.commits(s, d), b.commit_files(s, d), 30, paths=["Brand1/s1", "Brand2"]).select("hash"),
-        "file_history": lambda s, d: history.file_history(b.commits(s, d), b.commit_files(s, d).join(b.part_paths(s, d).where("partkey % 10 = 3"), "path", "left_semi").withColumn("path", F.lit("x")), "x", 25).select("hash", "author"),
+        "file_history": lambda s, d: history.file_history(b.commits(s, d), b.commit_files(s, d).withColumn("path", F.split_part("path", F.lit("/"), F.lit(1))), "Brand13", 25).select("hash", "author"),
         "commit_detail": lambda s, d: history.commit_detail(b.commits(s, d), b.commit_files(s, d), "10").select("hash", "message", "body", F.array_join(F.transform("files", lambda f: F.concat(f["status"], F.lit(" "), f["path"])), ",").alias("files")),
-        "recent_impact": lambda s, d: history.recent_impact(history.recent(b.commits(s, d), b.commit_files(s, d), 40), b.commit_files(s, d), b.import_edges(s, d, 3), b.part_symbols(s, d)).select(
+        "recent_impact": lambda s, d: history.recent_impact(history.recent(b.commits(s, d), b.commit_files(s, d), 40), b.commit_files(s, d), b.import_edges(s, d), b.part_symbols(s, d)).select(
             "hash", "dependent_count", "symbol_count", F.array_join("high_impact_files", ",").alias("high_impact_files"), F.coalesce(_map_text("areas"), F.lit("")).alias("areas")
         ),
         "areas": lambda s, d: history.areas(b.commit_files(s, d)),
         "area_summary": lambda s, d: history.area_summary(b.commits(s, d), b.commit_files(s, d)),
-        "commit_impact": lambda s, d: history.commit_impact(b.commit_files(s, d), b.import_edges(s, d, 3), b.part_symbols(s, d)).select("hash", "files", "total_dependents", "impact_score", F.size("symbols_affected").alias("n_symbols")),
-        "impact_files": lambda s, d: history.impact_files(b.commit_files(s, d), b.import_edges(s, d, 3), b.part_symbols(s, d), "1").select("path", "dependent_count", F.array_join("dependents", ",").alias("dependents"), "symbol_count"),
+        "commit_impact": lambda s, d: history.commit_impact(b.commit_files(s, d), b.import_edges(s, d), b.part_symbols(s, d)).select("hash", "files", "total_dependents", "impact_score", F.size("symbols_affected").alias("n_symbols")),
+        "impact_files": lambda s, d: history.impact_files(b.commit_files(s, d), b.import_edges(s, d), b.part_symbols(s, d), "1").select("path", "dependent_count", F.array_join("dependents", ",").alias("dependents"), "symbol_count"),
         "pickaxe": lambda s, d: history.pickaxe(b.commits(s, d), b.diff_lines(s, d), "N", 40).select("hash", F.array_join("files", ",").alias("files"), F.array_join("diff_lines", ",").alias("diff_lines")),
-        "trace": lambda s, d: history.trace(b.commits(s, d), b.diff_lines(s, d), b.import_edges(s, d, 3), "A", 30).select("hash", F.coalesce(_map_text("impact"), F.lit("")).alias("impact")),
-        "search_commits": lambda s, d: history.search_commits(b.commits(s, d), b.commit_files(s, d), b.diff_lines(s, d), "O", "all", 30, b.import_edges(s, d, 3)).select("hash", "match_type", "impact_score"),
+        "trace": lambda s, d: history.trace(b.commits(s, d), b.diff_lines(s, d), b.import_edges(s, d), "A", 30).select("hash", F.coalesce(_map_text("impact"), F.lit("")).alias("impact")),
+        "search_commits": lambda s, d: history.search_commits(b.commits(s, d), b.commit_files(s, d), b.diff_lines(s, d), "O", "all", 30, b.import_edges(s, d)).select("hash", "match_type", "impact_score"),
         "diff_changes": lambda s, d: _changes(s, d).select(
             "path", "change", "size_delta", "lines_delta", _pairs_text("symbols_added").alias("symbols_added"), _pairs_text("symbols_removed").alias("symbols_removed"),
             _list_text("imports_added").alias("imports_added"), _list_text("imports_removed").alias("imports_removed"),
         ),
         "diff_summary": lambda s, d: diff.summarise(_changes(s, d)),
         "diff_entries": lambda s, d: diff.entry_changes(b.year_index(s, d, True), b.year_index(s, d, False)),
-        "diff_high_impact": lambda s, d: diff.high_impact(_changes(s, d), b.import_edges(s, d, 2), b.import_edges(s, d, 3)),
+        "diff_high_impact": lambda s, d: diff.high_impact(_changes(s, d), b.import_edges(s, d), b.import_edges(s, d)),
         "diff_most_changed": lambda s, d: diff.most_changed(_changes(s, d)),
         "incremental": _incremental,
         "graph_nodes": lambda s, d: b.graph(s, d).nodes.select("id", "type", "name", "file_path", "line", "parent_id"),
         "graph_stats": lambda s, d: graph_query.graph_stats(b.graph(s, d)).withColumn("type", F.coalesce("type", F.lit("-"))),
         "graph_find": lambda s, d: graph_query.find_nodes(b.graph(s, d).nodes, "red"),
         "graph_find_like": lambda s, d: graph_query.find_nodes(b.graph(s, d).nodes, "idge"),
-        "graph_neighbors": lambda s, d: graph_query.neighbors(b.graph(s, d), b.table(s, d, "part").where("p_partkey % 50 = 1").select(F.col("p_partkey").alias("id")), None, "both").select("id", "node_id", "edge_type", "node_type", "name", "direction"),
-        "graph_trace": lambda s, d: graph_query.trace_calls(b.graph(s, d, 40), b.table(s, d, "part").where("p_partkey = 1").select(F.col("p_partkey").alias("id")), 3).select("start", "node_id", "depth", "name"),
+        "graph_neighbors": lambda s, d: graph_query.neighbors(b.graph(s, d), b.table(s, d, "part").select(F.col("p_partkey").alias("id")).unionByName(b.table(s, d, "customer").select((-1000 - F.col("c_custkey")).alias("id"))).where("id % 100 = 0"), None, "both").select("id", "node_id", "edge_type", "node_type", "name", "direction"),
+        "graph_trace": lambda s, d: graph_query.trace_calls(b.graph(s, d), b.table(s, d, "part").where("p_partkey = 1").select(F.col("p_partkey").alias("id")), 3).select("start", "node_id", "depth", "name"),
         "graph_dead_code": lambda s, d: graph_query.dead_code(b.graph(s, d), limit=None),
         "graph_no_inbound": lambda s, d: graph_query.dead_code(b.graph(s, d), "no_inbound", None),
         "graph_communities": lambda s, d: graph_query.community_report(b.graph(s, d)).select("community_id", "size", "names", F.array_join("sample_nodes", ",").alias("sample_nodes")),
         "graph_file_activity": lambda s, d: _activity(s, d, False),
         "graph_symbol_activity": lambda s, d: _activity(s, d, True),
-        "graph_local_moves": lambda s, d: graph.communities(b.graph(s, d, 200).edges),
+        "graph_local_moves": lambda s, d: graph.communities(b.graph(s, d).edges),
         "import_targets": _targets,
         "test_edges": _tests,
         "call_resolution": _resolve_calls,

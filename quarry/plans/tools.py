@@ -83,9 +83,15 @@ class Project:
         fresh = ix.build_index(files, listing, about=about) if known is None or not incremental else update(files, self.store.load(known))
         snapshot = "tree-b" if known == "tree-a" else "tree-a"
         self.store.save(fresh, snapshot, branch=about.get("git_branch"))
-        self._graph = build_graph(read_tree(self.spark, self.root, graph=True))
+        self._build_graph()
         return snapshot
 
+    def _build_graph(self) -> None:
+        known = self.store.refs().where("kind = 'graph'").first()
+        graph_id = "graph-b" if known and known["snapshot_id"] == "graph-a" else "graph-a"
+        self.store.save_graph(build_graph(read_tree(self.spark, self.root, graph=True)), graph_id)
+        self._graph = self.store.load_graph()
+
     def index(self, ref: str | None = None) -> ix.Index:
         """The current index, or that of a commit; built where it is missing."""
         if ref is None:
@@ -99,8 +105,11 @@ class Project:
 
     @property
     def graph(self) -> Graph:
+        """The stored graph; built where there is none."""
+        if self._graph is None:
+            self._graph = self.store.load_graph()
         if self._graph is None:
-            self._graph = build_graph(read_tree(self.spark, self.root, graph=True))
+            self._build_graph()
         return self._graph
 
     @cached_property
@@ -153,6 +162,10 @@ class Project:
     def _code_index_build(self, a):
         return f"Indexed as {self.build(bool(a.get('incremental', True)), a.get('commit'))}."
 
+    def _areas(self, a):
+        commits, files, _ = self.log
+        return render.areas(history.area_summary(commits, files))
+
     def _code_graph_stats(self, a):
         return render.graph_stats(graph_query.graph_stats(self.graph))
 
@@ -214,12 +227,17 @@ def main() -> None:
     p = argparse.ArgumentParser(prog="quarry", description="Answers questions about a source tree over JSON-RPC on standard input and output.")
     p.add_argument("--project", default=".")
     p.add_argument("--describe", action="store_true", help="print the tools and end")
+    p.add_argument("ask", nargs="*", help="a tool (or areas) and its arguments as name=value: print the answer and end")
     args = p.parse_args()
     if args.describe:
         print(json.dumps(schemas(), indent=2))
         return
     spark = SparkSession.builder.appName("quarry").config("spark.ui.showConsoleProgress", "false").getOrCreate()
-    Server(Project(spark, args.project)).serve(sys.stdin, sys.stdout)
+    project = Project(spark, args.project)
+    if args.ask:
+        print(project.run(args.ask[0], dict(x.split("=", 1) for x in args.ask[1:])))
+    else:
+        Server(project).serve(sys.stdin, sys.stdout)
 
 
 if __name__ == "__main__":

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import subprocess
+import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ SCHEMAS = {
 
 def run_git(root: str, *args: str, data: bytes | None = None, timeout: int = 120) -> bytes:
     """Output of a git command; raises RuntimeError with its message when it fails."""
-    done = subprocess.run(["git", "-C", root, *args], input=data, capture_output=True, timeout=timeout)
+    done = subprocess.run(["git", "-C", root, "-c", "core.quotePath=false", *args], input=data, capture_output=True, timeout=timeout)
     if done.returncode:
         raise RuntimeError(done.stderr.decode("utf-8", "replace").strip())
     return done.stdout
@@ -124,17 +125,33 @@ class _Reader(DataSourceReader):
             yield tuple(x.strip("\n") for x in row.split("\x1f"))
 
     def _files(self, names: list[str]) -> Iterator[tuple]:
-        for row in self._log("%x1e%H", names, "--name-status", "--no-renames", "--diff-merges=off"):
-            head, *rest = row.strip("\n").split("\n")
-            for line in rest:
-                status, tab, path = line.partition("\t")
-                if tab:
-                    yield head, path, status
+        for row in self._log("%x1e%H", names, "--name-status", "-z", "--no-renames", "--diff-merges=off"):
+            head, *rest = row.split("\0")
+            for status, path in zip(rest[::2], rest[1::2], strict=False):
+                yield head.strip("\n"), path, status.strip("\n")
 
     def _patches(self, names: list[str]) -> Iterator[tuple]:
-        for row in self._log("%x1e%H", names, "-p", "--no-renames", "--diff-merges=off"):
-            head, _, patch = row.partition("\n")
-            yield head, patch
+        """Patches as git writes them, one commit in memory at a time."""
+        args = ["git", "-C", self.root, "-c", "core.quotePath=false", "log", "--no-walk=unsorted", "--stdin", "--format=%x1e%H", "-p", "--no-renames", "--diff-merges=off"]
+        with tempfile.TemporaryFile() as asked:
+            asked.write("".join(n + "\n" for n in names).encode())
+            asked.seek(0)
+            with subprocess.Popen(args, stdin=asked, stdout=subprocess.PIPE, stderr=subprocess.PIPE) as git:
+                held: list[bytes] = []
+                for line in git.stdout:
+                    if line.startswith(b"\x1e") and held:
+                        yield self._patch(held)
+                        held = []
+                    held.append(line)
+                if held:
+                    yield self._patch(held)
+                message = git.stderr.read().decode("utf-8", "replace")
+            if git.returncode:
+                raise RuntimeError(message.strip())
+
+    @staticmethod
+    def _patch(lines: list[bytes]) -> tuple[str, str]:
+        return lines[0][1:].decode().strip(), b"".join(lines[1:]).decode("utf-8", "replace")
 
 
 class GitSource(DataSource):

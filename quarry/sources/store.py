@@ -8,6 +8,8 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.graph import Graph
+from quarry.operators.graph_query import node_tokens
 from quarry.operators.index import Index
 
 REFS = "ref string, kind string, snapshot_id string, at long"
@@ -81,6 +83,28 @@ class SnapshotStore:
         read = lambda name: (self.spark.read.schema(TABLES[name]) if name in TABLES else self.spark.read).parquet(self._at(name, snapshot))
         return Index(**{name: read(name) for name in Index.__dataclass_fields__})
 
+    def drop(self, snapshot_id: str) -> None:
+        """Delete a snapshot's tables; references to it stay and are resolved no more once others took their place."""
+        context = self.spark.sparkContext
+        for name in Index.__dataclass_fields__:
+            there = context._jvm.org.apache.hadoop.fs.Path(self._at(name, snapshot_id))
+            there.getFileSystem(context._jsc.hadoopConfiguration()).delete(there, True)
+
+    def save_graph(self, graph: Graph, graph_id: str) -> None:
+        """Write a graph and the tokens of its nodes, each sorted by what it is looked up by; it is the current graph then."""
+        tables = {"nodes": (graph.nodes, "id"), "edges": (graph.edges, "src_id"), "communities": (graph.communities, "community_id"), "stats": (graph.stats, "key"), "tokens": (node_tokens(graph.nodes), "token")}
+        for name, (df, key) in tables.items():
+            df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{self.root}/graph/{name}/graph_id={graph_id}")
+        self.spark.createDataFrame([("current", "graph", graph_id, time.time_ns())], REFS).coalesce(1).write.mode("append").parquet(f"{self.root}/refs")
+
+    def load_graph(self) -> Graph | None:
+        """The current graph, read as far as queries ask for it; None where there is none."""
+        got = self.refs().where("kind = 'graph'").first()
+        if got is None:
+            return None
+        read = lambda name: self.spark.read.parquet(f"{self.root}/graph/{name}/graph_id={got['snapshot_id']}")
+        return Graph(*(read(name) for name in ("nodes", "edges", "communities", "stats", "tokens")))
+
     def snapshots(self) -> DataFrame:
         """Every reference with the figures of its snapshot."""
         refs = self.refs()

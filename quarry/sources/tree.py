@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -81,6 +82,7 @@ def read_remote(spark: SparkSession, root: str, graph: bool = False) -> DataFram
     """As read_tree for a folder in any store that Spark reads. Names are filtered before files are opened; paths after."""
     glob = "{" + ",".join(["*" + e for e in extensions()] + list(fixed.MAKEFILES)) + "}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    path = F.regexp_replace(F.expr(f"substring(path, instr(path, '{root.rstrip('/').split('://')[-1].lstrip('/')}') + {len(root.rstrip('/').split('://')[-1].lstrip('/'))} + 1)"), "^/", "")
+    bare = re.sub("^[A-Za-z0-9+.-]+:/*", "", root.rstrip("/")).lstrip("/")
+    path = F.substring(F.regexp_replace("path", "^[A-Za-z0-9+.-]+:/*", ""), len(bare) + 2, 2147483647)
     rows = raw.select(path.alias("path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"), decode("content").alias("content"))
     return source_files(rows, graph=graph)

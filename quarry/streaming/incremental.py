@@ -39,17 +39,23 @@ def update(files: DataFrame, old: Index, listing: DataFrame | None = None) -> In
 def follow(spark: SparkSession, folder: str, store: SnapshotStore, checkpoint: str, snapshot_id: str = "stream") -> StreamingQuery:
     """Index a stream of Parquet files of (path, content, size, mtime): each batch is merged into the current snapshot.
 
-    Snapshots alternate between two names, as a snapshot can't be read and overwritten at once; repeating a batch changes nothing.
+    Each batch writes a snapshot of its own number, so none is read and overwritten at once. A batch that is repeated after its
+    snapshot became the current one changes nothing; the snapshot before the last is dropped when the next one is there.
     """
     rows = spark.readStream.schema("path string, content string, size long, mtime long").parquet(folder)
 
     def add(batch: DataFrame, number: int) -> None:
+        own = f"{snapshot_id}-{number}"
+        known = store.resolve(None)
+        if known == own:
+            return
         last = batch.groupBy("path").agg(F.max_by(F.struct("content", "size", "mtime"), "mtime").alias("f")).select("path", "f.*")
         new = build_index(last)
-        known = store.resolve(None)
         if known is not None:
             old = store.load(known)
             new = merge(new, old, old.files.select("path").unionByName(last.select("path")))
-        store.save(new, f"{snapshot_id}-{number % 2}", branch=snapshot_id)
+        store.save(new, own, branch=snapshot_id)
+        if number > 1:
+            store.drop(f"{snapshot_id}-{number - 2}")
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

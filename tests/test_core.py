@@ -263,3 +263,88 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame([(path, text, 1, i)], FILES).write.mode("append").parquet(inbox)
         follow(spark, inbox, store, str(tmp_path / "cp")).awaitTermination()
     assert rows(store.load().import_edges, "src", "dst") == [("b.py", "a.py")]
+
+
+def test_replayed_batch_keeps_the_snapshot(spark, tmp_path, monkeypatch):
+    """A batch that fails after its snapshot was saved runs again; nothing is lost, and old snapshots go."""
+    from quarry.sources.store import SnapshotStore
+    from quarry.streaming.incremental import follow
+
+    store, inbox = SnapshotStore(spark, str(tmp_path / "store")), str(tmp_path / "in")
+    save, fail = SnapshotStore.save, [True]
+
+    def once(self, *a, **b):
+        save(self, *a, **b)
+        if fail[0]:
+            fail[0] = False
+            raise RuntimeError("lost")
+
+    for i, path in enumerate(["a.py", "b.py", "c.py", "d.py"]):
+        spark.createDataFrame([(path, "import a", 1, i)], FILES).write.mode("append").parquet(inbox)
+        if i == 1:
+            monkeypatch.setattr(SnapshotStore, "save", once)
+            with pytest.raises(Exception, match="lost"):
+                follow(spark, inbox, store, str(tmp_path / "cp")).awaitTermination()
+        follow(spark, inbox, store, str(tmp_path / "cp")).awaitTermination()
+    assert rows(store.load().files, "path") == [("a.py",), ("b.py",), ("c.py",), ("d.py",)]
+    assert sorted(p.name for p in (tmp_path / "store" / "files").iterdir()) == ["snapshot_id=stream-2", "snapshot_id=stream-3"]
+
+
+def test_patch_lines_of_odd_content_and_paths(spark, tmp_path):
+    from quarry.sources.git import read_history
+
+    root = tmp_path / "odd"
+    root.mkdir()
+    git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=me", "-c", "user.email=me@x", *a], check=True, capture_output=True)
+    git("init", "-q", "-b", "main")
+    names = ["q.sql", "é ü.py", "x b/y b/z.py", 'quo"te.py', "tab\there.py"]
+    for n in names:
+        (root / n).parent.mkdir(parents=True, exist_ok=True)
+        (root / n).write_text("-- a comment\n++ plus\nkept\n")
+    git("add", ".")
+    git("commit", "-q", "-m", "first")
+    for n in names:
+        (root / n).write_text("kept\n-- b\n@@ no hunk\n")
+    git("commit", "-qam", "second")
+    commits, files, patches = read_history(spark, str(root))
+    assert {r["path"] for r in files.collect()} == set(names) and files.count() == 10
+    last = commits.where("message = 'second'").select("hash")
+    lines = history.patch_lines(patches).join(last, "hash")
+    assert rows(lines, "path", "sign", "text") == sorted((n, s, t) for n in names for s, t in [("-", "-- a comment"), ("-", "++ plus"), ("+", "-- b"), ("+", "@@ no hunk")])
+    assert {(r["path"], r["added"], r["removed"]) for r in history.diff_stat(lines).collect()} == {(n, 2, 2) for n in names}
+
+
+def test_remote_tree_and_first_files(spark, tmp_path):
+    from quarry.sources.tree import read_remote
+
+    root = tmp_path / "o'dd" / "src" / "src"
+    root.mkdir(parents=True)
+    (root / "a.py").write_text("def f(): pass\nclass G: pass")
+    (root / "b.py").write_text("def f(): pass")
+    files = read_remote(spark, "file://" + str(tmp_path / "o'dd" / "src"))
+    assert rows(files, "path") == [("src/a.py",), ("src/b.py",)]
+    assert rows(ix.first_files(ix.build_index(files, staged=True)), "name", "path") == [("G", "src/a.py"), ("f", "src/a.py")]
+
+
+def test_stored_graph(spark, python_graph, tmp_path):
+    """Another store object finds the graph; search by tokens gives what a scan gives."""
+    from quarry.sources.store import SnapshotStore
+
+    assert SnapshotStore(spark, str(tmp_path)).load_graph() is None
+    SnapshotStore(spark, str(tmp_path)).save_graph(python_graph, "one")
+    g = SnapshotStore(spark, str(tmp_path)).load_graph()
+    for name in ("nodes", "edges", "communities", "stats"):
+        assert sorted(map(str, getattr(g, name).collect())) == sorted(map(str, getattr(python_graph, name).collect()))
+    for query in ("hel", "helper", "function hel", "pkg core", "util.py", "lpe", "go", "none such"):
+        assert graph_query.find_nodes(g.nodes, query, tokens=g.tokens).collect() == graph_query.find_nodes(python_graph.nodes, query).collect()
+    plan = graph_query.get_node(g.nodes, g.nodes.first()["id"])._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id," in plan
+
+
+def test_queries_without_optional_libraries():
+    """The core's queries are there where a library of the training-data operators is missing."""
+    import sys
+
+    code = "import sys; sys.modules['zstandard'] = None; sys.modules['tokenizers'] = None\nimport __spark_entry__ as e\nq = e.queries(); assert 'hotspots' in q and 'hotspots' in e.oracle_sql(); print(len(q))"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=__import__("pathlib").Path(__file__).resolve().parent.parent)
+    assert done.returncode == 0 and int(done.stdout) > 60, done.stderr

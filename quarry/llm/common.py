@@ -35,9 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+def stage(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    parts: files at most, where the size of what is written is known: many small files cost more than the rows in them.
+    """
     spark = df.sparkSession
+    df = df.coalesce(parts) if parts else df
     path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")

@@ -493,8 +493,8 @@ def _enough(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__all", F.count(F.lit(1)).over(Window.partitionBy(*TEXT))).where(F.col("__all") >= _sure(F.col("n"))).drop("__all")
 
 
-def _shared(sized: DataFrame) -> DataFrame:
-    """(h1, h2, n, sig): the shown shingles that more than one text shows.
+def _shared(sized: DataFrame) -> tuple[DataFrame, int]:
+    """(h1, h2, n, sig): the shown shingles that more than one text shows; how many parts tables of shingles may have.
 
     Frequent shingles are found among those that a worker gathers and dealt apart, so that no task holds all rows of one.
     """
@@ -502,23 +502,23 @@ def _shared(sized: DataFrame) -> DataFrame:
     n_buckets = (named.agg(F.sum(F.size("sigs"))).first()[0] or 0) // BUCKET_ROWS + 12
     shows = named.select("h1", "h2", "n", "sigs").mapInArrow(_shows(n_buckets), "bucket long, blob binary")
     met = shows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, "h1 long, h2 long, n int, sig long")
-    return _enough(met.repartition(*TEXT).dropDuplicates([*TEXT, "sig"]))
+    return _enough(met.repartition(*TEXT).dropDuplicates([*TEXT, "sig"])), n_buckets
 
 
-def _mixed(shared: DataFrame, comps: DataFrame | None) -> DataFrame:
+def _mixed(shared: DataFrame, comps: DataFrame | None, parts: int) -> DataFrame:
     """Rows (h1, h2, rep, comp, n, sig, count) of shingles that texts of different components show, with their number, of texts that have enough of them to link."""
     if comps is None:
         placed = shared.select(*TEXT, "rep", "n", "sig", F.col("rep").alias("comp"))
     else:
         placed = shared.select(*TEXT, "rep", "n", "sig").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     ends = placed.groupBy("sig").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b"), F.count(F.lit(1)).alias("count")).where("__a <> __b").select("sig", "count")
-    ends = stage(ends, "ends")  # so that the join can split a frequent shingle
-    out = stage(_enough(placed.join(ends, "sig")).select(*TEXT, "rep", "comp", "n", "sig", "count"), "mixed")
+    ends = stage(ends, "ends", parts)  # so that the join can split a frequent shingle
+    out = stage(_enough(placed.join(ends, "sig")).select(*TEXT, "rep", "comp", "n", "sig", "count"), "mixed", parts)
     discard(ends)
     return out
 
 
-def _selected(mixed: DataFrame) -> DataFrame:
+def _selected(mixed: DataFrame, parts: int) -> DataFrame:
     """Buckets: mixed's rows of those shingles that each text needs to be found by, rarest first, staged.
 
     Texts that link share ``sure(n)`` of them at least, so all but ``sure(n) - 1`` of each side's, in one order, have one in common. part:
@@ -529,39 +529,39 @@ def _selected(mixed: DataFrame) -> DataFrame:
     own, n = Window.partitionBy(*TEXT), F.col("n")
     ranked = mixed.withColumn("__all", F.count(F.lit(1)).over(own)).withColumn("__rank", F.row_number().over(own.orderBy("count", "sig")))
     n_shown = n - F.ceil(F.lit(PERCENT) * n / 100) + 1 + F.floor(n / SLACK)
-    kept = stage(ranked.where(F.col("__rank") <= F.col("__all") - _sure(n) + 1).select(*TEXT, "rep", "comp", "n", "sig", (F.col("__all") / n_shown).alias("part")), "kept")
+    kept = stage(ranked.where(F.col("__rank") <= F.col("__all") - _sure(n) + 1).select(*TEXT, "rep", "comp", "n", "sig", (F.col("__all") / n_shown).alias("part")), "kept", parts)
     whose = kept.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.bit_xor("h1").alias("x"), F.bit_xor("h2").alias("y"), F.bit_xor(F.xxhash64(*TEXT)).alias("z"), F.min("rep").alias("home")).where("c > 1")
-    one = stage(whose.groupBy("c", "x", "y", "z").agg(F.min("sig").alias("sig"), F.min("home").alias("home"), F.count(F.lit(1)).alias("weight")).select("sig", "home", "weight"), "one")
-    buckets = stage(kept.join(one, "sig"), "buckets")
+    one = stage(whose.groupBy("c", "x", "y", "z").agg(F.min("sig").alias("sig"), F.min("home").alias("home"), F.count(F.lit(1)).alias("weight")).select("sig", "home", "weight"), "one", parts)
+    buckets = stage(kept.join(one, "sig"), "buckets", parts)
     discard(kept, one)
     return buckets
 
 
-def _leader_pairs(buckets: DataFrame, turn: int) -> DataFrame:
+def _leader_pairs(buckets: DataFrame, turn: int, parts: int) -> DataFrame:
     """(a, b): each text with the leader that most of its buckets have, of those in other components.
 
     At first a bucket's leader is the text with the least of its own: what copies were made from shares all, while each copy has
     edits. At later turns it is a pseudorandom one, another in each bucket.
     """
     rank = F.struct("part", *TEXT) if turn == 0 else F.struct(F.xxhash64(*TEXT, "sig", F.lit(turn)), *TEXT)
-    leader = stage(buckets.groupBy("sig").agg(F.max_by(F.struct("rep", "comp"), rank).alias("to")), "leader")
+    leader = stage(buckets.groupBy("sig").agg(F.max_by(F.struct("rep", "comp"), rank).alias("to")), "leader", parts)
     votes = buckets.join(leader, "sig").where("comp <> to.comp").groupBy(*TEXT, "rep", F.col("to.rep").alias("to")).agg(F.sum("weight").alias("votes"))
     best = votes.groupBy(*TEXT, "rep").agg(F.max_by("to", F.struct("votes", "to")).alias("to")).where("rep <> to")
-    out = stage(best.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct(), "leaders")
+    out = stage(best.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct(), "leaders", parts)
     discard(leader)
     return out
 
 
-def _still_mixed(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+def _still_mixed(buckets: DataFrame, comps: DataFrame, parts: int) -> DataFrame:
     """buckets with the components of now, without those that have only one left, staged."""
     now = buckets.drop("comp").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    ends = stage(now.groupBy("sig").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b")).where("__a <> __b").select("sig"), "ends")
-    out = stage(now.join(ends, "sig"), "buckets")
+    ends = stage(now.groupBy("sig").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b")).where("__a <> __b").select("sig"), "ends", parts)
+    out = stage(now.join(ends, "sig"), "buckets", parts)
     discard(ends, buckets)
     return out
 
 
-def _blocks(buckets: DataFrame) -> DataFrame:
+def _blocks(buckets: DataFrame, parts: int) -> DataFrame:
     """(sig, home, block, rep, h1, h2, comp, n): the points of each bucket in blocks, staged.
 
     A bucket whose points count for no more than BLOCK is one block, 0. Larger ones are dealt by size and then by component; a
@@ -569,16 +569,16 @@ def _blocks(buckets: DataFrame) -> DataFrame:
     """
     weight, size = 1 + F.floor(F.col("n") / HEAVY), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.15)))
     rows = buckets.select("sig", "home", *TEXT, "rep", "comp", "n", weight.alias("w"), size.alias("g"))
-    large = stage(rows.groupBy("sig").agg(F.sum("w").alias("__all")).where(F.col("__all") > BLOCK).select("sig"), "large")
+    large = stage(rows.groupBy("sig").agg(F.sum("w").alias("__all")).where(F.col("__all") > BLOCK).select("sig"), "large", parts)
     crowded = rows.join(large, "sig").groupBy("sig", "g", "comp").agg(F.sum("w").alias("__own"))
     alone = F.col("__own") > BLOCK // 2
     bands = crowded.groupBy("sig", "g").agg(F.sum(F.when(alone, 0).otherwise(F.col("__own"))).alias("__band"))
     key = F.when(alone, F.xxhash64("g", "comp")).otherwise(F.xxhash64("g"))
     n_parts = F.ceil(F.when(alone, F.col("__own")).otherwise(F.col("__band")) / BLOCK)
-    crowded = stage(crowded.join(bands, ["sig", "g"]).select("sig", "g", "comp", key.alias("__key"), alone.alias("__alone"), n_parts.alias("__parts")), "crowded")
+    crowded = stage(crowded.join(bands, ["sig", "g"]).select("sig", "g", "comp", key.alias("__key"), alone.alias("__alone"), n_parts.alias("__parts")), "crowded", parts)
     part = F.pmod(F.when(F.col("__alone"), F.xxhash64("rep", *TEXT)).otherwise(F.xxhash64("comp")), F.col("__parts"))
     dealt = rows.join(crowded, ["sig", "g", "comp"], "left").withColumn("block", F.when(F.col("__key").isNull(), 0).otherwise(F.xxhash64("__key", part).bitwiseOR(F.lit(1))))
-    points = stage(dealt.select("sig", "home", "block", "rep", *TEXT, "comp", "n"), "points")
+    points = stage(dealt.select("sig", "home", "block", "rep", *TEXT, "comp", "n"), "points", parts)
     discard(large, crowded)
     return points
 
@@ -588,7 +588,7 @@ def _later_pairs(points: DataFrame, sets: DataFrame, parts: int, forest: bool) -
     vectors = sets.select("rep", *TEXT, "vec", "fine")
     # buckets of one block: those of a home come together, so that its texts' vectors are there once and its pairs are tested once
     small = points.where("block = 0")
-    homes = stage(small.select("home", "sig").distinct().groupBy("home").agg(F.ceil(F.count(F.lit(1)) / HOME).alias("__n")), "homes")
+    homes = stage(small.select("home", "sig").distinct().groupBy("home").agg(F.ceil(F.count(F.lit(1)) / HOME).alias("__n")), "homes", parts)
     small = small.join(homes, "home").withColumn("home", F.xxhash64("home", F.pmod("sig", "__n"))).select("home", "sig", "rep", *TEXT, "comp", "n")
     texts = small.select("home", "rep", *TEXT).distinct().join(vectors, ["rep", *TEXT])
     none = lambda kind: F.lit(None).cast(kind)
@@ -599,13 +599,13 @@ def _later_pairs(points: DataFrame, sets: DataFrame, parts: int, forest: bool) -
     in_homes = rows.mapInArrow(_found_in_homes(forest), "a long, b long")
     # larger ones: pairs of blocks whose corners leave a link possible
     many = points.where("block <> 0").join(vectors, ["rep", *TEXT]).select("sig", "block", "rep", "comp", "n", "vec", "fine")
-    many = stage(many, "many")
+    many = stage(many, "many", parts)
     nodes = many.select("sig", "block", "comp", "n", "vec").repartition("sig", "block").sortWithinPartitions("sig", "block")
-    nodes = stage(nodes.mapInArrow(_corners, "sig long, block long, cmin long, cmax long, nmin int, nmax int, upper binary"), "nodes")
+    nodes = stage(nodes.mapInArrow(_corners, "sig long, block long, cmin long, cmax long, nmin int, nmax int, upper binary"), "nodes", parts)
     other = nodes.select("sig", *[F.col(c).alias(f"{c}_") for c in nodes.columns if c != "sig"])
     met = nodes.join(other, "sig").where("block <= block_ and not (cmin = cmax and cmin_ = cmax_ and cmin = cmin_)")
     met = met.where(_sizes_fit(F.col("nmin"), F.col("nmax"), F.col("nmin_"), F.col("nmax_"))).select("sig", F.col("block").alias("x"), F.col("block_").alias("y"), "nmin", "nmax", "nmin_", "nmax_", "upper", "upper_")
-    met = stage(met.mapInArrow(_near, "sig long, x long, y long"), "met")
+    met = stage(met.mapInArrow(_near, "sig long, x long, y long"), "met", parts)
     cols = ["sig", "x", "y", "side", "rep", "comp", "n", "vec", "fine"]
     left = met.join(many.withColumnRenamed("block", "x"), ["sig", "x"]).withColumn("side", F.lit(0))
     right = met.where("x <> y").join(many.withColumnRenamed("block", "y"), ["sig", "y"]).withColumn("side", F.lit(1))
@@ -625,7 +625,7 @@ def _settled(points: DataFrame, sets: DataFrame, links: DataFrame, parts: int) -
     pairs = _later_pairs(points, sets, parts, True)
     more = stage(exact(pairs, sets, parts), "links")
     failed = pairs.join(more, ["a", "b"], "left_anti")
-    links = stage(links.unionByName(more), "links")
+    links = stage(links.unionByName(more), "links", parts)
     if not failed.isEmpty():
         comps = components(links, parts)
         # pairs are between reps, and tasks merge components: what hangs together is told by both
@@ -655,29 +655,30 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     sized = stage(rows.mapInArrow(_sized, "doc_id long, h1 long, h2 long, n int, sigs array<long>"), "sized")
     keys = sized.drop("sigs")
     named = keys.where("n > 0 and doc_id is not null")
-    classes = stage(named.groupBy(*TEXT).agg(F.min("doc_id").alias("rep")), "classes")
-    shared = stage(_shared(sized).join(classes, TEXT), "shared")
-    first = _mixed(shared, None)
+    shared, wide = _shared(sized)
+    classes = stage(named.groupBy(*TEXT).agg(F.min("doc_id").alias("rep")), "classes", wide)
+    shared = stage(shared.join(classes, TEXT), "shared", wide)
+    first = _mixed(shared, None, wide)
     discard(shared)
-    buckets = _selected(first)
-    chosen = stage(buckets.select("rep", *TEXT).distinct(), "chosen")
+    buckets = _selected(first, wide)
+    chosen = stage(buckets.select("rep", *TEXT).distinct(), "chosen", wide)
     parts = chosen.count() // PART_TEXTS + 12
     held = rows.where("doc_id is not null").join(chosen.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id")
     sets = held.select("doc_id", *TEXT, "text").mapInArrow(_sets, "rep long, h1 long, h2 long, n int, vec binary, fine binary, whole binary")
     sets = stage(sets.coalesce(parts), "sets")
-    pairs = _leader_pairs(buckets, 0)
+    pairs = _leader_pairs(buckets, 0, parts)
     links = verify(pairs, sets, parts)
     comps = components(links, parts)
     discard(pairs, buckets)
     # what is together needs no further comparing, so each turn leaves less to the next
-    mixed = _mixed(first, comps)
+    mixed = _mixed(first, comps, wide)
     discard(first)
-    buckets = _selected(mixed)
-    pairs = _leader_pairs(buckets, 1)
-    links = stage(links.unionByName(verify(pairs, sets, parts)), "links")
-    buckets = _still_mixed(buckets, components(links, parts))
+    buckets = _selected(mixed, wide)
+    pairs = _leader_pairs(buckets, 1, parts)
+    links = stage(links.unionByName(verify(pairs, sets, parts)), "links", parts)
+    buckets = _still_mixed(buckets, components(links, parts), wide)
     # a text that shared no bucket with another at first links with nothing
-    points = _blocks(buckets.join(chosen, ["rep", *TEXT], "left_semi"))
+    points = _blocks(buckets.join(chosen, ["rep", *TEXT], "left_semi"), wide)
     links = _settled(points, sets, links, parts)
     # several texts of one doc_id are one document
     of_doc = named.join(classes, TEXT).groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 #: Lets Spark drop a query's shuffle files when the query is over; nothing else reads those of a table that has been written.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Of a folder in a plain file system: no checksum files, each of which starts processes in the executor to set its permissions.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 _PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -46,7 +48,8 @@ def stage(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+        out = df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20)
+        (out.options(**PLAIN_FILES) if path.startswith("file:") else out).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -41,6 +41,8 @@ PART_TEXTS = 4000
 HOME = 32
 #: Shown shingles of a bucket, the unit in which a task compares what texts show.
 BUCKET_ROWS = 500_000
+#: Documents for each file of a table that holds all of them: many small input files needn't become as many small staged ones.
+FILE_ROWS = 8000
 #: Shingles that a worker gathers before it looks for frequent ones; texts from which on a shingle of these is known to be shared; parts
 #: that such a shingle's texts are dealt to.
 GATHERED, FREQUENT, DEALT = 1 << 19, 64, 4096
@@ -642,6 +644,11 @@ def _settled(points: DataFrame, sets: DataFrame, links: DataFrame, parts: int) -
     return links
 
 
+def _files(documents: DataFrame) -> int:
+    """Files at most that a table of all documents is written to; of a stored table this reads row counts only."""
+    return documents.count() // FILE_ROWS + 24
+
+
 def jaccard_components(documents: DataFrame) -> DataFrame:
     """op3: (doc_id, n_shingles, component_id) for each document row.
 
@@ -652,7 +659,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     tune(spark)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sized = stage(rows.mapInArrow(_sized, "doc_id long, h1 long, h2 long, n int, sigs array<long>"), "sized")
+    sized = stage(rows.mapInArrow(_sized, "doc_id long, h1 long, h2 long, n int, sigs array<long>"), "sized", _files(documents))
     keys = sized.drop("sigs")
     named = keys.where("n > 0 and doc_id is not null")
     shared, wide = _shared(sized)
@@ -700,7 +707,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
     first = jaccard_components(documents).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     cols = [F.col(f"`{c}`") for c in documents.columns]
     kept = documents.join(first, documents["doc_id"].cast("long") == F.col("__id"), "left_semi")
-    return kept.select(*cols).unionByName(documents.where("doc_id is null").select(*cols))
+    return kept.select(*cols).unionByName(documents.where("doc_id is null").select(*cols)).coalesce(_files(documents))
 
 
 #: jaccard_components in SQL: shingles by an inverted join, components by recursion.

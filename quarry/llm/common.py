@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows and bytes in an Arrow batch: bound the Python workers' memory when texts are long.
 BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
@@ -15,6 +23,8 @@ BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Of a folder in a plain file system: no checksum files, each of which starts processes in the executor to set its permissions.
 PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Bytes of a row group that a worker gathers before it writes them.
+GROUP_BYTES = 16 << 20
 _PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -37,10 +47,58 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def stage(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+def _simple(kind: T.DataType) -> bool:
+    """Whether Arrow and Spark write the same Parquet type for this one."""
+    if isinstance(kind, T.StructType):
+        return all(_simple(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _simple(kind.elementType)
+    return type(kind) in (T.LongType, T.IntegerType, T.StringType, T.BinaryType, T.DoubleType, T.BooleanType)
+
+
+def _part_writer(folder: str):
+    """Write a task's batches to one hidden file in the folder and put out its name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held, size, out = f"_{uuid.uuid4().hex}", [], 0, None
+        try:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                held.append(b)
+                size += b.nbytes
+                if out is None:
+                    out = pq.ParquetWriter(f"{folder}/{name}", b.schema, compression="zstd")
+                if size >= GROUP_BYTES:
+                    out.write_table(pa.Table.from_batches(held))
+                    held, size = [], 0
+            if held:
+                out.write_table(pa.Table.from_batches(held))
+        finally:
+            if out is not None:
+                out.close()
+        if out is not None:
+            yield pa.RecordBatch.from_pydict({"name": pa.array([name], pa.string())})
+
+    return run
+
+
+def _write_plain(df: DataFrame, path: str) -> None:
+    """Write df to a plain folder by Arrow: Spark's client for such folders starts a process for each file to set its permissions, which
+    shares the executor's memory until it runs. A lost or repeated task leaves hidden files only: the driver shows those of tasks that count.
+    """
+    folder = Path(unquote(urlparse(path).path))
+    folder.mkdir(parents=True)
+    pq.write_table(to_arrow_schema(df.schema).empty_table(), folder / "empty.parquet")  # so that a table without rows can be read
+    for r in df.mapInArrow(_part_writer(str(folder)), "name string").collect():
+        os.rename(folder / r["name"], folder / f"part-{r['name'][1:]}.parquet")
+
+
+def stage(df: DataFrame, name: str, parts: int | None = None, arrow: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors.
 
     parts: files at most, where the size of what is written is known: many small files cost more than the rows in them.
+    arrow: write tables of simple types in plain folders by Arrow, where a job writes so many that the processes for permissions tell.
     """
     spark = df.sparkSession
     df = df.coalesce(parts) if parts else df
@@ -48,8 +106,11 @@ def stage(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        out = df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20)
-        (out.options(**PLAIN_FILES) if path.startswith("file:") else out).parquet(path)
+        if arrow and path.startswith("file:") and _simple(df.schema):
+            _write_plain(df, path)
+        else:
+            out = df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20)
+            (out.options(**PLAIN_FILES) if path.startswith("file:") else out).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

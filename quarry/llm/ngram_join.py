@@ -12,6 +12,7 @@ copies come together by as many tests as they have members and need no further c
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -21,7 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, stage, tune
+from quarry.llm import common
+from quarry.llm.common import discard, tune
+
+stage = functools.partial(common.stage, arrow=True)
 
 WORDS, PERCENT = 5, 75
 #: Groups that shingles are hashed into; sums of so many of them bound first; points in a leaf of the tree; points in a block, the unit

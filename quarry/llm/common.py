@@ -24,7 +24,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Of a folder in a plain file system: no checksum files, each of which starts processes in the executor to set its permissions.
 PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 #: Bytes of a row group that a worker gathers before it writes them.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 4 << 20
 _PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -56,13 +56,13 @@ def _simple(kind: T.DataType) -> bool:
     return type(kind) in (T.LongType, T.IntegerType, T.StringType, T.BinaryType, T.DoubleType, T.BooleanType)
 
 
-def _part_writer(folder: str):
-    """Write a task's batches to one hidden file in the folder and put out its name."""
+def _part_writer(folder: str, made):
+    """Write what ``made`` makes of a task's batches to one hidden file in the folder and put out its name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held, size, out = f"_{uuid.uuid4().hex}", [], 0, None
         try:
-            for b in batches:
+            for b in made(batches):
                 if not b.num_rows:
                     continue
                 held.append(b)
@@ -77,28 +77,32 @@ def _part_writer(folder: str):
         finally:
             if out is not None:
                 out.close()
+            del held
+            pa.default_memory_pool().release_unused()
         if out is not None:
             yield pa.RecordBatch.from_pydict({"name": pa.array([name], pa.string())})
 
     return run
 
 
-def _write_plain(df: DataFrame, path: str) -> None:
-    """Write df to a plain folder by Arrow: Spark's client for such folders starts a process for each file to set its permissions, which
-    shares the executor's memory until it runs. A lost or repeated task leaves hidden files only: the driver shows those of tasks that count.
+def _write_plain(df: DataFrame, schema: T.StructType, path: str, made=iter) -> None:
+    """Write what ``made`` makes of df's batches to a plain folder by Arrow: Spark's client for such folders starts a process for each
+    file to set its permissions, which shares the executor's memory until it runs. A lost or repeated task leaves hidden files only:
+    the driver shows those of tasks that count.
     """
     folder = Path(unquote(urlparse(path).path))
     folder.mkdir(parents=True)
-    pq.write_table(to_arrow_schema(df.schema).empty_table(), folder / "empty.parquet")  # so that a table without rows can be read
-    for r in df.mapInArrow(_part_writer(str(folder)), "name string").collect():
+    pq.write_table(to_arrow_schema(schema).empty_table(), folder / "empty.parquet")  # so that a table without rows can be read
+    for r in df.mapInArrow(_part_writer(str(folder), made), "name string").collect():
         os.rename(folder / r["name"], folder / f"part-{r['name'][1:]}.parquet")
 
 
-def stage(df: DataFrame, name: str, parts: int | None = None, arrow: bool = False) -> DataFrame:
+def stage(df: DataFrame, name: str, parts: int | None = None, arrow: bool = False, mapped: tuple | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors.
 
     parts: files at most, where the size of what is written is known: many small files cost more than the rows in them.
     arrow: write tables of simple types in plain folders by Arrow, where a job writes so many that the processes for permissions tell.
+    mapped: (function, schema) of a mapInArrow between df and the table, done by the worker that writes it.
     """
     spark = df.sparkSession
     df = df.coalesce(parts) if parts else df
@@ -106,14 +110,15 @@ def stage(df: DataFrame, name: str, parts: int | None = None, arrow: bool = Fals
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        if arrow and path.startswith("file:") and _simple(df.schema):
-            _write_plain(df, path)
+        schema = T.StructType.fromDDL(mapped[1]) if mapped else df.schema
+        if arrow and path.startswith("file:") and _simple(schema):
+            _write_plain(df, schema, path, *(mapped or ())[:1])
         else:
-            out = df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20)
+            out = (df.mapInArrow(*mapped) if mapped else df).write.option("compression", "zstd").option("parquet.block.size", 32 << 20)
             (out.options(**PLAIN_FILES) if path.startswith("file:") else out).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
     _PLACES[out] = path
     return out
 

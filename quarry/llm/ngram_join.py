@@ -607,11 +607,11 @@ def _later_pairs(points: DataFrame, sets: DataFrame, parts: int, forest: bool) -
     many = points.where("block <> 0").join(vectors, ["rep", *TEXT]).select("sig", "block", "rep", "comp", "n", "vec", "fine")
     many = stage(many, "many", parts)
     nodes = many.select("sig", "block", "comp", "n", "vec").repartition("sig", "block").sortWithinPartitions("sig", "block")
-    nodes = stage(nodes.mapInArrow(_corners, "sig long, block long, cmin long, cmax long, nmin int, nmax int, upper binary"), "nodes", parts)
+    nodes = stage(nodes, "nodes", parts, mapped=(_corners, "sig long, block long, cmin long, cmax long, nmin int, nmax int, upper binary"))
     other = nodes.select("sig", *[F.col(c).alias(f"{c}_") for c in nodes.columns if c != "sig"])
     met = nodes.join(other, "sig").where("block <= block_ and not (cmin = cmax and cmin_ = cmax_ and cmin = cmin_)")
     met = met.where(_sizes_fit(F.col("nmin"), F.col("nmax"), F.col("nmin_"), F.col("nmax_"))).select("sig", F.col("block").alias("x"), F.col("block_").alias("y"), "nmin", "nmax", "nmin_", "nmax_", "upper", "upper_")
-    met = stage(met.mapInArrow(_near, "sig long, x long, y long"), "met", parts)
+    met = stage(met, "met", parts, mapped=(_near, "sig long, x long, y long"))
     cols = ["sig", "x", "y", "side", "rep", "comp", "n", "vec", "fine"]
     left = met.join(many.withColumnRenamed("block", "x"), ["sig", "x"]).withColumn("side", F.lit(0))
     right = met.where("x <> y").join(many.withColumnRenamed("block", "y"), ["sig", "y"]).withColumn("side", F.lit(1))
@@ -663,7 +663,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     tune(spark)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sized = stage(rows.mapInArrow(_sized, "doc_id long, h1 long, h2 long, n int, sigs array<long>"), "sized", _files(documents))
+    sized = stage(rows, "sized", _files(documents), mapped=(_sized, "doc_id long, h1 long, h2 long, n int, sigs array<long>"))
     keys = sized.drop("sigs")
     named = keys.where("n > 0 and doc_id is not null")
     shared, wide = _shared(sized)
@@ -675,8 +675,8 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     chosen = stage(buckets.select("rep", *TEXT).distinct(), "chosen", wide)
     parts = chosen.count() // PART_TEXTS + 12
     held = rows.where("doc_id is not null").join(chosen.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id")
-    sets = held.select("doc_id", *TEXT, "text").mapInArrow(_sets, "rep long, h1 long, h2 long, n int, vec binary, fine binary, whole binary")
-    sets = stage(sets.coalesce(parts), "sets")
+    sets = (_sets, "rep long, h1 long, h2 long, n int, vec binary, fine binary, whole binary")
+    sets = stage(held.select("doc_id", *TEXT, "text"), "sets", parts, mapped=sets)
     pairs = _leader_pairs(buckets, 0, parts)
     links = verify(pairs, sets, parts)
     comps = components(links, parts)

@@ -12,9 +12,18 @@ from quarry.llm.quality_rules import keep_good
 from quarry.llm.secret_scan import redact_secrets
 
 
+#: Documents for each file that a stage writes: many small input files needn't become as many small ones of each stage.
+FILE_ROWS = 8000
+
+
+def _in_files(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """out in as many files as the number of the stage's documents asks for, or fewer."""
+    return out.coalesce(docs.count() // FILE_ROWS + 24)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return keep_good(docs)
+    return _in_files(keep_good(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +33,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with secrets masked."""
-    return redact_secrets(docs)
+    return _in_files(redact_secrets(docs), docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document, repeats included."""
-    return mixed_corpus(docs)
+    return _in_files(mixed_corpus(docs), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

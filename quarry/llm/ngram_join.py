@@ -7,14 +7,15 @@ overlap of two sets is at most the sum of the coordinates' minima, and that of a
 the sum of minima with the node's upper corner. Trees over blocks of points search each bucket; what the bound leaves is compared
 by count vectors of 2^32 groups in the same task, which puts out only a forest of the links that it finds, and these are
 verified on the whole sets. Before that, two rounds link each text with one leader of its buckets, so that large groups of near
-copies come together by as many tests as they have members and need no further comparing.
+copies come together by as many tests as they have members and need no further comparing. Buckets that stay large are dealt anew by
+their texts' whole sets, as a line that many texts hold would have them compared by the square of their number.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,8 @@ TESTED = 1 << 19
 PART_TEXTS = 4000
 #: Buckets of a home that are searched together, with each text's count vectors in the task once.
 HOME = 32
+#: Rounds in which members of a large bucket leave it that the other members' sizes rule out.
+ROUNDS = 3
 #: Shown shingles of a bucket, the unit in which a task compares what texts show.
 BUCKET_ROWS = 500_000
 #: Documents for each file of a table that holds all of them: many small input files needn't become as many small staged ones.
@@ -494,9 +497,13 @@ def _sure(n: Column) -> Column:
     return 1 + F.floor(F.ceil(F.lit(PERCENT) * n / 100) / SLACK)
 
 
-def _enough(rows: DataFrame) -> DataFrame:
-    """Rows of texts that have enough of them to link."""
-    return rows.withColumn("__all", F.count(F.lit(1)).over(Window.partitionBy(*TEXT))).where(F.col("__all") >= _sure(F.col("n"))).drop("__all")
+def _needed(n: Column) -> Column:
+    return F.ceil(F.lit(PERCENT) * n / 100)
+
+
+def _enough(rows: DataFrame, least: Callable[[Column], Column] = _sure) -> DataFrame:
+    """Rows of texts that have enough of them to link; least: how many of them a text shares with any partner."""
+    return rows.withColumn("__all", F.count(F.lit(1)).over(Window.partitionBy(*TEXT))).where(F.col("__all") >= least(F.col("n"))).drop("__all")
 
 
 def _shared(sized: DataFrame) -> tuple[DataFrame, int]:
@@ -517,9 +524,14 @@ def _mixed(shared: DataFrame, comps: DataFrame | None, parts: int) -> DataFrame:
         placed = shared.select(*TEXT, "rep", "n", "sig", F.col("rep").alias("comp"))
     else:
         placed = shared.select(*TEXT, "rep", "n", "sig").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    return _mixed_placed(placed, parts, _sure)
+
+
+def _mixed_placed(placed: DataFrame, parts: int, least: Callable[[Column], Column]) -> DataFrame:
+    """What ``_mixed`` gives, of rows that have their components."""
     ends = placed.groupBy("sig").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b"), F.count(F.lit(1)).alias("count")).where("__a <> __b").select("sig", "count")
     ends = stage(ends, "ends", parts)  # so that the join can split a frequent shingle
-    out = stage(_enough(placed.join(ends, "sig")).select(*TEXT, "rep", "comp", "n", "sig", "count"), "mixed", parts)
+    out = stage(_enough(placed.join(ends, "sig"), least).select(*TEXT, "rep", "comp", "n", "sig", "count"), "mixed", parts)
     discard(ends)
     return out
 
@@ -532,10 +544,20 @@ def _selected(mixed: DataFrame, parts: int) -> DataFrame:
     a member, the same for many of the buckets of a group.
     Members are compared by their number and three 64-bit sums modulo 2 of their keys.
     """
-    own, n = Window.partitionBy(*TEXT), F.col("n")
-    ranked = mixed.withColumn("__all", F.count(F.lit(1)).over(own)).withColumn("__rank", F.row_number().over(own.orderBy("count", "sig")))
-    n_shown = n - F.ceil(F.lit(PERCENT) * n / 100) + 1 + F.floor(n / SLACK)
-    kept = stage(ranked.where(F.col("__rank") <= F.col("__all") - _sure(n) + 1).select(*TEXT, "rep", "comp", "n", "sig", (F.col("__all") / n_shown).alias("part")), "kept", parts)
+    n = F.col("n")
+    n_shown = n - _needed(n) + 1 + F.floor(n / SLACK)
+    return _buckets(stage(_rarest(mixed, _sure).select(*TEXT, "rep", "comp", "n", "sig", (F.col("__all") / n_shown).alias("part")), "kept", parts), parts)
+
+
+def _rarest(mixed: DataFrame, least: Callable[[Column], Column]) -> DataFrame:
+    """Of each text's rows, rarest first, all but the last ``least(n) - 1``; rest: how many there are from a row on, of __all."""
+    own = Window.partitionBy(*TEXT)
+    ranked = mixed.withColumn("__all", F.count(F.lit(1)).over(own)).withColumn("rest", F.col("__all") - F.row_number().over(own.orderBy("count", "sig")) + 1)
+    return ranked.where(F.col("rest") >= least(F.col("n")))
+
+
+def _buckets(kept: DataFrame, parts: int) -> DataFrame:
+    """Rows of kept (a staged table), with home and weight, of shingles that several texts have; of those with the same texts one. Staged."""
     whose = kept.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.bit_xor("h1").alias("x"), F.bit_xor("h2").alias("y"), F.bit_xor(F.xxhash64(*TEXT)).alias("z"), F.min("rep").alias("home")).where("c > 1")
     one = stage(whose.groupBy("c", "x", "y", "z").agg(F.min("sig").alias("sig"), F.min("home").alias("home"), F.count(F.lit(1)).alias("weight")).select("sig", "home", "weight"), "one", parts)
     buckets = stage(kept.join(one, "sig"), "buckets", parts)
@@ -559,14 +581,60 @@ def _leader_pairs(buckets: DataFrame, turn: int, parts: int) -> DataFrame:
 
 
 def _still_mixed(buckets: DataFrame, comps: DataFrame, parts: int) -> DataFrame:
-    """buckets with the components of now, without those that have only one left, staged."""
+    """buckets with the components of now and their numbers of texts, without those that have only one component left, staged."""
     now = buckets.drop("comp").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    ends = stage(now.groupBy("sig").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b")).where("__a <> __b").select("sig"), "ends", parts)
+    ends = stage(now.groupBy("sig").agg(F.min("comp").alias("__a"), F.max("comp").alias("__b"), F.count(F.lit(1)).alias("size")).where("__a <> __b").select("sig", "size"), "ends", parts)
     out = stage(now.join(ends, "sig"), "buckets", parts)
     discard(ends, buckets)
     return out
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each shingle of each text's whole set, with the text's other columns."""
+    for b in batches:
+        whole = [np.frombuffer(x.as_buffer(), "<i8") for x in b.column("whole")]
+        at = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in whole]))
+        names = [*TEXT, "rep", "comp", "n"]
+        yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)).take(at) for c in names), pa.array(np.concatenate([np.empty(0, np.int64), *whole]))], names=[*names, "sig"])
+
+
+def _within_reach(kept: DataFrame, parts: int) -> DataFrame:
+    """kept (rows of whole sets, staged) without those that no other text of the bucket can be found by, staged.
+
+    The first shingle that two linked texts have in common leaves each no more in common than what it has from there on (``rest``),
+    and they share the more the larger the other one is.
+    """
+    least = stage(kept.groupBy("sig").agg(F.min("n").alias("__n"), F.min("comp").alias("__a"), F.max("comp").alias("__b")).where("__a <> __b").select("sig", "__n"), "least", parts)
+    fits = (100 + PERCENT) * F.col("rest") >= PERCENT * (F.col("n") + F.col("__n"))
+    out = stage(kept.join(least, "sig").where(fits).select(*kept.columns), "kept", parts)
+    discard(least, kept)
+    return out
+
+
+def _narrowed(buckets: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """buckets with the texts of those of more than BLOCK texts dealt anew by their whole sets, staged.
+
+    A line that many texts hold makes buckets that grow with the corpus. Two texts that link share ``needed(n)`` of all their
+    shingles at least, so in one order, rarest among the texts of such buckets first, all but ``needed(n) - 1`` of each side's have
+    one in common: what is frequent comes last and brings together only texts that consist of it.
+    """
+    cols = ["sig", "home", *TEXT, "rep", "comp", "n"]
+    large, small = buckets.where(F.col("size") > BLOCK), buckets.where(F.col("size") <= BLOCK).select(*cols)
+    if large.isEmpty():
+        return buckets
+    whole = large.select("rep", *TEXT, "comp", "n").distinct().join(sets.select("rep", *TEXT, "whole"), ["rep", *TEXT])
+    placed = stage(whole, "spread", parts, mapped=(_spread, "h1 long, h2 long, rep long, comp long, n int, sig long"))
+    mixed = _mixed_placed(placed, parts, _needed)
+    kept = stage(_rarest(mixed, _needed).select(*TEXT, "rep", "comp", "n", "sig", "rest"), "kept", parts)
+    for _ in range(ROUNDS):
+        kept = _within_reach(kept, parts)
+    dealt = _buckets(kept, parts)
+    # a shingle that makes a small bucket too makes another one here
+    out = stage(small.unionByName(dealt.withColumn("sig", F.xxhash64("sig", F.lit(BLOCK))).select(*cols)), "buckets", parts)
+    discard(placed, mixed, dealt, buckets)
+    return out
+
+
 def _blocks(buckets: DataFrame, parts: int) -> DataFrame:
     """(sig, home, block, rep, h1, h2, comp, n): the points of each bucket in blocks, staged.
 
@@ -689,6 +757,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     links = stage(links.unionByName(verify(pairs, sets, parts)), "links", parts)
     buckets = _still_mixed(buckets, components(links, parts), wide)
     # a text that shared no bucket with another at first links with nothing
+    buckets = _narrowed(buckets, sets, wide)
     points = _blocks(buckets.join(chosen, ["rep", *TEXT], "left_semi"), wide)
     links = _settled(points, sets, links, parts)
     # several texts of one doc_id are one document

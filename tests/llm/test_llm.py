@@ -204,6 +204,40 @@ def test_ngram_join(spark, real):
     assert {i: x["component_id"] for i, x in out.items()} == want and len(set(want.values())) < len(docs) - 50
 
 
+def test_ngram_join_of_large_buckets(spark, monkeypatch):
+    r = random.Random(6)
+    word = lambda: f"x{r.randint(0, 10**9)}"
+    line = [word() for _ in range(13)]
+    docs = []
+    for k in range(500):  # texts that hold one line and own words; of some a near copy too
+        own = [word() for _ in range(r.randint(12, 20))]
+        docs.append((k, " ".join(line + own)))
+        if k % 25 == 0:
+            docs.append((1000 + k, " ".join(line + own[:-1] + [word()])))
+    rows = Counter()
+
+    def counted(df, name, *args, **kwargs):
+        out = stage(df, name, *args, **kwargs)
+        rows[name] += out.count()
+        return out
+
+    stage = ngram_join.stage
+    monkeypatch.setattr(ngram_join, "stage", counted)
+    out = {x["doc_id"]: x["component_id"] for x in collected(ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")))}
+    want = brute_components(docs)
+    assert out == want and len(set(want.values())) == 500
+    assert rows["spread"] > 0 and rows["met"] == 0  # the line's texts aren't compared with each other
+    base = [word() for _ in range(60)]
+    for k in range(400):  # copies around the limit: some are together, others not
+        w = list(base)
+        for _ in range(r.randint(1, 4)):
+            w[r.randrange(len(w))] = word()
+        docs.append((2000 + k, " ".join(w)))
+    out = {x["doc_id"]: x["component_id"] for x in collected(ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")))}
+    want = brute_components(docs)
+    assert out == want and 510 < len(set(want.values())) < 890
+
+
 def test_ngram_join_odd(odd, empty):
     out = collected(ngram_join.jaccard_components(odd))
     by = defaultdict(set)

@@ -591,11 +591,14 @@ def _still_mixed(buckets: DataFrame, comps: DataFrame, parts: int) -> DataFrame:
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each shingle of each text's whole set, with the text's other columns."""
+    names = [*TEXT, "rep", "comp", "n"]
     for b in batches:
-        whole = [np.frombuffer(x.as_buffer(), "<i8") for x in b.column("whole")]
-        at = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in whole]))
-        names = [*TEXT, "rep", "comp", "n"]
-        yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)).take(at) for c in names), pa.array(np.concatenate([np.empty(0, np.int64), *whole]))], names=[*names, "sig"])
+        whole = [np.frombuffer(x.as_buffer(), "<i8") for x in b.column(b.schema.get_field_index("whole"))]
+        ends = np.cumsum([len(x) for x in whole])
+        for rows in np.split(np.arange(len(whole)), np.flatnonzero(np.diff(ends // GATHERED)) + 1):
+            at = pa.array(np.repeat(rows, [len(whole[k]) for k in rows]))
+            sigs = np.concatenate([np.empty(0, np.int64), *(whole[k] for k in rows)])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)).take(at) for c in names), pa.array(sigs)], names=[*names, "sig"])
 
 
 def _within_reach(kept: DataFrame, parts: int) -> DataFrame:

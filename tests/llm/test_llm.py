@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -536,6 +537,42 @@ def test_word_encoder_is_the_tokenizer():
     assert e.encode(texts) == [e._ids(t).tobytes() for t in texts] and all(e.encode([t]) == [e._ids(t).tobytes()] for t in texts[-50:])
 
 
+def test_symbols_behind_letters_cost_no_tokenizer():
+    """Words of Latin letters with symbols behind them don't go through the tokenizer one by one; their ids are the tokenizer's."""
+    e, r, symbols = packing.WordEncoder(packing.default_tokenizer()), random.Random(4), string.punctuation.replace("'", "")
+    texts = [" ".join("".join(r.choices("abzéß", k=r.randint(1, 6))) + "".join(r.choices(symbols, k=r.randint(0, 9))) for _ in range(50)) for _ in range(200)]
+    texts += [" ".join("a" + c * n for c in symbols for n in range(1, 30)), "x" * 200 + "!" * 200, " ".join(f"{c}$$ {c}.,%" for c in "azßàöøÿāžłœșɏªµº")]
+    texts = [t for t in texts if "<|" not in t]
+    assert e.encode(texts) == [e._ids(t).tobytes() for t in texts] and len(texts) > 100 and not e.cache
+    texts = ["it's!! we'll.. a'$ b$' c$'s d1$ " + "x" * 201 + " " + "y" + "!" * 201 + " z$é"]
+    assert e.encode(texts) == [e._ids(t).tobytes() for t in texts] and e.cache
+
+
+def test_document_frequencies():
+    """Each document counts once for each of its ids, its end among them."""
+    import pyarrow as pa
+
+    path, texts = packing.default_tokenizer(), ["a b a a", "", "b c. b.", "a"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(4), "text": texts, "place": range(4)})
+    rows = [x for b in packing._tokenised(path, 1)(iter([batch])) for x in b.to_pylist()]
+    want = Counter(i for t in texts for i in {1, *packing.encoder(path)._ids(t).tolist()})
+    assert {x["term"]: x["df"] for x in rows if x["term"] is not None} == want
+
+
+def test_index_drops_documents():
+    """What is left of an index scores as one made of those documents alone, and as one whose keys need 64 bits."""
+    r = np.random.default_rng(7)
+    docs = [np.minimum(r.zipf(1.3, r.integers(1, 90)), 999).astype("<u2") for _ in range(1200)]
+    idf, of = r.random(1000), np.flatnonzero(r.random(1200) < 0.9)
+    index, stay = packing._Index(docs, of, idf, 40.0), r.random(len(of)) < 0.3
+    wide = packing._Index(docs, of, np.pad(idf, (0, 4_000_000)), 40.0)
+    terms = [np.unique(d) for d in docs[:100]]
+    assert all(np.allclose(wide.scores(t), index.scores(t), 1e-12) for t in terms)
+    index.keep(stay)
+    alone = packing._Index(docs, of[stay], idf, 40.0)
+    assert index.of.tolist() == of[stay].tolist() and all(np.allclose(index.scores(t), alone.scores(t), 1e-12) for t in terms)
+
+
 def test_neighbours_share_windows():
     a, b = np.arange(100, 400, dtype="<u2"), np.arange(1000, 1300, dtype="<u2")
     docs = [a, b, a[::-1].copy(), b[::-1].copy()]

@@ -12,13 +12,14 @@ from quarry.llm.quality_rules import keep_good
 from quarry.llm.secret_scan import redact_secrets
 
 
-#: Documents for each file that a stage writes: many small input files needn't become as many small ones of each stage.
+#: Documents for each file that a stage writes: many small input files needn't become as many small ones of each stage, and in a plain
+#: folder Spark's writers start processes for each.
 FILE_ROWS = 8000
 
 
 def _in_files(out: DataFrame, docs: DataFrame) -> DataFrame:
     """out in as many files as the number of the stage's documents asks for, or fewer."""
-    return out.coalesce(docs.count() // FILE_ROWS + 24)
+    return out.coalesce(docs.count() // FILE_ROWS + 12)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates."""
-    return keep_one(docs)
+    return _in_files(keep_one(docs), docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES one after the other on documents, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}", arrow=True)
     return STAGES[-1][1](spark, docs, sf_dir)

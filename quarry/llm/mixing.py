@@ -94,12 +94,12 @@ def _plan(documents: DataFrame, block_words: int, seed: int) -> tuple[DataFrame,
     must ask for a merge join, or else they would be broadcast.
     """
     tune(documents.sparkSession)
-    rows = stage(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h"), _others(documents).alias("o")), "mix-rows")
+    rows = stage(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h"), _others(documents).alias("o")), "mix-rows", arrow=True)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     blocks = F.ceil(F.col("source_size") / block_words)
     sources = source_targets(sizes).withColumn("n_blocks", blocks.cast("long"))
     slots_of = F.round(F.col("target") * F.col("n_blocks") / F.when(F.col("source_size") > 0, F.col("source_size")))
-    sources = stage(sources.withColumn("n_slots", F.coalesce(slots_of, F.lit(0)).cast("long")), "mix-sources")
+    sources = stage(sources.withColumn("n_slots", F.coalesce(slots_of, F.lit(0)).cast("long")), "mix-sources", arrow=True)
     upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     deal = sources.select(
         "rank", "n_blocks", "n_slots", F.coalesce(F.sum("n_slots").over(upto), F.lit(0)).cast("long").alias("begin"),

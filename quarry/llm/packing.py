@@ -323,7 +323,7 @@ def pack_documents(documents: DataFrame, tokenizer: str | None = None, window: i
     path = tokenizer or default_tokenizer()
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("place"))
-    tokens = stage(rows.mapInArrow(_tokenised(path, END_ID), "doc_id long, place long, ids binary, term int, df long"), "tokens")
+    tokens = stage(rows, "tokens", arrow=True, mapped=(_tokenised(path, END_ID), "doc_id long, place long, ids binary, term int, df long"))
     width = encoder(path).kind.itemsize
     whole = tokens.agg(F.count("ids").alias("n"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("bytes")).first()
     n, total = whole["n"], whole["bytes"] // width

@@ -650,3 +650,18 @@ def test_staged_by_arrow(spark):
     assert doubled.groupBy("id").count().where("count <> 2").isEmpty() and doubled.count() == 10_000
     common.discard(got)
     assert not folder.exists()
+
+
+def test_pipeline_tables_without_spark_writers(spark):
+    """In plain folders workers write the pipeline's staged tables: Spark's writers start processes there for each file's permissions."""
+    from pathlib import Path
+
+    import corpus_pipeline
+    from quarry.llm import common
+
+    shared = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(shared.iterdir())
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001").count()
+    new = {f.name.rsplit("-", 1)[0]: {x.name for x in f.iterdir()} for f in shared.iterdir() if f not in before}
+    assert {"quarry-mix-rows", "quarry-mix-sources", "quarry-tokens", "quarry-pipeline-mixing"} <= new.keys()
+    assert all("empty.parquet" in names and "_SUCCESS" not in names for names in new.values())

@@ -23,10 +23,11 @@ def merge(new: Index, old: Index, listing: DataFrame) -> Index:
     kept = old.files.select("path").join(there, "path", "left_semi").join(new.files.select("path"), "path", "left_anti")
     both = lambda a, b: a.unionByName(b.join(kept, "path", "left_semi"), allowMissingColumns=True)
     files, symbols, imports, exports = (both(getattr(new, t), getattr(old, t)) for t in ("files", "symbols", "imports", "exports"))
+    everything = both(new.all_symbols, old.all_symbols) if new.all_symbols is not None and old.all_symbols is not None else None
     langs = files.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     meta = langs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_files"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "n")))).alias("languages"))
     meta = meta.crossJoin(symbols.agg(F.count(F.lit(1)).alias("total_symbols")))  # one row with one row
-    return Index(files, symbols, imports, exports, import_edges(imports, exports, files), entry_points(files), new.config_files, directory_stats(files), meta)
+    return Index(files, symbols, imports, exports, import_edges(imports, exports, files), entry_points(files), new.config_files, directory_stats(files), meta, everything)
 
 
 def update(files: DataFrame, old: Index, listing: DataFrame | None = None) -> Index:

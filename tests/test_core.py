@@ -348,3 +348,41 @@ def test_queries_without_optional_libraries():
     code = "import sys; sys.modules['zstandard'] = None; sys.modules['tokenizers'] = None\nimport __spark_entry__ as e\nq = e.queries(); assert 'hotspots' in q and 'hotspots' in e.oracle_sql(); print(len(q))"
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=__import__("pathlib").Path(__file__).resolve().parent.parent)
     assert done.returncode == 0 and int(done.stdout) > 60, done.stderr
+
+
+def test_bound_index_makes_what_is_asked(spark, tmp_path):
+    """A query on paths reads no texts and makes no import edges; texts are read once for symbols."""
+    from quarry.plans import registry
+
+    spark.createDataFrame([(i, "Der Text\nEin Satz. Der Rest", "en", "src1", 20) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    known = registry.queries()
+    for name in ("dir_stats", "dirs_depth_1", "languages", "entry_points", "summary_top"):
+        plan = known[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "ReadSchema" in plan and "text:" not in plan and "MapInArrow" not in plan, name
+    for name in ("index_symbols", "index_exports", "symbol_part", "search"):
+        plan = known[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "text:" not in plan and "import_edges" not in plan, name
+    assert known["import_graph"](spark, str(tmp_path)).count() == 72 and known["index_stats"](spark, str(tmp_path)).first()["import_edge_count"] == 72
+
+
+def test_import_edges_in_blocks(spark, monkeypatch):
+    """The same edges whatever the blocks, each made once, so that none is shuffled; counted without being written."""
+    import random
+
+    from quarry.operators import imports
+
+    r = random.Random(7)
+    names = [f"{i % 7}/f{i}.py" for i in range(60)]
+    exports = {(p, f"n{r.randrange(40)}") for p in names for _ in range(4)}
+    asked = {(p, r.choice(["", "pkg."]) + f"n{r.randrange(50)}") for p in names for _ in range(5)} | {("0/f0.py", "f1"), ("0/f0.py", "f0")}
+    offers = {(n, p) for p, n in exports} | {(p[2:-3], p) for p in names}
+    keys = {k for k, _ in offers}
+    want = sorted({(p, t) for p, m in asked for k, t in offers if k == (m if m in keys else m.rsplit(".", 1)[-1]) and t != p})
+    tables = [spark.createDataFrame(sorted(x), s) for x, s in ((asked, "path string, module string"), (exports, "path string, name string"), ({(p,) for p in names}, "path string"))]
+    for block, least in ((1 << 19, 1000), (50, 10)):
+        monkeypatch.setattr(imports, "BLOCK", block)
+        monkeypatch.setattr(imports, "LEAST_SOURCES", least)
+        edges = imports.import_edges(*tables)
+        assert rows(edges, "src", "dst") == want
+        assert edges._jdf.queryExecution().executedPlan().toString().index("Generate") < edges._jdf.queryExecution().executedPlan().toString().index("Exchange")
+        assert tuple(imports.edge_totals(*tables).first()) == (len({p for p, _ in want}), len(want))

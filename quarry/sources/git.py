@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quarry.functions import fixed
 
 BATCH = 256
 SCHEMAS = {
@@ -114,7 +113,7 @@ class _Reader(DataSourceReader):
             data, at = out[end + 1 : end + 1 + size], end + size + 2
             if head[-2] == b"blob" and b"\0" not in data[:8000]:
                 text = data.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")
-                yield n.encode("utf-8", "replace").decode("utf-8", "replace"), size, text[: fixed.MAX_CHARS]
+                yield n.encode("utf-8", "replace").decode("utf-8", "replace"), size, text
 
     def _log(self, form: str, names: list[str], *args: str) -> list[str]:
         data = "".join(n + "\n" for n in names).encode()

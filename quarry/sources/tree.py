@@ -53,8 +53,8 @@ def source_files(listing: DataFrame, extra: Iterable[str] = (), graph: bool = Fa
 
 @F.pandas_udf(T.StringType())
 def decode(content: pd.Series) -> pd.Series:
-    """UTF-8 without what doesn't decode, line ends as \\n, cut at the limit."""
-    text = content.map(lambda b: bytes(b).decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")[: fixed.MAX_CHARS])
+    """UTF-8 without what doesn't decode, line ends as \\n."""
+    text = content.map(lambda b: bytes(b).decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n"))
     return text.astype("object")
 
 

@@ -386,3 +386,16 @@ def test_import_edges_in_blocks(spark, monkeypatch):
         assert rows(edges, "src", "dst") == want
         assert edges._jdf.queryExecution().executedPlan().toString().index("Generate") < edges._jdf.queryExecution().executedPlan().toString().index("Exchange")
         assert tuple(imports.edge_totals(*tables).first()) == (len({p for p, _ in want}), len(want))
+
+
+def test_texts_are_read_to_their_end(spark):
+    """A long file gives all its lines, exports, imports and calls."""
+    from quarry.sources.tree import decode
+
+    text = "x = 1\n" * 40_000 + "import last\nclass End: pass\ndef f():\n    called()\n"
+    files = spark.createDataFrame([("a.py", text, len(text), 1)], FILES)
+    own = ix.TextIndex(files.withColumn("lang", F.lit("python")))
+    assert ("a.py", "End") in rows(own.exports, "path", "name") and rows(own.imports, "module") == [("last",)]
+    assert rows(own.files, "lines", "truncated") == [(40_005, False)]
+    assert [n for k, _, _, n, _ in scan(text, "python") if k == "call"] == ["called"]
+    assert files.select(F.length(decode(F.col("content").cast("binary"))).alias("n")).first()["n"] == len(text)

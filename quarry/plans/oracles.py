@@ -116,7 +116,7 @@ SQL = {
     "summary_top": f"""with {NAMED}, k as (select split_part(dir, '/', 1) as d, lang, count(*) as n, sum(size) as size from named group by all), g as (select d as dir, sum(n)::bigint as file_count,
       sum(size) / 1024.0::double as kb, string_agg(lang || ':' || n, ',' order by lang) as languages from k group by d)
       select dir, file_count, case when kb < 1024 then printf('%.0fKB', kb) else printf('%.1fMB', kb / 1024) end as size, languages from g""",
-    "symbol_exact": f"with {SYMBOLS} select path, line, type, name from symbols where name = 'The'",
+    "symbol_exact": f"with {SYMBOLS} select path, line, type, name from everything where name = 'The'",
     "symbol_part": f"with {SYMBOLS} select path, line, type, name from symbols where contains(lower(name), 'th')",
     "importers": f"with {SYMBOLS} select path, min(module) as module from imports where contains(module, 'er') group by path",
     "files_glob": f"""with {SYMBOLS}, own as (select path, count(*) as n, list(type || ':' || name order by line, type, name)[1:5] as few from symbols group by path)

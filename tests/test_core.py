@@ -399,3 +399,19 @@ def test_texts_are_read_to_their_end(spark):
     assert rows(own.files, "lines", "truncated") == [(40_005, False)]
     assert [n for k, _, _, n, _ in scan(text, "python") if k == "call"] == ["called"]
     assert files.select(F.length(decode(F.col("content").cast("binary"))).alias("n")).first()["n"] == len(text)
+
+
+def test_exact_symbols_of_long_files(spark, tmp_path):
+    """An exact name is found behind a file's first hundred symbols, in a stored index too, and after a merge."""
+    from quarry.sources.store import SnapshotStore
+    from quarry.streaming.incremental import merge
+
+    text = "\n".join(f"def f{i}(): pass" for i in range(150))
+    own = ix.TextIndex(spark.createDataFrame([("a.py", text, len(text), 1)], FILES).withColumn("lang", F.lit("python")))
+    assert rows(ix.symbol(own, "f149", exact=True), "path", "line") == [("a.py", 150)] and own.symbols.count() == 100
+    store = SnapshotStore(spark, str(tmp_path))
+    store.save(own, "one")
+    assert rows(ix.symbol(store.load("one"), "f149", exact=True), "path", "line") == [("a.py", 150)]
+    other = ix.TextIndex(spark.createDataFrame([("b.py", "def g(): pass", 9, 1)], FILES).withColumn("lang", F.lit("python")))
+    merged = merge(other, store.load("one"), spark.createDataFrame([("a.py",), ("b.py",)], "path string"))
+    assert rows(ix.symbol(merged, "f149", exact=True), "path", "line") == [("a.py", 150)]

@@ -415,3 +415,42 @@ def test_exact_symbols_of_long_files(spark, tmp_path):
     other = ix.TextIndex(spark.createDataFrame([("b.py", "def g(): pass", 9, 1)], FILES).withColumn("lang", F.lit("python")))
     merged = merge(other, store.load("one"), spark.createDataFrame([("a.py",), ("b.py",)], "path string"))
     assert rows(ix.symbol(merged, "f149", exact=True), "path", "line") == [("a.py", 150)]
+
+
+def test_components_are_moved_within_bounds(monkeypatch):
+    """A component's links are not held: the same communities from a file, in memory that its nodes take."""
+    import random
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quarry.operators import communities
+
+    r = random.Random(3)
+    links = sorted({(0, a + s, b + s) for s, n, m in ((0, 400, 20_000), (1000, 30, 90)) for x, y in ((r.randrange(n), r.randrange(n)) for _ in range(m)) for a, b in ((x, y), (y, x)) if a != b})
+    links = [(0 if a < 1000 else 1000, a, b) for _, a, b in links]
+
+    def batches(rows):
+        for i in range(0, len(rows), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.array(rows[i : i + 1000]).T.copy()], ["component", "a", "b"])
+
+    want = {}
+    for start in (0, 1000):
+        adjacent: dict[int, set[int]] = {}
+        for c, a, b in links:
+            if c == start:
+                adjacent.setdefault(a, set()).add(b)
+        found = local_moves(adjacent, len(links))
+        want |= {n: min(x for x in found if found[x] == found[n]) for n in found}
+    for held in (1 << 20, 500):
+        monkeypatch.setattr(communities, "HELD", held)
+        got = [p for p in communities.move_components(batches(links), len(links))]
+        assert {n: x for p in got for n, x in zip(p["node_id"].to_pylist(), p["lowest"].to_pylist(), strict=True)} == want
+    wide = np.stack([np.zeros(400_000, np.int64), np.repeat(np.arange(2000), 200), np.tile(np.arange(200) * 10, 2000)], axis=1)
+    monkeypatch.setattr(communities, "HELD", 10_000)
+    tracemalloc.start()
+    list(communities.move_components(batches(wide), len(wide), 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000

@@ -454,3 +454,25 @@ def test_components_are_moved_within_bounds(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 2_000_000
+
+
+def _orders(spark, folder):
+    """Three orders of three parts as the tables that edges are made from."""
+    lines = [(o, n, (o + n) % 4 + 1, 1, "A") for o in range(3) for n in range(3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(i, f"Brand#{i}", 1) for i in range(1, 5)], "p_partkey long, p_brand string, p_size int").write.parquet(f"{folder}/part.parquet")
+
+
+def test_traces_deal_calls_evenly(spark, tmp_path):
+    """Edges go to as many tasks as shuffles have, not to fewer by their bytes; a trace takes calls as they are, more than once too."""
+    from quarry.operators.graph import Graph
+    from quarry.plans import bindings
+
+    _orders(spark, tmp_path)
+    assert bindings.part_edges(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+    nodes = spark.createDataFrame([(i, "function", f"f{i}", "a", i, "python") for i in range(4)], "id long, type string, name string, file_path string, line int, lang string")
+    g = Graph(nodes, spark.createDataFrame([(a, b, "CALLS") for a, b in [(0, 1), (0, 1), (1, 2), (0, 2), (2, 0)]], "src_id long, dst_id long, type string"), None, None)
+    assert "Aggregate" not in graph_query._calls(g, "outbound")._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(graph_query.trace_calls(g, spark.createDataFrame([(0,)], "id long")), "node_id", "depth") == [(0, 0), (1, 1), (2, 1)]
+    few = graph_query.trace_edges(g, "f0", fan_out=2)
+    assert sorted(r["node_id"] for r in few.where("depth = 1").collect()) == [1, 2]

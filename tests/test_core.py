@@ -476,3 +476,14 @@ def test_traces_deal_calls_evenly(spark, tmp_path):
     assert rows(graph_query.trace_calls(g, spark.createDataFrame([(0,)], "id long")), "node_id", "depth") == [(0, 0), (1, 1), (2, 1)]
     few = graph_query.trace_edges(g, "f0", fan_out=2)
     assert sorted(r["node_id"] for r in few.where("depth = 1").collect()) == [1, 2]
+
+
+def test_dependents_are_dealt_evenly(spark):
+    """Counts of distinct dependents, dealt by pairs, so that neither bytes nor a file that many import make a large task; levels take edges as they are."""
+    from quarry.operators.imports import dependent_counts, reach
+
+    e = spark.createDataFrame([("a", "b"), ("a", "b"), ("c", "b"), (None, "b"), ("b", "d"), (None, "e")], "src string, dst string")
+    counts = dependent_counts(e)
+    assert "REPARTITION_BY_NUM" in counts._jdf.queryExecution().executedPlan().toString()
+    assert rows(counts, "path", "dependent_count") == [("b", 2), ("d", 1)]
+    assert rows(reach(e, spark.createDataFrame([("a",)], "path string"), None), "node", "dist") == [("a", 0), ("b", 1), ("d", 2)]

@@ -487,3 +487,15 @@ def test_dependents_are_dealt_evenly(spark):
     assert "REPARTITION_BY_NUM" in counts._jdf.queryExecution().executedPlan().toString()
     assert rows(counts, "path", "dependent_count") == [("b", 2), ("d", 1)]
     assert rows(reach(e, spark.createDataFrame([("a",)], "path string"), None), "node", "dist") == [("a", 0), ("b", 1), ("d", 2)]
+
+
+def test_commit_impact_moves_names_once(spark):
+    """Names of a commit's files, whatever characters they hold; no row for each file and name."""
+    files = spark.createDataFrame([("c1", "a"), ("c1", "b"), ("c2", "b"), ("c3", "none")], "hash string, path string")
+    edges = spark.createDataFrame([("x", "a"), ("y", "a"), ("x", "b"), ("x", "b"), (None, "b")], "src string, dst string")
+    symbols = spark.createDataFrame([("a", "f"), ("a", "f"), ("a", "50%0A"), ("b", "f"), ("b", "two\nlines"), ("b", ""), ("b", "%25"), ("none", None)], "path string, name string")
+    out = history.commit_impact(files, edges, symbols)
+    assert rows(out, "hash", "files", "total_dependents", "impact_score", "symbols_affected") == [
+        ("c1", 2, 3, 5, ["", "%25", "50%0A", "f", "two\nlines"]), ("c2", 1, 1, 2, ["", "%25", "f", "two\nlines"]), ("c3", 1, 0, 1, []),
+    ]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2

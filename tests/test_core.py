@@ -499,3 +499,12 @@ def test_commit_impact_moves_names_once(spark):
         ("c1", 2, 3, 5, ["", "%25", "50%0A", "f", "two\nlines"]), ("c2", 1, 1, 2, ["", "%25", "f", "two\nlines"]), ("c3", 1, 0, 1, []),
     ]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
+def test_changed_files_are_dealt_evenly(spark, tmp_path):
+    from quarry.plans import bindings
+
+    _orders(spark, tmp_path)
+    plan = history.areas(bindings.commit_files(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert rows(bindings.commit_files(spark, str(tmp_path)), "hash", "path")[0] == ("0", "Brand1/s1/p1.py")
